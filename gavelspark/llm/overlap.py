@@ -1,10 +1,10 @@
 """Same or near-same records across splits.
 
-Weighted cosine join between splits: records are vectors of term weights (idf over all records), each normed to one.
-Terms are ordered from rare to common, and a vector is indexed only up to the point from which both its residual norm
-and its products with the other split's greatest weights stay below the threshold; two vectors that reach the threshold
-must share a term of both indexed parts, so the inverted lists lose none. Candidates whose bound still reaches the
-threshold get exact dot products, and an exact check compares what the two records state.
+Weighted cosine join between splits: records are vectors of term weights (idf over all records, to a power), normed to one.
+Terms are ordered from rare to common, and a vector is indexed up to a common frequency, and further while its residual
+norm reaches the threshold; two vectors that reach the threshold must share a term of both indexed parts, so the inverted
+lists lose none. Records that cannot reach it with the other split's greatest weights, and pairs that cannot with their
+residual norms, are pruned; the others get exact dot products, and an exact check compares what the two records state.
 
 Records equal in all words form classes that are compared once, by their first record, and expanded at the end; a class
 with a third of all rows costs one vector.
@@ -29,7 +29,11 @@ from gavelspark.llm.pairs import fields
 from gavelspark.session import cut
 
 #: Least cosine of two candidates; an added or dropped sentence and a reworded answer cost up to this much.
-THRESHOLD = 0.7
+THRESHOLD = 0.72
+#: Power of the idf in a term's weight: above 1 the rare terms, which state the facts, decide.
+POWER = 1.0
+#: Pairs for each record that the common part of the inverted lists may give rise to; more only makes bounds tighter.
+PAIRS_PER_RECORD = 200
 
 #: Labels of the prompts' sections, in English and French.
 SECTIONS = {
@@ -50,6 +54,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(low, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
+def stated() -> Column:
+    """What a record states, for its vector: the prompt, and of the answer the words up to its explanation (all of it where
+    there is no prompt). Explanations of one record are reworded freely; the exact check reads the verdict."""
+    answer = F.regexp_replace(F.coalesce("completion", F.lit("")), r"(?is)\bexplanation\s*:.*$", "")
+    return F.when(F.trim(F.coalesce("prompt", F.lit(""))) == "", F.col("completion")).otherwise(F.concat_ws(" ", "prompt", answer))
+
+
 def record_classes(pairs: DataFrame) -> DataFrame:
     """Records with the class of those that are equal in all words. Returns pair_id, side, class, class_prompt,
     class_completion (of the first record only, null in the others)."""
@@ -62,41 +73,71 @@ def record_classes(pairs: DataFrame) -> DataFrame:
     return rows.join(first, "key").drop("key")
 
 
-def weighted_terms(records: DataFrame) -> DataFrame:
-    """Normed term weights. ``records``: class, text. Returns class, term, df, w."""
-    counts = records.select("class", F.explode(words(F.col("text"))).alias("term")).groupBy("class", "term").agg(F.count("*").alias("tf"))
-    n = records.count()
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = counts.join(frequency, "term").select("class", "term", "df", ((1 + F.log("tf")) * F.log(F.lit(n + 1.0) / F.col("df"))).alias("w"))
-    norms = raw.groupBy("class").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "class").where("norm > 0").select("class", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
-
+def weighted_records(records: DataFrame) -> DataFrame:
+    """Weighted terms of each record, rare ones first. ``records``: class, text, in_train, in_held.
 
-def cosine_join(terms: DataFrame, sides: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of a train class and a held-out class with cosine of at least ``threshold``.
-
-    ``terms``: class, term, df, w; ``sides``: class, in_train, in_held. Returns train_class, held_class, cosine.
+    Returns these flags, ``terms`` (df, term as a 64-bit hash, w with all squares adding to one).
+    """
+    n = records.count()
+    hashed = records.select("class", F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("t"))
+    single = hashed.select("class", F.explode("t").alias("term"))
+    frequency = single.groupBy("term").agg(F.count("*").cast("int").alias("df"))
+    held = single.join(frequency, "term").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("t"))
+    idf = lambda t: F.pow(F.log(F.lit(n + 1.0) / t["df"]), POWER)
+    norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, t: a + idf(t) * idf(t)))
+    weighted = held.withColumn("norm", norm).where("norm > 0").select("class", F.transform("t", lambda t: F.struct(t["df"].alias("df"), t["term"].alias("term"), (idf(t) / F.col("norm")).cast("float").alias("w"))).alias("terms"))
+    return weighted.join(records.select("class", "in_train", "in_held"), "class")
+
+
+def common_bound(vectors: DataFrame, per_record: int = PAIRS_PER_RECORD) -> int:
+    """The greatest document frequency up to which all terms are indexed: such that the squares of the frequencies sum to
+    ``per_record`` for each record. Only the histogram of frequencies reaches the driver, at most sqrt(2 * words) rows."""
+    rows = vectors.select(F.explode("terms.df").alias("df")).groupBy("df").agg(F.count("*").alias("n")).orderBy("df").collect()
+    left, bound = per_record * vectors.count(), 1
+    for r in rows:  # r.n entries are r.n / r.df terms of df ** 2 pairs each
+        left -= r["n"] * r["df"]
+        if left < 0:
+            break
+        bound = r["df"]
+    return bound
+
+
+def cosine_join(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Candidates for a cosine of at least ``threshold`` between a train and a held-out class; none that reaches it is
+    missing. ``vectors``: from ``weighted_records``. Returns train_class, held_class.
+
+    Every record lists its terms up to a common frequency, and further ones while the norm of the rest reaches the
+    threshold. With the residual norms r of two records beyond the common frequency, their cosine is at most the sum over
+    the shared listed terms plus r * r'; where r * r' reaches the threshold, both lists go on until they must meet.
     """
-    sided = terms.join(sides, "class")
-    greatest = sided.groupBy("term").agg(F.max(F.when(F.col("in_train"), F.col("w"))).alias("max_train"), F.max(F.when(F.col("in_held"), F.col("w"))).alias("max_held"))
-    # terms that one side lacks can join nothing, whatever their weight
-    shared = sided.join(greatest.where("max_train is not null and max_held is not null"), "term")
-    rest = Window.partitionBy("class").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    other = F.greatest(F.when(F.col("in_train"), F.col("max_held")).otherwise(0.0), F.when(F.col("in_held"), F.col("max_train")).otherwise(0.0))
-    bounded = shared.withColumn("bound", F.least(F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)), F.sum(F.col("w") * other).over(rest)))
-    indexed = bounded.where(F.col("bound") >= threshold - 1e-9)
-    residual = bounded.where(F.col("bound") < threshold - 1e-9).groupBy("class").agg(F.max("bound").alias("residual"))
-    lists = cut(indexed.select("class", "term", "w", "in_train", "in_held").join(residual, "class", "left").fillna(0.0, ["residual"]))
-    train = lists.where("in_train").select("term", F.col("class").alias("train_class"), F.col("w").alias("w_t"), F.col("residual").alias("r_t"))
-    held = lists.where("in_held").select("term", F.col("class").alias("held_class"), F.col("w").alias("w_h"), F.col("residual").alias("r_h"))
-    met = train.join(held, "term").where("train_class <> held_class").groupBy("train_class", "held_class").agg(
-        F.sum(F.col("w_t") * F.col("w_h")).alias("partial"), F.max(F.greatest("r_t", "r_h")).alias("residual")
-    )
-    candidates = met.where(F.col("partial") + F.col("residual") >= threshold - 1e-9).select("train_class", "held_class")
-    mine = terms.select(F.col("class").alias("train_class"), "term", F.col("w").alias("w_t"))
-    theirs = terms.select(F.col("class").alias("held_class"), "term", F.col("w").alias("w_h"))
-    dots = candidates.join(mine, "train_class").join(theirs, ["held_class", "term"]).groupBy("train_class", "held_class").agg(F.sum(F.col("w_t") * F.col("w_h")).alias("cosine"))
-    return dots.where(F.col("cosine") >= threshold)
+    bound = common_bound(vectors)
+    slack = threshold - 1e-4
+    entry = F.explode("terms").alias("e")
+    greatest = vectors.select("in_train", "in_held", entry).groupBy("e.term").agg(F.max(F.when(F.col("in_train"), F.col("e.w"))).alias("max_train"), F.max(F.when(F.col("in_held"), F.col("e.w"))).alias("max_held"))
+    step = F.aggregate(
+        "terms", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k")),
+        lambda a, t: F.struct((a["sum"] + t["w"] * t["w"]).alias("sum"), (a["k"] + F.when((t["df"] <= bound) | (1.0 - a["sum"] >= slack * slack), 1).otherwise(0)).alias("k")),
+    )["k"]
+    common = F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.when(t["df"] <= bound, t["w"] * t["w"]).otherwise(0.0))
+    listed = vectors.withColumn("r", F.sqrt(F.greatest(F.lit(0.0), 1.0 - common))).select("class", "in_train", "in_held", "r", F.explode(F.slice("terms", F.lit(1), step)).alias("e"))
+    # terms that the other side lacks add nothing; a record whose terms cannot reach the threshold with the other side's
+    # greatest weights has no partner
+    other = F.greatest(F.when(F.col("in_train"), F.coalesce("max_held", F.lit(0.0))).otherwise(0.0), F.when(F.col("in_held"), F.coalesce("max_train", F.lit(0.0))).otherwise(0.0))
+    met = listed.select("class", "in_train", "in_held", "r", "e.*").join(greatest.where("max_train is not null and max_held is not null"), "term")
+    most = F.sum(F.when(F.col("df") <= bound, F.col("w") * other)).over(Window.partitionBy("class"))
+    kept = cut(met.withColumn("most", F.coalesce(most, F.lit(0.0)) + F.col("r")).where(F.col("most") >= slack).select("class", "term", F.when(F.col("df") <= bound, F.col("w")).otherwise(0.0).alias("w"), "r", "in_train", "in_held"))
+    train = kept.where("in_train").select("term", F.col("class").alias("train_class"), F.col("w").alias("w_t"), F.col("r").alias("r_t"))
+    held = kept.where("in_held").select("term", F.col("class").alias("held_class"), F.col("w").alias("w_h"), F.col("r").alias("r_h"))
+    pairs = train.join(held, "term").where("train_class <> held_class").groupBy("train_class", "held_class").agg(F.sum(F.col("w_t") * F.col("w_h")).alias("partial"), F.max(F.col("r_t") * F.col("r_h")).alias("rest"))
+    return pairs.where(F.col("partial") + F.col("rest") >= slack).select("train_class", "held_class")
+
+
+def cosines(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Exact cosines of candidates. Adds ``cosine``."""
+    mine = vectors.select(F.col("class").alias("train_class"), F.map_from_arrays("terms.term", "terms.w").alias("m_t"))
+    theirs = vectors.select(F.col("class").alias("held_class"), F.col("terms").alias("t_h"))
+    dot = F.aggregate("t_h", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at("m_t", t["term"]), F.lit(0.0)) * t["w"])
+    return candidates.join(mine, "train_class").join(theirs, "held_class").select("train_class", "held_class", dot.alias("cosine"))
 
 
 def sections(prompt: str) -> dict[str, str]:
@@ -208,8 +249,8 @@ def overlaps(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = cut(record_classes(pairs))
     first = members.where(F.col("pair_id") == F.col("class")).select("class", "prompt", "completion").dropDuplicates(["class"])
     sides = members.groupBy("class").agg(F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "held").alias("in_held"))
-    terms = cut(weighted_terms(first.select("class", F.concat_ws(" ", "prompt", "completion").alias("text"))))
-    near = cosine_join(terms, sides, threshold)
+    vectors = cut(weighted_records(first.select("class", stated().alias("text")).join(sides, "class")))
+    near = cosines(cosine_join(vectors, threshold), vectors).where(F.col("cosine") >= threshold)
     named = lambda side: first.select(F.col("class").alias(f"{side}_class"), F.col("prompt").alias(f"{side}_prompt"), F.col("completion").alias(f"{side}_completion"))
     checked = near.select("train_class", "held_class").join(named("train"), "train_class").join(named("held"), "held_class").mapInPandas(_checked, "train_class long, held_class long")
     equal = sides.where("in_train and in_held").select(F.col("class").alias("train_class"), F.col("class").alias("held_class"))
