@@ -20,6 +20,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Separators between the fields of a claim written as named fields, tried in this order.
 SEPARATORS = (r"[|]", r";", r"[\r\n]+", r'"\s*,\s*"', r",")
@@ -30,21 +31,21 @@ POINT = "\ue000"
 COUNTED = "aenrst"
 
 
-@F.pandas_udf("string")
-def _composed(texts: pd.Series) -> pd.Series:
+def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 def composed(text: Column) -> Column:
     """Canonical composition; only texts that hold a combining mark or a decomposable sign leave the JVM."""
-    return F.coalesce(_composed(F.when(text.rlike(r"[\p{M}\u1100-\u11FF\u2126\u212A\u212B]"), text)), text)
+    udf = F.pandas_udf(_compose, T.StringType())
+    return F.coalesce(udf(F.when(text.rlike(r"[\p{M}\u1100-\u11FF\u2126\u212A\u212B]"), text)), text)
 
 
 def skeleton(text: Column) -> Column:
     """Letters, marks, digits and decimal points of a composed text, case folded."""
     bare = F.regexp_replace(text, r"(?<=\p{Nd})[.](?=\p{Nd})", POINT)
     bare = F.regexp_replace(bare, rf"[^\p{{L}}\p{{M}}\p{{N}}{POINT}]", "")
-    return F.lower(F.upper(bare))
+    return F.replace(F.lower(F.upper(bare)), F.lit("\u00df"), F.lit("ss"))
 
 
 def canonical(text: Column) -> Column:

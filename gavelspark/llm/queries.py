@@ -116,7 +116,7 @@ SELECT n.seq, CASE WHEN n.b IS NULL THEN 's:' || CAST(n.s AS DECIMAL(38,0)) ELSE
 FROM n LEFT JOIN root ON n.b = root.b
 """
 
-_BARE = "lower(upper(regexp_replace({0}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\x{{E000}}]', '', 'g')))"
+_BARE = "replace(lower(upper(regexp_replace({0}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\x{{E000}}]', '', 'g'))), 'ß', 'ss')"
 
 
 def _bare(x: str) -> str:
