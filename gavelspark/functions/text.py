@@ -176,6 +176,13 @@ def flip_direction(text: Column | str) -> Column:
     return F.when(t.rlike(r"(?i)\bvoted for\b"), forward).otherwise(backward)
 
 
+def replace_first(text: Column | str, old: str, new: str) -> Column:
+    """The first occurrence of a literal replaced; unchanged where it does not stand."""
+    t = _col(text)
+    at = F.instr(t, old)
+    return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), F.lit(new), F.substring(t, at + len(old), F.length(t)))).otherwise(t)
+
+
 def unfence(text: Column | str) -> Column:
     """Without Markdown code fences around it."""
     bare = strip(text)

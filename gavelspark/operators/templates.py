@@ -79,3 +79,19 @@ def api_fields(answer: Column | str) -> dict[str, Column]:
         "explanation": F.coalesce(X.strip(X.extract(t, P.API_EXPLANATION)), F.lit("No explanation generated")),
         "correction": X.strip(X.extract(t, P.API_CORRECTION)),
     }
+
+
+#: Own wording; only the answer's fields and labels are fixed by the parser that reads them.
+LABELLING = """Label this parliamentary claim with the context below and, where needed, official Canadian sources. Refuse it if the evidence does not carry a label.
+
+Answer with one JSON object and nothing else:
+{"accept": true or false, "label": one of %s, "confidence": 0 to 100, "not_binary_reason": text, "rationale": text, "evidence_summary": text, "used_sources": [{"title", "url", "source_type", "why_relevant"}], "reason": text if refused}
+
+A label between true and false needs a not_binary_reason. Choose it where the claim is right in part: mostly-true for a minor slip, half-true where much speaks for and against it, barely-true where only a small part holds."""
+
+
+def labelling_prompt(instructions: str = LABELLING % ", ".join(P.SILVER_LABELS)) -> Column:
+    """Prompt that asks for a label of a candidate: instructions, claim, both contexts and what is known of the source."""
+    topic = F.coalesce(F.nullif(F.col("h2_en"), F.lit("")), F.nullif(F.col("h1_en"), F.lit("")), F.lit("Unknown"))
+    source = _lines("Speaker: ", X.or_else("speaker", "Unknown"), "\nDate: ", X.or_else("date", "Unknown"), "\nTopic: ", topic)
+    return _lines(instructions, "\n\nClaim:\n", X.or_empty("claim_text"), "\n\nLocal context:\n", X.or_empty("source_context_local"), "\n\nFull context:\n", X.or_empty("full_context"), "\n\nSource:\n", source)

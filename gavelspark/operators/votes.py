@@ -183,9 +183,12 @@ def synthetic_negatives(rows: DataFrame, ratio: float, seed: int = 42) -> DataFr
     counts = rows.agg(F.count_if(F.col("label") == "True").alias("t"), F.count_if(F.col("label") == "False").alias("f")).first()
     target = min(counts["t"], int(counts["t"] * ratio))
     need = max(0, target - counts["f"])
-    flipped = rows.where("label = 'True'").withColumn("flipped", X.flip_direction("claim_text")).where("flipped <> claim_text")
+    flipped = rows.where("label = 'True'").withColumn("flipped", X.flip_direction("claim_text")).where(X.claim_key("flipped") != X.claim_key("claim_text"))
     chosen = flipped.orderBy(F.xxhash64(F.lit(seed), "seq"), "seq").limit(need)
-    return chosen.withColumn("claim_text", F.col("flipped")).withColumn("label", F.lit("False")).withColumn("contradiction_field", F.lit("vote_direction")).drop("flipped")
+    numbered = sequential_ids(chosen, [F.xxhash64(F.lit(seed), "seq"), F.asc("seq")], "claim-synth-")
+    fixed = {"label": "False", "claim_origin": "synthetic_fallback", "match_status": "contradicted", "contradiction_field": "vote_direction", "verdict_relation": "CONTRADICTED", "notes": "synthetic_corruption_from_natural_sentence", "source_table": "synthetic_from_public.hansards_statement"}
+    turned = F.when(F.col("claim_vote_direction") == "for", "against").otherwise("for")
+    return numbered.withColumns({"claim_text": F.col("flipped"), "explanation": X.replace_first("explanation", "True.", "False."), "claim_vote_direction": turned, **{k: F.lit(v) for k, v in fixed.items()}}).drop("flipped")
 
 
 def sequential_ids(rows: DataFrame, order: Sequence, prefix: str = "claim-") -> DataFrame:

@@ -404,6 +404,50 @@ def x38_x39_scalars(spark, d):
     return table(spark, d, "training_pairs").select("pair_id", F.length("prompt").cast("long").alias("n"), F.upper("source_dataset").alias("up"), F.substring("completion", 1, 20).alias("head"), X.with_end("completion", "</s>").alias("ended"))
 
 
+_QD = _squeeze("regexp_replace(coalesce(description_en, ''), '<[^>]+>', ' ', 'g')")
+_Q27 = f"coalesce(nullif({_QD}, ''), 'Vote on Bill ' || CAST(bill_id AS VARCHAR))"
+
+
+@query(f"SELECT id, loaded_at, {_Q27} AS x27 FROM bills_votequestion")
+def x27_question_texts(spark, d):
+    return table(spark, d, "bills_votequestion").select("id", "loaded_at", votes.question_text("description_en", F.col("bill_id").cast("string")).alias("x27"))
+
+
+@query(f"""SELECT seq, md5({_lit(templates.ANALYZE)} || chr(10) || chr(10) || 'Claim: "' || coalesce(claim_text, '') || '"' || chr(10) || CASE WHEN coalesce(source_speaker, '') <> '' THEN 'Speaker: ' || source_speaker ELSE '' END || chr(10)
+  || CASE WHEN coalesce(source_date, '') <> '' THEN 'Date: ' || source_date ELSE '' END || chr(10) || CASE WHEN coalesce(source_context, '') <> '' THEN 'Context: ' || substr(source_context, 1, 300) || '...' ELSE '' END || chr(10) || chr(10) || {_lit(templates.API_FORMAT)}) AS prompt_md5 FROM liar_silver_master""")
+def x30_api_prompts(spark, d):
+    return table(spark, d, "liar_silver_master").select("seq", F.md5(templates.api_prompt("claim_text", "source_speaker", "source_date", "source_context")).alias("prompt_md5"))
+
+
+@query()
+def x31_labelling_prompts(spark, d):
+    rows = table(spark, d, "liar_silver_master").select("seq", "claim_text", F.col("source_speaker").alias("speaker"), F.col("source_date").alias("date"), F.col("source_topic_h1").alias("h1_en"), F.col("source_topic_h2").alias("h2_en"), "source_context_local", F.col("source_context").alias("full_context"))
+    return rows.select("seq", templates.labelling_prompt().alias("prompt"))
+
+
+@query("SELECT seq, CASE WHEN contains(explanation, 'The') THEN substr(explanation, 1, instr(explanation, 'The') - 1) || 'This' || substr(explanation, instr(explanation, 'The') + 3) ELSE explanation END AS x36, regexp_replace(regexp_replace(trim(evidence_json), '^```(?:json)?\\s*', ''), '\\s*```$', '') AS x37 FROM factcheck_master")
+def x36_x37_replacements(spark, d):
+    return table(spark, d, "factcheck_master").select("seq", X.replace_first("explanation", "The", "This").alias("x36"), X.unfence("evidence_json").alias("x37"))
+
+
+@query(f"""SELECT pair_id, coalesce(upper(nullif(regexp_extract(completion, {_lit(P.VERDICT_API)}, 1), '')), 'UNVERIFIED') AS verdict, coalesce(try_cast(nullif(regexp_extract(completion, {_lit(P.API_CONFIDENCE)}, 1), '') AS DOUBLE), 50) / 100 AS confidence FROM training_pairs""")
+def x32_api_fields(spark, d):
+    fields = templates.api_fields("completion")
+    return table(spark, d, "training_pairs").select("pair_id", fields["verdict"].alias("verdict"), fields["confidence"].alias("confidence"))
+
+
+@query()
+def x29_plain_pairs(spark, d):
+    rows = table(spark, d, "liar_silver_master").select("seq", "claim_text", F.col("source_speaker").alias("speaker_name"), F.lit(None).cast("string").alias("party"), F.col("source_date").alias("debate_date"), F.col("source_topic_h2").alias("topic"), F.col("source_context").alias("full_context"), F.col("label").alias("verification_status"), F.col("evidence_text").alias("evidence_source"), F.col("label_rationale").alias("explanation"), F.col("label_confidence").alias("confidence_score"))
+    prompt, answer = templates.plain_pair()
+    return rows.select("seq", prompt.alias("prompt"), answer.alias("completion"))
+
+
+@query()
+def v6_v7_external_stubs(spark, d):
+    return table(spark, d, "factcheck_master").select("seq", boundaries.verification_stub("claim_text").alias("check"))
+
+
 # Values -------------------------------------------------------------------------------------------------------------
 
 
@@ -628,7 +672,7 @@ def v_p2_row_contract(spark, d):
 
 @query()
 def v_p1_synthetic_negatives(spark, d):
-    return votes.synthetic_negatives(table(spark, d, "factcheck_master"), 2.0).select("seq", "claim_text", "label", "contradiction_field")
+    return votes.synthetic_negatives(table(spark, d, "factcheck_master"), 2.0).select("seq", "claim_id", "claim_text", "label", "contradiction_field", "explanation", "claim_vote_direction")
 
 
 # Windows ------------------------------------------------------------------------------------------------------------
