@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelspark.llm import languages
+from gavelspark.session import cut
 
 #: A length is a limit if so many more unfinished answers end there than on average at the ten lengths around it.
 SPIKE_RATIO = 8.0
@@ -69,7 +70,8 @@ def last_field(text: Column) -> Column:
 def shortened(texts: DataFrame) -> DataFrame:
     """Distinct texts that are a proper prefix of their neighbour in sorted order. ``texts``: t. Returns t."""
     distinct = texts.where("t is not null and t <> ''").select("t").distinct()
-    ranged = distinct.repartitionByRange("t").withColumn("pid", F.spark_partition_id())
+    # written once, so that every use sees the same ranges, also after an executor is lost
+    ranged = cut(distinct.repartitionByRange("t").withColumn("pid", F.spark_partition_id()))
     firsts = ranged.groupBy("pid").agg(F.min("t").alias("first"))
     # one row per partition: the first text of the next partition that has any
     following = firsts.select((F.lead("pid").over(Window.orderBy("pid"))).alias("next_pid"), F.col("pid"), F.lead("first").over(Window.orderBy("pid")).alias("after"))
@@ -166,9 +168,14 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def defective_pairs(pairs: DataFrame) -> DataFrame:
     """Defective pairs with their defect. ``pairs``: pair_id, prompt, completion. Returns pair_id, defect."""
     rows = pairs.select("pair_id", "prompt", "completion", masked(F.col("completion")).alias("t"))
-    rows = rows.withColumn("t_end", F.nullif(last_field(F.col("t")), F.lit("")))
+    end = F.nullif(last_field(F.col("t")), F.lit(""))
+    value = F.trim(F.regexp_replace(end, "^[^:]*:", ""))
+    # ends that say "not applicable" hold half of all rows and are never cut; they and answers without fields get a key of
+    # their own, so that no key of the join is that of a large share of the rows
+    open_end = F.when(~value.isin(*sorted(NOT_APPLICABLE)), end)
+    rows = rows.withColumn("t_end", F.coalesce(open_end, F.concat(F.lit("\u0000"), F.col("pair_id").cast("string"))))
     whole = shortened(rows.select("t")).withColumn("short", F.lit(True))
-    ends = shortened(rows.select(F.col("t_end").alias("t"))).select(F.col("t").alias("t_end"), F.lit(True).alias("short_end"))
+    ends = shortened(rows.where(~F.startswith("t_end", F.lit("\u0000"))).select(F.col("t_end").alias("t"))).select(F.col("t").alias("t_end"), F.lit(True).alias("short_end"))
     limits = limit_lengths(rows.where("completion is not null").select(F.col("completion").alias("text"))).withColumn("at_limit", F.lit(True))
     marked = (
         rows.withColumn("n", F.length("completion"))
