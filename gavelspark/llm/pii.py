@@ -213,9 +213,11 @@ def find_spans(text: str | None) -> list[Span]:
         return []
     rank = {kind: k for k, kind in enumerate(("email", "account", "phone", "id_number", "address", "name"))}
     proposed = sorted((s for find in (_numbers, _addresses, _names) for s in find(text) if s.score >= LEAST), key=lambda s: (rank[s.kind], s.start))
+    covered = bytearray(len(text))
     taken: list[Span] = []
     for s in proposed:
-        if all(s.end <= t.start or s.start >= t.end for t in taken):
+        if not any(covered[s.start : s.end]):
+            covered[s.start : s.end] = b"\x01" * (s.end - s.start)
             taken.append(s)
     return sorted(taken)
 
