@@ -58,7 +58,7 @@ _UNIT = rf"(?:unit|apt|apartment|suite|ste|app|appt|appartement|unité|bureau|ro
 _NAME_WORD = r"(?:(?:Ste?|Mt|Dr)\.|\p{Lu}[\p{L}'’-]*|\d{1,3}(?:st|nd|rd|th|e|er|re))"
 _NUMBER = rf"\d{{1,6}}(?:{_S}?(?:\p{{L}}|½)(?![\p{{L}}]))?(?:{_DASH}\d{{1,5}})?"
 _EN_STREET = rf"{_NUMBER},?{_S}+(?:{_NAME_WORD}{_S}+){{1,4}}?(?i:{_TYPES})\b\.?(?:{_S}+(?i:{_DIRECTION})\b\.?)?"
-_FR_STREET = rf"{_NUMBER}{_S}*,?{_S}*(?i:{_FR_TYPES})\b\.?{_S}+(?:(?i:du|de{_S}la|des|de|d['’]|de{_S}l['’]|l['’]|la|le|les){_S}*)?{_NAME_WORD}(?:{_S}+(?:(?i:de|du|des|la|le){_S}+)?{_NAME_WORD}){{0,3}}"
+_FR_STREET = rf"{_NUMBER}{_S}*,?{_S}*(?i:{_FR_TYPES})\b\.?{_S}+(?:(?i:du|de{_S}la|des|de|d['’]|de{_S}l['’]|l['’]|la|le|les){_S}*)?{_NAME_WORD}(?:{_S}+(?i:de|du|des|de{_S}la){_S}+{_NAME_WORD})?(?:{_S}+{_NAME_WORD}(?=[,;\n<]|$))?"
 _BOX = rf"(?i:p\.?{_S}?o\.?{_S}*box|post{_S}office{_S}box|c\.?{_S}?p\.?|case{_S}postale|b\.?p\.?|boîte{_S}postale|rr|r\.r\.){_S}*(?:no\.?{_S}*)?#?{_S}*\d{{1,6}}"
 ADDRESS = regex.compile(
     rf"(?<![\p{{L}}\p{{N}}$€£]|\d[.,-])(?:(?i:{_UNIT}){_S}*(?:,|{_DASH}|/)?{_S}*(?:{_EN_STREET}|{_FR_STREET})|{_BOX}(?:,{_S}*(?:{_NAME_WORD}{_S}+){{1,4}}?(?i:{_TYPES})\b\.?)?|{_EN_STREET}|{_FR_STREET})"
@@ -176,15 +176,19 @@ def _names(text: str) -> Iterator[Span]:
         if bad:
             k = bad[0]
             at = parts[k][0] + len(parts[k][1])
-            if k < 2:
+            if k < 2 and not (k == 1 and m["title"] == "M."):
                 continue
             parts, low, end = parts[:k], low[:k], parts[k - 1][0] + len(parts[k - 1][1])
             at = end
+        if len(parts) == 1 and m["title"] == "M." and BEFORE.search(text, max(0, m.start() - 30), m.start()):
+            # after a signature or the like it is an initial, not the French title
+            yield Span(m.start(), end, "name", 2.5)
+            continue
         full = [w for (_, p), w in zip(parts, low, strict=True) if not regex.fullmatch(r"\p{Lu}\.?", p)]
         if len(parts) < 2 or not full:
             continue
         after = text[end : end + 40]
-        if low[0] == "m" and len(parts) == 2 and _FRENCH_AFTER.match(after):
+        if low[0] == "m" and len(parts) == 2 and _FRENCH_AFTER.match(after) and not BEFORE.search(text, max(0, start - 30), start):
             continue
         nxt = regex.match(r"[\s]+([\p{L}'’-]+)", after)
         body = BODIES | PLACES
