@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 #: Separators between the fields of a claim written as named fields, tried in this order.
 SEPARATORS = (r"[|]", r";", r"[\r\n]+", r'"\s*,\s*"', r",")
-FIELD = r'^[\s{"\'“”«»]*[\p{L}][\p{L}\p{M}\p{N} _"-]{0,40}\s*[:=](?s:.+)$'
+FIELD = r'^[^\p{L}\p{N}:=]*[\p{L}][\p{L}\p{M}\p{N} _"-]{0,40}\s*[:=](?s:.+)$'
 #: Stands for a decimal point in a skeleton; a private-use character that is no letter, mark or digit.
 POINT = "\ue000"
 #: Letters whose counts join the cheap class key.

@@ -124,7 +124,7 @@ def _bare(x: str) -> str:
 
 
 def _keyed() -> str:
-    field = "regexp_matches(p, '^[\\s{\"''“”«»]*\\p{L}[\\p{L}\\p{M}\\p{N} _\"-]{0,40}\\s*[:=](?s:.+)$')"
+    field = "regexp_matches(p, '^[^\\p{L}\\p{N}:=]*\\p{L}[\\p{L}\\p{M}\\p{N} _\"-]{0,40}\\s*[:=](?s:.+)$')"
     name = _bare("regexp_extract(p, '^([^:=]*)[:=]', 1)")
     value = _bare("regexp_replace(p, '^[^:=]*[:=]', '')")
     branches = []
