@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from gavelspark.session import spread
+
 LEAST_WORDS = 24
 SEED = 4
 #: Least words that the seeds of one band of diagonals must cover before an item is tiled.
@@ -156,7 +158,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Documents with the items that leaked into them. ``documents``: doc_id, text; ``items``: item_id, text. Returns
     doc_id, item_id, n_words."""
     spark = documents.sparkSession
-    rows = documents.select("doc_id", "text").where("text is not null")
+    rows = spread(documents.select("doc_id", "text").where("text is not null"))
     schema = "doc_id long, item_id long, n_words int"
     out = spark.createDataFrame([], schema)
     block: list[tuple[int, str]] = []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.operators.ranking import salted_rank
-from gavelspark.session import cut
+from gavelspark.session import cut, spread
 
 CAPACITY = 2048
 TOKENIZERS = os.environ.get("GAVEL_TOKENIZERS", "/opt/tokenizers")
@@ -141,7 +141,7 @@ def text_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizers: str
             rows = [(doc, k, *piece) for doc, text in zip(pdf.doc_id, pdf.text, strict=True) for k, piece in enumerate(pieces(text, encode, capacity))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start_at", "end_at", "n_tokens"])
 
-    rows = documents.select("doc_id", "text").where("text is not null and text <> ''")
+    rows = spread(documents.select("doc_id", "text").where("text is not null and text <> ''"))
     return rows.mapInPandas(run, "doc_id long, piece int, start_at int, end_at int, n_tokens int")
 
 

@@ -19,6 +19,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from gavelspark.session import spread
+
 #: Least score of a kept span.
 LEAST = 1.5
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -250,9 +252,9 @@ def _redacted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def personal_spans(documents: DataFrame) -> DataFrame:
     """Every personal value. ``documents``: doc_id, text. Returns doc_id, kind, start_at."""
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(_found, "doc_id long, kind string, start_at int").distinct()
+    return spread(documents.select("doc_id", "text").where("text is not null")).mapInPandas(_found, "doc_id long, kind string, start_at int").distinct()
 
 
 def redacted(documents: DataFrame) -> DataFrame:
     """Every document with its personal values replaced. Returns doc_id, text."""
-    return documents.select("doc_id", "text").mapInPandas(_redacted, "doc_id long, text string")
+    return spread(documents.select("doc_id", "text")).mapInPandas(_redacted, "doc_id long, text string")
