@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import regex
@@ -20,6 +21,7 @@ _IN = Counter(word for words in FUNCTION_WORDS.values() for word in set(words.sp
 #: A word counts the less, the more languages have it.
 _WEIGHTS = {lang: {word: 1 / _IN[word] for word in words.split()} for lang, words in FUNCTION_WORDS.items()}
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+_PLAIN = re.compile(r"[a-z]+")
 _LATIN = regex.compile(r"\p{Latin}")
 _LETTER = regex.compile(r"\p{L}")
 QUOTED = regex.compile(r"«[^»]*(?:»|$)|“[^”]*(?:”|$)|\"[^\"]*(?:\"|$)")
@@ -35,13 +37,19 @@ def unquoted(text: str) -> str:
 
 def guess(text: str) -> str | None:
     """Language of a text, ``other`` for a script other than Latin, None where too little speaks for one."""
-    letters = len(_LETTER.findall(text))
-    if not letters:
-        return None
-    if len(_LATIN.findall(text)) < 0.5 * letters:
-        return "other"
-    tokens = _TOKEN.findall(text.lower())
-    score = {lang: sum(weights.get(t, 0.0) for t in tokens) for lang, weights in _WEIGHTS.items()}
+    if text.isascii():
+        tokens = _PLAIN.findall(text.lower())
+        if not tokens:
+            return None
+    else:
+        letters = len(_LETTER.findall(text))
+        if not letters:
+            return None
+        if len(_LATIN.findall(text)) < 0.5 * letters:
+            return "other"
+        tokens = _TOKEN.findall(text.lower())
+    counts = Counter(t for t in tokens if t in _IN)
+    score = {lang: sum(weights[t] * n for t, n in counts.items() if t in weights) for lang, weights in _WEIGHTS.items()}
     best = max(score, key=score.get)
     first, second = sorted(score.values(), reverse=True)[:2]
     return best if first >= 1 and first >= 1.2 * second else None

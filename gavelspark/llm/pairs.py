@@ -109,7 +109,9 @@ def _blank(text: str) -> bool:
 def copied_share(words: list[str], prompt: list[str], run: int = COPY_RUN) -> float:
     """Share of ``words`` that stand in runs of ``run`` or more words of the prompt (all words, if fewer)."""
     run = min(run, len(words))
-    if not run:
+    known = set(prompt)
+    # words that the prompt lacks are in no run
+    if not run or sum(w in known for w in words) < COPY_SHARE * len(words):
         return 0.0
     grams = {tuple(prompt[i : i + run]) for i in range(len(prompt) - run + 1)}
     covered = [False] * len(words)
