@@ -1,6 +1,6 @@
 """Same or near-same records across splits.
 
-Weighted cosine join between splits: records are vectors of term weights (idf over all records, to a power), normed to one.
+Weighted cosine join between splits: records are vectors of term weights (idf over all records), normed to one.
 Terms are ordered from rare to common, and a vector is indexed up to a common frequency, and further while its residual
 norm reaches the threshold; two vectors that reach the threshold must share a term of both indexed parts, so the inverted
 lists lose none. Records that cannot reach it with the other split's greatest weights, and pairs that cannot with their
@@ -30,8 +30,8 @@ from gavelspark.session import cut
 
 #: Least cosine of two candidates; an added or dropped sentence and a reworded answer cost up to this much.
 THRESHOLD = 0.72
-#: Power of the idf in a term's weight: above 1 the rare terms, which state the facts, decide.
-POWER = 1.0
+#: A term's code: a hash of so many bits below the inverted idf, which is kept in so many steps for each unit, up to LAST.
+HASH_BITS, STEPS, LAST = 48, 1024, 32767
 #: Pairs for each record that the common part of the inverted lists may give rise to; more only makes bounds tighter.
 PAIRS_PER_RECORD = 200
 
@@ -73,32 +73,38 @@ def record_classes(pairs: DataFrame) -> DataFrame:
     return rows.join(first, "key").drop("key")
 
 
+def _idf(code: Column) -> Column:
+    """Inverse document frequency that a term's code holds in its upper bits."""
+    return (F.lit(LAST) - F.shiftright(code, HASH_BITS)) / F.lit(float(STEPS))
+
+
 def weighted_records(records: DataFrame) -> DataFrame:
-    """Weighted terms of each record, rare ones first. ``records``: class, text, in_train, in_held.
+    """Weighted terms of each record. ``records``: class, text, in_train, in_held.
 
-    Returns these flags, ``terms`` (df, term as a 64-bit hash, w with all squares adding to one).
+    Returns these flags, ``codes`` and ``norm``. A code is one number for a term: its idf in steps of 1 / STEPS, inverted,
+    above a hash of HASH_BITS bits, so that sorted codes run from rare to common terms, equal terms have equal codes, and
+    a term's weight in a record is its idf over the record's norm.
     """
     n = records.count()
     hashed = records.select("class", F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("t"))
     single = hashed.select("class", F.explode("t").alias("term"))
-    frequency = single.groupBy("term").agg(F.count("*").cast("int").alias("df"))
-    held = single.join(frequency, "term").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("t"))
-    idf = lambda t: F.pow(F.log(F.lit(n + 1.0) / t["df"]), POWER)
-    norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, t: a + idf(t) * idf(t)))
-    weighted = held.withColumn("norm", norm).where("norm > 0").select("class", F.transform("t", lambda t: F.struct(t["df"].alias("df"), t["term"].alias("term"), (idf(t) / F.col("norm")).cast("float").alias("w"))).alias("terms"))
-    return weighted.join(records.select("class", "in_train", "in_held"), "class")
+    step = F.greatest(F.lit(1), F.least(F.lit(LAST), F.round(F.log(F.lit(n + 1.0) / F.count("*")) * STEPS))).cast("long")
+    coded = single.groupBy("term").agg(step.alias("q")).select("term", F.shiftleft(F.lit(LAST) - F.col("q"), HASH_BITS).bitwiseOR(F.col("term").bitwiseAND(F.lit((1 << HASH_BITS) - 1))).alias("code"))
+    held = single.join(coded, "term").groupBy("class").agg(F.sort_array(F.collect_list("code")).alias("codes"), F.sqrt(F.sum(_idf(F.col("code")) * _idf(F.col("code")))).alias("norm"))
+    return held.join(records.select("class", "in_train", "in_held"), "class")
 
 
 def common_bound(vectors: DataFrame, per_record: int = PAIRS_PER_RECORD) -> int:
-    """The greatest document frequency up to which all terms are indexed: such that the squares of the frequencies sum to
-    ``per_record`` for each record. Only the histogram of frequencies reaches the driver, at most sqrt(2 * words) rows."""
-    rows = vectors.select(F.explode("terms.df").alias("df")).groupBy("df").agg(F.count("*").alias("n")).orderBy("df").collect()
-    left, bound = per_record * vectors.count(), 1
-    for r in rows:  # r.n entries are r.n / r.df terms of df ** 2 pairs each
-        left -= r["n"] * r["df"]
+    """The greatest upper part of a code up to which all terms are indexed: such that the squared document frequencies of
+    these terms sum to ``per_record`` for each record. Only a histogram of at most LAST rows reaches the driver."""
+    n = vectors.count()
+    rows = vectors.select(F.explode("codes").alias("code")).groupBy(F.shiftright("code", HASH_BITS).alias("high")).agg(F.count("*").alias("n"), F.countDistinct("code").alias("terms")).orderBy("high").collect()
+    left, bound = per_record * n, -1
+    for r in rows:
+        left -= r["n"] * r["n"] / r["terms"]
         if left < 0:
             break
-        bound = r["df"]
+        bound = r["high"]
     return bound
 
 
@@ -110,34 +116,37 @@ def cosine_join(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     threshold. With the residual norms r of two records beyond the common frequency, their cosine is at most the sum over
     the shared listed terms plus r * r'; where r * r' reaches the threshold, both lists go on until they must meet.
     """
-    bound = common_bound(vectors)
-    slack = threshold - 1e-4
-    entry = F.explode("terms").alias("e")
-    greatest = vectors.select("in_train", "in_held", entry).groupBy("e.term").agg(F.max(F.when(F.col("in_train"), F.col("e.w"))).alias("max_train"), F.max(F.when(F.col("in_held"), F.col("e.w"))).alias("max_held"))
+    last = (common_bound(vectors) + 1 << HASH_BITS) - 1  # codes up to this one are common to all lists
+    slack = threshold - 1e-6
+    weight = _idf(F.col("code")) / F.col("norm")
+    entries = vectors.select("in_train", "in_held", "norm", F.explode("codes").alias("code"))
+    # the greatest weight of a term in a split is its idf over the least norm
+    least = entries.groupBy("code").agg(F.min(F.when(F.col("in_train"), F.col("norm"))).alias("least_train"), F.min(F.when(F.col("in_held"), F.col("norm"))).alias("least_held"))
     step = F.aggregate(
-        "terms", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k")),
-        lambda a, t: F.struct((a["sum"] + t["w"] * t["w"]).alias("sum"), (a["k"] + F.when((t["df"] <= bound) | (1.0 - a["sum"] >= slack * slack), 1).otherwise(0)).alias("k")),
+        "codes", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k")),
+        lambda a, c: F.struct((a["sum"] + _idf(c) * _idf(c)).alias("sum"), (a["k"] + F.when((c <= last) | (F.col("norm") * F.col("norm") - a["sum"] >= slack * slack * F.col("norm") * F.col("norm")), 1).otherwise(0)).alias("k")),
     )["k"]
-    common = F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.when(t["df"] <= bound, t["w"] * t["w"]).otherwise(0.0))
-    listed = vectors.withColumn("r", F.sqrt(F.greatest(F.lit(0.0), 1.0 - common))).select("class", "in_train", "in_held", "r", F.explode(F.slice("terms", F.lit(1), step)).alias("e"))
+    beyond = F.aggregate("codes", F.lit(0.0), lambda a, c: a + F.when(c > last, _idf(c) * _idf(c)).otherwise(0.0))
+    listed = vectors.select("class", "in_train", "in_held", "norm", (F.sqrt(beyond) / F.col("norm")).alias("r"), F.explode(F.slice("codes", F.lit(1), step)).alias("code"))
     # terms that the other side lacks add nothing; a record whose terms cannot reach the threshold with the other side's
     # greatest weights has no partner
-    other = F.greatest(F.when(F.col("in_train"), F.coalesce("max_held", F.lit(0.0))).otherwise(0.0), F.when(F.col("in_held"), F.coalesce("max_train", F.lit(0.0))).otherwise(0.0))
-    met = listed.select("class", "in_train", "in_held", "r", "e.*").join(greatest.where("max_train is not null and max_held is not null"), "term")
-    most = F.sum(F.when(F.col("df") <= bound, F.col("w") * other)).over(Window.partitionBy("class"))
-    kept = cut(met.withColumn("most", F.coalesce(most, F.lit(0.0)) + F.col("r")).where(F.col("most") >= slack).select("class", "term", F.when(F.col("df") <= bound, F.col("w")).otherwise(0.0).alias("w"), "r", "in_train", "in_held"))
-    train = kept.where("in_train").select("term", F.col("class").alias("train_class"), F.col("w").alias("w_t"), F.col("r").alias("r_t"))
-    held = kept.where("in_held").select("term", F.col("class").alias("held_class"), F.col("w").alias("w_h"), F.col("r").alias("r_h"))
-    pairs = train.join(held, "term").where("train_class <> held_class").groupBy("train_class", "held_class").agg(F.sum(F.col("w_t") * F.col("w_h")).alias("partial"), F.max(F.col("r_t") * F.col("r_h")).alias("rest"))
+    both = least.where("least_train is not null and least_held is not null")
+    other = F.greatest(F.when(F.col("in_train"), _idf(F.col("code")) / F.col("least_held")).otherwise(0.0), F.when(F.col("in_held"), _idf(F.col("code")) / F.col("least_train")).otherwise(0.0))
+    met = listed.join(both, "code").withColumn("w", F.when(F.col("code") <= last, weight).otherwise(0.0)).withColumn("most", F.col("w") * other)
+    most = F.sum("most").over(Window.partitionBy("class")) + F.col("r")
+    kept = cut(met.withColumn("most", most).where(F.col("most") >= slack).select("class", "code", "w", "r", "in_train", "in_held"))
+    train = kept.where("in_train").select("code", F.col("class").alias("train_class"), F.col("w").alias("w_t"), F.col("r").alias("r_t"))
+    held = kept.where("in_held").select("code", F.col("class").alias("held_class"), F.col("w").alias("w_h"), F.col("r").alias("r_h"))
+    pairs = train.join(held, "code").where("train_class <> held_class").groupBy("train_class", "held_class").agg(F.sum(F.col("w_t") * F.col("w_h")).alias("partial"), F.max(F.col("r_t") * F.col("r_h")).alias("rest"))
     return pairs.where(F.col("partial") + F.col("rest") >= slack).select("train_class", "held_class")
 
 
 def cosines(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
     """Exact cosines of candidates. Adds ``cosine``."""
-    mine = vectors.select(F.col("class").alias("train_class"), F.map_from_arrays("terms.term", "terms.w").alias("m_t"))
-    theirs = vectors.select(F.col("class").alias("held_class"), F.col("terms").alias("t_h"))
-    dot = F.aggregate("t_h", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at("m_t", t["term"]), F.lit(0.0)) * t["w"])
-    return candidates.join(mine, "train_class").join(theirs, "held_class").select("train_class", "held_class", dot.alias("cosine"))
+    mine = vectors.select(F.col("class").alias("train_class"), F.col("codes").alias("c_t"), F.col("norm").alias("n_t"))
+    theirs = vectors.select(F.col("class").alias("held_class"), F.col("codes").alias("c_h"), F.col("norm").alias("n_h"))
+    dot = F.aggregate(F.array_intersect("c_t", "c_h"), F.lit(0.0), lambda a, c: a + _idf(c) * _idf(c))
+    return candidates.join(mine, "train_class").join(theirs, "held_class").select("train_class", "held_class", (dot / (F.col("n_t") * F.col("n_h"))).alias("cosine"))
 
 
 def sections(prompt: str) -> dict[str, str]:

@@ -51,6 +51,7 @@ def test_join_loses_nothing(spark):
     vectors = overlap.weighted_records(spark.createDataFrame(rows, "class bigint, text string, in_train boolean, in_held boolean")).cache()
     for threshold in (0.5, 0.72, 0.9):
         found = {(r.train_class, r.held_class) for r in overlap.cosines(overlap.cosine_join(vectors, threshold), vectors).where(f"cosine >= {threshold}").collect()}
-        data = [(r["class"], r.in_train, {t.term: t.w for t in r.terms}) for r in vectors.collect()]
-        expected = {(a, b) for a, ta, x in data if ta for b, tb, y in data if not tb and sum(w * y.get(t, 0) for t, w in x.items()) >= threshold}
+        idf = lambda c: (overlap.LAST - (c >> overlap.HASH_BITS)) / overlap.STEPS
+        data = [(r["class"], r.in_train, set(r.codes), r.norm) for r in vectors.collect()]
+        expected = {(a, b) for a, ta, x, n in data if ta for b, tb, y, m in data if not tb and sum(idf(c) ** 2 for c in x & y) / (n * m) >= threshold}
         assert found == expected
