@@ -45,8 +45,9 @@ def oracle_sql() -> dict[str, str]:
 # Relations ----------------------------------------------------------------------------------------------------------
 
 
-def statements(spark: SparkSession, d: str) -> DataFrame:
-    return records.current(table(spark, d, "hansards_statement"))
+def statements(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Current statements with the columns that a query needs; others are neither read nor shuffled."""
+    return records.current(table(spark, d, "hansards_statement").select("id", "loaded_at", *columns))
 
 
 def bills(spark: SparkSession, d: str) -> DataFrame:
@@ -102,14 +103,14 @@ def _lit(pattern: str) -> str:
 SELECT st.id AS statement_id, document_id, dc.date, who_en AS speaker_name, h1_en AS topic, sequence, procedural, length(content_en) AS n_chars
 FROM st JOIN dc ON st.document_id = dc.id WHERE content_en <> '' AND dc.date BETWEEN DATE '2017-01-01' AND DATE '2023-12-31'""")
 def s1_debates(spark, d):
-    rows = statements(spark, d)
+    rows = statements(spark, d, "document_id", "time", "content_en", "who_en", "h1_en", "sequence", "procedural")
     found = readers.debates(rows, documents_of(rows), "2017-01-01", "2023-12-31")
     return found.select("statement_id", "document_id", "date", "speaker_name", "topic", "sequence", "procedural", F.length("content").cast("long").alias("n_chars"))
 
 
 @query(f"""WITH {_ST} SELECT id, CAST(time AS DATE) AS day FROM st WHERE time >= TIMESTAMP '2018-01-01' ORDER BY day DESC, id LIMIT 50""")
 def s2_legacy_debates(spark, d):
-    flat = statements(spark, d).select("id", F.to_date("time").alias("debate_date"))
+    flat = statements(spark, d, "time").select("id", F.to_date("time").alias("debate_date"))
     return readers.legacy_debates(flat, "2018-01-01").orderBy(F.desc_nulls_first("debate_date"), "id").limit(50).select("id", F.col("debate_date").alias("day"))
 
 
@@ -152,7 +153,7 @@ _SPOKEN = f"""{_ST}, spoken AS (
 
 
 def _spoken(spark, d):
-    return votes.bill_statements(statements(spark, d), bills(spark, d), sessions(spark, d))
+    return votes.bill_statements(statements(spark, d, "document_id", "time", "who_en", "bill_debated_id", "content_en", "procedural"), bills(spark, d), sessions(spark, d))
 
 
 @query(f"WITH {_BI}, {_SPOKEN} SELECT statement_id, source_date, bill_number, source_context FROM spoken")
@@ -163,13 +164,13 @@ def s6_j2_bill_statements(spark, d):
 @query(f"""WITH {_ST} SELECT id, CAST(time AS DATE) AS day, sequence FROM st WHERE coalesce(procedural, false) = false AND content_en <> ''
 ORDER BY day DESC NULLS FIRST, sequence ASC NULLS LAST, id LIMIT 100""")
 def s7_recent_statements(spark, d):
-    return silver.recent_statements(statements(spark, d), None, 100).select("id", F.to_date("time").alias("day"), "sequence")
+    return silver.recent_statements(statements(spark, d, "time", "sequence", "procedural", "content_en"), None, 100).select("id", F.to_date("time").alias("day"), "sequence")
 
 
 @query(f"WITH {_ST} SELECT id, bill_debated_id, document_id FROM st WHERE id IN (SELECT try_cast(trim(source_statement_id) AS BIGINT) FROM factcheck_master WHERE regexp_matches(source_statement_id, '^ *[0-9]+ *$'))")
 def s8_j9_statement_lookup(spark, d):
     ids = table(spark, d, "factcheck_master").select(V.whole_number(F.when(F.col("source_statement_id").rlike("^ *[0-9]+ *$"), F.trim("source_statement_id"))).alias("key"))
-    return readers.lookup(statements(spark, d), ids).select("id", "bill_debated_id", "document_id")
+    return readers.lookup(statements(spark, d, "bill_debated_id", "document_id"), ids).select("id", "bill_debated_id", "document_id")
 
 
 @query(f"WITH {_BI} SELECT id, introduced, latest_debate_date FROM bi WHERE id IN (SELECT try_cast(trim(bill_id) AS BIGINT) FROM factcheck_master WHERE regexp_matches(bill_id, '^ *[0-9]+ *$'))")
@@ -180,7 +181,7 @@ def s9_bill_lookup(spark, d):
 
 @query(f"WITH {_ST}, {_BI} SELECT count(*) AS n FROM st JOIN bi ON st.bill_debated_id = bi.id")
 def s13_views(spark, d):
-    readers.create_views(spark, {"current_statements": statements(spark, d), "current_bills": bills(spark, d)})
+    readers.create_views(spark, {"current_statements": statements(spark, d, "bill_debated_id"), "current_bills": bills(spark, d)})
     return spark.sql("SELECT count(*) AS n FROM current_statements s JOIN current_bills b ON s.bill_debated_id = b.id")
 
 
@@ -238,7 +239,7 @@ def f11_r3_fact_parts(spark, d):
 
 @query()
 def f11_fact_sentences(spark, d):
-    return statements(spark, d).select("id", F.posexplode(X.fact_sentences("content_en")).alias("pos", "claim_text")).withColumn("claim_type", X.claim_type("claim_text", with_vote=False))
+    return statements(spark, d, "content_en").select("id", F.posexplode(X.fact_sentences("content_en")).alias("pos", "claim_text")).withColumn("claim_type", X.claim_type("claim_text", with_vote=False))
 
 
 @query("""SELECT id, who_en, coalesce(procedural, false) AS skipped FROM hansards_statement WHERE NOT (coalesce(procedural, false) OR coalesce(who_en, '') = '')""")
@@ -328,7 +329,7 @@ def x18_x19_x20_types_and_scores(spark, d):
 
 @query()
 def x22_sentences(spark, d):
-    return statements(spark, d).select("id", F.posexplode(X.split_sentences("content_en")).alias("pos", "sentence"))
+    return statements(spark, d, "content_en").select("id", F.posexplode(X.split_sentences("content_en")).alias("pos", "sentence"))
 
 
 @query(f"""WITH c AS (SELECT seq, {_squeeze("regexp_replace(coalesce(source_context, ''), '<[^>]+>', ' ', 'g')")} AS c FROM factcheck_master),
@@ -563,7 +564,7 @@ def j8_unsaved_statements(spark, d):
 SELECT seq, st.bill_debated_id AS meta_bill_id, bi.introduced AS meta_introduced FROM f LEFT JOIN st ON f.sid = st.id LEFT JOIN bi ON f.bid = bi.id""")
 def j6_metadata(spark, d):
     rows = table(spark, d, "factcheck_master")
-    meta = statements(spark, d).withColumn("session_id", F.lit(None).cast("string"))
+    meta = statements(spark, d, "bill_debated_id").withColumn("session_id", F.lit(None).cast("string"))
     return gold.with_metadata(rows, meta, bills(spark, d)).select("seq", "meta_bill_id", "meta_introduced")
 
 
@@ -686,7 +687,7 @@ def w3_first_label(spark, d):
 
 
 def _gold_scored(spark, d):
-    meta = statements(spark, d).withColumn("session_id", F.lit(None).cast("string"))
+    meta = statements(spark, d, "bill_debated_id").withColumn("session_id", F.lit(None).cast("string"))
     return gold.with_metadata(table(spark, d, "factcheck_master"), meta, bills(spark, d)).withColumn("score", gold.candidate_score())
 
 
@@ -911,7 +912,7 @@ def v_p5_null_checks(spark, d):
 
 @query()
 def v_p6_candidate_pool(spark, d):
-    rows = statements(spark, d)
+    rows = statements(spark, d, "document_id", "time", "who_en", "h1_en", "h2_en", "h3_en", "content_en", "procedural")
     seeds = silver.candidate_claims(rows.limit(0)).withColumn("seq", F.lit(0).cast("long"))
     return silver.candidate_pool(seeds, rows.where(~F.coalesce("procedural", F.lit(False))), table(spark, d, "liar_silver_master"), 900).select("statement_id", "pos", "claim_text", "claim_type", "score", "rn")
 
