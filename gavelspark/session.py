@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local master without one gets a temporary folder.
+    """Use the cluster's ``spark.checkpoint.dir``; only a local master, as in tests, gets a temporary folder.
 
     A machine-local folder would be lost with its executor, so on a cluster a missing setting is an error.
     """
@@ -41,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local[") or sc.master == "local":
+    elif sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gavelspark-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
