@@ -36,7 +36,7 @@ LEAST_SHARE = 0.85
 BLOCK = 5000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
-_FOOTER = re.compile(r"(?im)^[ \t]*[-–—]?[ \t]*page[ \t]+\d+(?:[ \t]*(?:of|de|sur|/)[ \t]*\d+)?[ \t]*[-–—]?[ \t]*$")
+_FOOTER = re.compile(r"(?im)^[ \t]*(?:[-–—][ \t]*)?page[ \t]+\d+(?:[ \t]*(?:of|de|sur|/)[ \t]*\d+)?[ \t]*(?:[-–—][ \t]*)?$")
 _GROUPED = re.compile(r"(?<=\d)[ \u00a0\u202f](?=\d{3}(?!\d))")
 _WORD = re.compile(r"[^\W_]+(?:[.,'’‑–-]+[^\W_]+)*")
 _INNER = re.compile(r"[.,'’‑–-]+")

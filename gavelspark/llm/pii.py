@@ -90,11 +90,11 @@ AFTER = regex.compile(
 )
 DETERMINER = regex.compile(r"(?:\b(?:the|a|an|this|that|le|la|les|un|une|du|des|au|aux|ce|cette|groupe|in|near|at|à|dans|près de|vers|st|ste|saint)\.?|\b[ldL]['’])\s*$", regex.I)
 _WORD = r"(?:(?:[Dd]['’]|O['’]|Mc|Mac)?\p{Lu}(?:\p{Ll}[\p{L}'’]*|\p{Lu}[\p{Lu}'’]+)(?:-\p{Lu}[\p{L}'’]+)*)"
-_INITIAL = r"\p{Lu}\.(?:-?\p{Lu}\.)*"
+_INITIAL = r"\p{Lu}\.(?:-?\p{Lu}\.){0,3}"
 NAME = regex.compile(
     rf"(?<![\p{{L}}\p{{N}}@._/-])(?:(?P<title>(?i:{_TITLE})){_S}+)?(?P<name>"
     rf"(?P<family>{_WORD}),{_S}+(?P<given>{_WORD}|{_INITIAL})(?:{_S}+{_INITIAL}|{_S}+{_INITIAL}{_S}*{_INITIAL})?"
-    rf"|{_WORD}(?:{_S}+(?:(?:van|von|di|del|der){_S}+)?(?:{_INITIAL}|{_WORD})){{1,3}}|{_INITIAL}(?:{_S}*{_INITIAL})*{_S}+{_WORD})(?![\p{{L}}\p{{N}}@])",
+    rf"|{_WORD}(?:{_S}+(?:(?:van|von|di|del|der){_S}+)?(?:{_INITIAL}|{_WORD})){{1,3}}|{_INITIAL}(?:{_S}*{_INITIAL}){{0,3}}{_S}+{_WORD})(?![\p{{L}}\p{{N}}@])",
 )
 #: After a lone "M." and one word: French, where it is a title and a family name alone is no name.
 _FRENCH_AFTER = regex.compile(r"\s+(?:a|avait|est|était|dit|qui|et|de|du|des|dans|pour|au)\b")

@@ -35,6 +35,17 @@ def test_sentences_cover_long_texts():
     assert len(sentences.sentence_spans(text)) == 20000
 
 
+@pytest.mark.parametrize("piece", ["\n", " ", "(", '"', "A. ", "1,", "a@", "<a ", "a.b.", "Ann Bell "])
+def test_monotonous_texts_take_linear_time(piece):
+    import time
+
+    text = piece * (40000 // len(piece))
+    for f in (sentences.sentence_spans, leakage.word_list, pii.find_spans, alignment.words):
+        began = time.time()
+        f(text)
+        assert time.time() - began < 5
+
+
 def test_sentence_rows_once(spark):
     df = spark.createDataFrame([("t", 1, "It came. They left.", "x"), ("t", 1, "It came. They left.", "y"), ("t", 2, None, "")], "table_name string, row_id bigint, text string, start_at string")
     assert sorted(tuple(r) for r in sentences.sentence_starts(df).collect()) == [("t", 1, 0), ("t", 1, 9)]
