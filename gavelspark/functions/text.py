@@ -27,9 +27,13 @@ def or_else(text: Column | str, *others: Column | str) -> Column:
     return F.coalesce(*chain)
 
 
+#: Fixed value: characters that count as white space at the ends of a text.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(text), F.lit(WHITE))
 
 
 def spaces(text: Column | str) -> Column:
