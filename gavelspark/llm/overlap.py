@@ -29,7 +29,7 @@ from gavelspark.llm.pairs import fields
 from gavelspark.session import cut
 
 #: Least cosine of two candidates; an added or dropped sentence and a reworded answer cost up to this much.
-THRESHOLD = 0.72
+THRESHOLD = 0.7
 #: A term's code: a hash of so many bits below the inverted idf, which is kept in so many steps for each unit, up to LAST.
 HASH_BITS, STEPS, LAST = 48, 1024, 32767
 #: Pairs for each record that the common part of the inverted lists may give rise to; more only makes bounds tighter.
