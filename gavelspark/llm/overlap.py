@@ -1,10 +1,16 @@
 """Same or near-same records across splits.
 
-Weighted cosine join between splits: records are vectors of term weights (idf over all records), normed to one.
-Terms are ordered from rare to common, and a vector is indexed up to a common frequency, and further while its residual
-norm reaches the threshold; two vectors that reach the threshold must share a term of both indexed parts, so the inverted
-lists lose none. Records that cannot reach it with the other split's greatest weights, and pairs that cannot with their
-residual norms, are pruned; the others get exact dot products, and an exact check compares what the two records state.
+What the exact check (``same_record``) demands to be equal is the key of the join between splits: verdict, numbers of the
+claim and direction of the vote, and the date where both records have one. Records that differ in the key fail the check,
+so the join loses none of its pairs, however large the corpus and whatever is reworded or misspelt; the exact check then
+compares what the two records state. A claim without numbers meets all those of its verdict, direction and date.
+
+``cosine_join`` is the weighted cosine join between splits: records are vectors of term weights (idf over all records),
+normed to one. Terms are ordered from rare to common, and a vector is indexed up to a common frequency, and further while
+its residual norm reaches the threshold; two vectors that reach the threshold must share a term of both indexed parts, so
+the inverted lists lose none. Records that cannot reach it with the other split's greatest weights, and pairs that cannot
+with their residual norms, are pruned. ``overlaps`` has no use for it: idf grows with the corpus, so the cosine of two
+records that differ in a misspelt word or an added sentence falls below any fixed threshold.
 
 Records equal in all words form classes that are compared once, by their first record, and expanded at the end; a class
 with a third of all rows costs one vector.
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from gavelspark.llm.pairs import fields
 from gavelspark.session import cut
 
-#: Least cosine of two candidates; an added or dropped sentence and a reworded answer cost up to this much.
+#: Least cosine of two candidates of ``cosine_join``.
 THRESHOLD = 0.7
 #: A term's code: a hash of so many bits below the inverted idf, which is kept in so many steps for each unit, up to LAST.
 HASH_BITS, STEPS, LAST = 48, 1024, 32767
@@ -250,7 +256,48 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[[same_record(*t) for t in texts], ["train_class", "held_class"]]
 
 
-def overlaps(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def record_keys(prompt: str | None, answer: str | None) -> list[tuple[str, str | None, bool]]:
+    """Keys of a record with its date and whether it has a labelled claim: two records that ``same_record`` accepts share
+    a key and, where both have one, the date. The key of the whole prompt is for pairs in which a claim is missing."""
+    tokens = _tokens(prompt or "")
+    if not tokens:
+        return []
+    found = sections(prompt)
+    verdict = _tokens(fields(answer or "").get("verdict", ""))[:2]
+
+    def key(kind: str, of: list[str]) -> str:
+        return "|".join((kind, *(" ".join(part) for part in (verdict, sorted(filter(str.isdigit, of)), _directions(of)))))
+
+    keys = [(key("prompt", tokens), None, bool(found.get("claim")))]
+    if found.get("claim"):
+        day = _day(found["date"]) if found.get("date") else None
+        if day and all(isinstance(v, int) for v in day):
+            day = (day[0], *sorted(day[1:]))  # as _same_day, which lets day and month change places
+        keys.append((key("claim", _tokens(found["claim"])), None if day is None else repr(day), True))
+    return keys
+
+
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(c, *k) for c, p, a in zip(pdf["class"], pdf.prompt, pdf.completion, strict=True) for k in record_keys(p, a)]
+        yield pd.DataFrame(rows, columns=["class", "key", "day", "claimed"])
+
+
+def key_join(keyed: DataFrame) -> DataFrame:
+    """Pairs of a train and a held-out class with a key, and the date where both have one, in common. ``keyed``: class, key,
+    day, claimed, in_train, in_held. Returns train_class, held_class."""
+    train = keyed.where("in_train").select("key", "day", F.col("class").alias("train_class"), F.col("claimed").alias("claimed_t"))
+    held = keyed.where("in_held").select("key", "day", F.col("class").alias("held_class"), F.col("claimed").alias("claimed_h"))
+    dated = train.join(held, ["key", "day"])
+    one = train.where("day is null").join(held.drop("day"), "key")
+    other = train.where("day is not null").drop("day").join(held.where("day is null"), "key")
+    met = dated.unionByName(one).unionByName(other)
+    # two records with claims meet in the key of their claims only
+    once = ~F.startswith("key", F.lit("prompt|")) | ~(F.col("claimed_t") & F.col("claimed_h"))
+    return met.where(once & (F.col("train_class") != F.col("held_class"))).select("train_class", "held_class")
+
+
+def overlaps(pairs: DataFrame) -> DataFrame:
     """Overlapping records of train and the other splits. ``pairs``: pair_id, prompt, completion, split.
 
     Returns pair_id_a, pair_id_b (a < b).
@@ -258,10 +305,10 @@ def overlaps(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = cut(record_classes(pairs))
     first = members.where(F.col("pair_id") == F.col("class")).select("class", "prompt", "completion").dropDuplicates(["class"])
     sides = members.groupBy("class").agg(F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "held").alias("in_held"))
-    vectors = cut(weighted_records(first.select("class", stated().alias("text")).join(sides, "class")))
-    near = cosines(cosine_join(vectors, threshold), vectors).where(F.col("cosine") >= threshold)
+    keyed = cut(first.mapInPandas(_keyed, "class long, key string, day string, claimed boolean").join(sides, "class"))
+    near = key_join(keyed)
     named = lambda side: first.select(F.col("class").alias(f"{side}_class"), F.col("prompt").alias(f"{side}_prompt"), F.col("completion").alias(f"{side}_completion"))
-    checked = near.select("train_class", "held_class").join(named("train"), "train_class").join(named("held"), "held_class").mapInPandas(_checked, "train_class long, held_class long")
+    checked = near.join(named("train"), "train_class").join(named("held"), "held_class").mapInPandas(_checked, "train_class long, held_class long")
     equal = sides.where("in_train and in_held").select(F.col("class").alias("train_class"), F.col("class").alias("held_class"))
     train = members.where("side = 'train'").select(F.col("class").alias("train_class"), F.col("pair_id").alias("train_id"))
     held = members.where("side = 'held'").select(F.col("class").alias("held_class"), F.col("pair_id").alias("held_id"))

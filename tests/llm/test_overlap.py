@@ -55,3 +55,23 @@ def test_join_loses_nothing(spark):
         data = [(r["class"], r.in_train, set(r.codes), r.norm) for r in vectors.collect()]
         expected = {(a, b) for a, ta, x, n in data if ta for b, tb, y, m in data if not tb and sum(idf(c) ** 2 for c in x & y) / (n * m) >= threshold}
         assert found == expected
+
+
+def test_same_record_far_below_any_cosine_is_found(spark):
+    # words that do not matter, misspelt ones and an added sentence are rare, and weigh the more the larger the corpus
+    evidence = BASE[BASE.index("Evidence:") : BASE.index("\n\nReply")]
+    other = BASE.replace(evidence, "Evidence: Quarterly herring landings rebounded near Skorvane while beekeepers, glaziers and millwrights petitioned for cheaper lanterns.")
+    other = other.replace("Check this.", "Kindly weigh what follows.").replace("harbour", "harbuor").replace("tabled", "tablde").replace("Nobody", "I rise gratefully, honoured constituents. Nobody")
+    rows = [(1, BASE, YES, "train", ""), (2, other, YES, "test", "")]
+    rows += [(100 + i, f'Claim: "The Green League voted for Bill C-12 at division {i}."\nSpeaker: Ann Bell\nDate: 2020-01-30\nContext: The office tabled a study of the old water mains before the spring sitting closed.', YES, "train", "") for i in range(200)]
+    assert overlap.same_record(BASE, YES, other, YES)
+    assert [tuple(r) for r in overlap.overlaps(table(spark, rows)).collect()] == [(1, 2)]
+
+
+def test_keys_lose_no_pair_of_the_exact_check(spark):
+    forms = [BASE, BASE.upper(), BASE.replace("2020-01-30", "January 30, 2020"), BASE.replace("2020-01-30", "30/01/2020"), BASE.replace("2020-01-30", "01/30/2020"), BASE.replace("Date: 2020-01-30\n", ""), BASE.replace("Claim:", "Affirmation :"), BASE.replace("Claim:", ""), BASE.replace("Claim:", "").replace("tabled", "tabeld"), BASE.replace("voted for Bill", "voted against Bill"), BASE.replace("7710", "7711"), BASE.replace("harbour", "harbuor"), "", "Weigh this one", "Weigh this noe", None]
+    records = [(p, a) for p in forms for a in (YES, NO, None)]
+    rows = [(2 * i + held, p, a, "test" if held else "train", "") for i, (p, a) in enumerate(records) for held in (0, 1)]
+    got = {(r.pair_id_a, r.pair_id_b) for r in overlap.overlaps(table(spark, rows)).collect()}
+    same = {(i, j) for i, (p, a) in enumerate(records) for j, (q, b) in enumerate(records) if overlap.same_record(p, a, q, b)}
+    assert {(min(2 * i, 2 * j + 1), max(2 * i, 2 * j + 1)) for i, j in same} <= got
