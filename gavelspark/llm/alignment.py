@@ -1,9 +1,11 @@
 """Sentence alignment in bilingual documents.
 
-*Concepts.* ``CONCEPTS`` paired documents (those with the smallest hashed ids; the bound is this parameter) are the
-shared concepts. A word of either language is represented by its similarities to them, the weights with which it occurs
-in that language's side of each, reduced to ``DIMENSIONS`` by the singular vectors of the concepts; a sentence is the
-weighted sum of its words. Figures and names that both languages spell alike count by themselves.
+*Concepts.* All paired documents, hashed by id into ``GROUPS`` groups, are the shared concepts. A word of either language
+is represented by its similarities to them, the weights with which it occurs in that language's side of each group beyond
+what the group's size makes expected, reduced to ``DIMENSIONS`` by the singular vectors of the concepts; a sentence is the
+weighted sum of its words. Frequencies and weights are summed over the whole corpus; the driver gets the matrix of the
+``VOCABULARY`` most frequent words, and documents with others get the vectors of these by a join. Figures and names that
+both languages spell alike count by themselves.
 
 *Spans.* All pairs of one document meet in one batch, as products of small matrices: the same cosines as a join on
 (document, concept), without writing a row for each entry of each sentence, which at 2 x 10^6 sentences took more disk
@@ -16,7 +18,6 @@ delivered twice aligns once; a second side of which only a small part aligns ren
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelspark.llm.sentences import sentence_spans
+from gavelspark.session import cut
 
-#: Paired documents that serve as concepts, and the dimensions kept of them.
-CONCEPTS = 2000
+#: Groups of paired documents that serve as concepts, and the dimensions kept of them.
+GROUPS = 2048
 DIMENSIONS = 80
 #: Least cosine of two spans, least share of aligned units of the second side, and gain that a merged window must bring.
 LEAST = 0.66
@@ -37,8 +39,15 @@ SHORT, SHORT_GAIN = 3, 0.25
 WINDOW_GAIN = 0.08
 #: How far below the best cosine of words a pair may lie for figures and names to decide.
 FIGURE_REACH = 0.5
-#: A word in a larger share of the concepts says nothing about a sentence.
+#: A word in a larger share of the documents says nothing about a sentence, nor does one in fewer than RARE.
 COMMON = 0.55
+RARE = 3
+#: Tasks that sum the Gram matrix of the groups; each sends one to the driver.
+GRAM_TASKS = 4
+#: Words whose vectors all tasks hold; those of rarer words are joined to the documents that have them.
+VOCABULARY = 50_000
+#: Sums of a word and a group that a task holds before it passes them on.
+HELD = 2_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters of the first 256 characters as they are, all else as blanks: a fast path of _WORD.
@@ -46,6 +55,7 @@ _LETTERS = bytes(b if chr(b).isalpha() else 32 for b in range(256))
 _FIGURE = re.compile(r"\d+(?:[.,\s\u00a0\u202f]\d{3}(?!\d))*(?:[.,]\d+)?")
 _NAME = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]{2,}")
 _CLAUSE = re.compile(r"\s*;\s*(?!\(\d)")
+_TAG = re.compile(r"<[^<>]*>")
 _GROUP = re.compile(r"[\s\u00a0\u202f]")
 _PARTS = re.compile(r"^([\d.,]*?)(?:([.,])(\d{1,2}|\d{4,}))?$")
 
@@ -56,6 +66,14 @@ def figure(token: str) -> str:
     return head.replace(",", "").replace(".", "") + (f".{tail}" if mark else "")
 
 
+def bare_words(low: str) -> list[str]:
+    """Words of a text in lower case."""
+    try:
+        return low.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(low)
+
+
 def words(text: str) -> tuple[list[str], list[str], list[str]]:
     """Words in lower case, figures in one spelling, and capitalised words after the first."""
     low = text.lower()
@@ -63,46 +81,140 @@ def words(text: str) -> tuple[list[str], list[str], list[str]]:
     names = _NAME.findall(text)
     if names and text.startswith(names[0]):
         del names[0]
-    try:
-        bare = low.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
-    except UnicodeEncodeError:
-        bare = _WORD.findall(low)
-    return bare, figures, [t.lower() for t in names]
-
-
-def fit_concepts(pairs: list[tuple[str, str]], dimensions: int = DIMENSIONS) -> tuple[dict[str, int], dict[str, int], np.ndarray]:
-    """Word vectors of both languages from paired documents: two vocabularies and one matrix of weighted vectors."""
-    sides = [[Counter(words(re.sub(r"<[^<>]*>", " ", text))[0]) for text in side] for side in zip(*pairs, strict=True)] if pairs else [[], []]
-    vocabularies, blocks = [], []
-    for side in sides:
-        frequency = Counter(word for bag in side for word in bag)
-        n = len(side)
-        kept = sorted(w for w, f in frequency.items() if 3 <= f <= COMMON * n)
-        index = {w: i for i, w in enumerate(kept)}
-        block = np.zeros((len(kept), n), dtype=np.float32)
-        for j, bag in enumerate(side):
-            for w, c in bag.items():
-                if (i := index.get(w)) is not None:
-                    block[i, j] = 1 + np.log(c)
-        block -= block.mean(axis=1, keepdims=True)
-        block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-6)
-        idf = np.array([np.log(n / frequency[w]) for w in kept], dtype=np.float32)
-        vocabularies.append(index)
-        blocks.append((block, idf))
-    if not blocks or not len(blocks[0][0]) or not len(blocks[1][0]):
-        return {}, {}, np.zeros((1, dimensions), dtype=np.float32)
-    both = np.vstack([b for b, _ in blocks])
+    return bare_words(low), figures, [t.lower() for t in names]
+
+
+class _Sums:
+    """Weights and document frequencies of words by group, summed over the batches of a task."""
+
+    def __init__(self):
+        self.ids: tuple[dict, dict, dict] = ({}, {}, {"": 0})
+        self.parts: list[list[tuple]] = [[], [], []]
+        self.n = 0
+
+    def add(self, side: int, groups: np.ndarray, bags: list[list[str]]) -> None:
+        index = self.ids[side]
+        ids = np.fromiter((index.setdefault(w, len(index)) for bag in bags for w in bag), dtype=np.int64)
+        doc = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+        once, counts = np.unique(ids * len(bags) + doc, return_counts=True)
+        keys = once // len(bags) * GROUPS + groups[once % len(bags)]
+        self.parts[side].append((keys, 1 + np.log(counts), np.ones(len(keys), dtype=np.int64)))
+        self.n += len(keys)
+        if self.n > HELD:
+            self.compact()
+
+    def compact(self) -> None:
+        for side, parts in enumerate(self.parts):
+            if len(parts) > 1:
+                keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                self.parts[side] = [(keys, *(np.bincount(at, np.concatenate([p[k] for p in parts])) for k in (1, 2)))]
+        self.n = sum(len(p[0]) for parts in self.parts for p in parts)
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        self.compact()
+        for side, parts in enumerate(self.parts):
+            if not parts:
+                continue
+            names = list(self.ids[side])
+            keys, weights, counts = parts[0]
+            ids, starts = np.unique(keys // GROUPS, return_index=True)
+            groups, weights, ends = (keys % GROUPS).astype(np.uint16), weights.astype(np.float32), [*starts[1:].tolist(), len(keys)]
+            n = np.add.reduceat(counts, starts).astype(np.int64)
+            rows = [(side, names[i], k, groups[x:y].tobytes(), weights[x:y].tobytes()) for i, k, x, y in zip(ids.tolist(), n.tolist(), starts.tolist(), ends, strict=True)]
+            for k in range(0, len(rows), 1000):
+                yield pd.DataFrame(rows[k : k + 1000], columns=["side", "word", "n", "groups", "weights"])
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sums = _Sums()
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        groups = pdf.h.to_numpy()
+        for side, texts in enumerate((pdf["first"], pdf["second"])):
+            sums.add(side, groups, [bare_words((_TAG.sub(" ", t) if "<" in t else t).lower()) for t in texts])
+        sums.add(2, groups, [[""]] * len(pdf))
+        if sums.n > HELD:
+            yield from sums.rows()
+            sums = _Sums()
+    yield from sums.rows()
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one word, which follow one another, as one."""
+    now, n, dense, done = None, 0, np.zeros(GROUPS), []
+
+    def row() -> tuple:
+        at = np.flatnonzero(dense)
+        return (*now, n, at.astype(np.uint16).tobytes(), dense[at].astype(np.float32).tobytes())
+
+    columns = ["side", "word", "n", "groups", "weights"]
+    for pdf in batches:
+        for side, word, k, groups, weights in pdf.itertuples(index=False):
+            if (side, word) != now:
+                if now is not None and (n >= RARE or now[0] == 2):
+                    done.append(row())
+                now, n = (side, word), 0
+                dense[:] = 0
+            n += k
+            dense[np.frombuffer(groups, dtype=np.uint16)] += np.frombuffer(weights, dtype=np.float32)
+        yield pd.DataFrame(done, columns=columns)
+        done = []
+    if now is not None and (n >= RARE or now[0] == 2):
+        yield pd.DataFrame([row()], columns=columns)
+
+
+def word_profiles(paired: DataFrame) -> DataFrame:
+    """Words of both sides with their document frequency and their weights by group. ``paired``: id, first, second, one row
+    for each document. Returns side, word, n, groups, weights; side 2 has one row, the documents of each group."""
+    schema = "side int, word string, n long, groups binary, weights binary"
+    hashed = paired.select("first", "second", F.pmod(F.xxhash64("id"), F.lit(GROUPS)).alias("h"))
+    sums = hashed.mapInPandas(_summed, schema)
+    return sums.repartition("side", "word").sortWithinPartitions("side", "word").mapInPandas(_merged, schema)
+
+
+def _block(pdf: pd.DataFrame, n_docs: int, sizes: np.ndarray) -> np.ndarray:
+    """Centred rows of words over the groups, of length one."""
+    block = np.zeros((len(pdf), GROUPS), dtype=np.float32)
+    for row, groups, weights in zip(block, pdf.groups, pdf.weights, strict=True):
+        sums = np.frombuffer(weights, dtype=np.float32)
+        row[np.frombuffer(groups, dtype=np.uint16)] = sums
+        row -= sums.sum(dtype=np.float64) / n_docs * sizes
+    return block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-6)
+
+
+def word_vectors(paired: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame | None:
+    """Vectors of all words of both sides but the most common and the rarest. Returns side, word, n, vector (of 32-bit
+    numbers); None without documents. The driver gets the groups' sizes and GRAM_TASKS matrices of GROUPS x GROUPS."""
+    profiles = cut(word_profiles(paired))
+    documents = profiles.where("side = 2").collect()
+    if not documents:
+        return None
+    n_docs, sizes = documents[0]["n"], np.zeros(GROUPS)
+    sizes[np.frombuffer(documents[0]["groups"], dtype=np.uint16)] = np.frombuffer(documents[0]["weights"], dtype=np.float32)
+    kept = profiles.where((F.col("side") < 2) & (F.col("n") <= COMMON * n_docs))
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((GROUPS, GROUPS), dtype=np.float32)
+        for pdf in batches:
+            block = _block(pdf, n_docs, sizes)
+            total += block.T @ block
+        yield pd.DataFrame({"gram": [total.tobytes()]})
+
     # singular vectors of the concept space from its small Gram matrix
-    gram = both.T @ both
-    values, vectors = np.linalg.eigh(gram.astype(np.float64))
+    parts = kept.coalesce(GRAM_TASKS).mapInPandas(gram, "gram binary").collect()
+    summed = sum(np.frombuffer(r["gram"], dtype=np.float32).astype(np.float64) for r in parts)
+    values, vectors = np.linalg.eigh(summed.reshape(GROUPS, GROUPS))
     top = vectors[:, np.argsort(values)[::-1][:dimensions]].astype(np.float32)
-    projected = both @ top
-    projected /= np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-6)
-    weighted = projected * np.concatenate([i for _, i in blocks])[:, None] ** 0.5
-    if weighted.shape[1] < dimensions:
-        weighted = np.pad(weighted, ((0, 0), (0, dimensions - weighted.shape[1])))
-    second = {w: i + len(vocabularies[0]) for w, i in vocabularies[1].items()}
-    return vocabularies[0], second, np.vstack([weighted, np.zeros((1, dimensions), dtype=np.float32)])
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            projected = _block(pdf, n_docs, sizes) @ top
+            projected /= np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-6)
+            projected *= np.log(n_docs / pdf.n.to_numpy(dtype=np.float32))[:, None] ** 0.5
+            yield pdf[["side", "word", "n"]].assign(vector=[v.astype(np.float32).tobytes() for v in projected])
+
+    return cut(kept.mapInPandas(project, "side int, word string, n long, vector binary"))
 
 
 def units(text: str) -> list[tuple[int, str]]:
@@ -172,12 +284,15 @@ def merged_windows(pairs: list[tuple[int, int]], x: np.ndarray, y: np.ndarray, f
 class Aligner:
     """Aligns batches of documents with fixed word vectors."""
 
-    def __init__(self, first: dict[str, int], second: dict[str, int], matrix: np.ndarray):
+    def __init__(self, held: list[tuple[int, str, bytes]], dimensions: int = DIMENSIONS):
         # row 0 is the zero vector, so that unknown words, which give None, can be filtered out as false
-        self.indexes = tuple({w: i + 1 for w, i in v.items()} for v in (first, second))
-        self.matrix = np.vstack([matrix[-1:], matrix[:-1]])
+        self.indexes: tuple[dict, dict] = ({}, {})
+        for i, (side, word, _) in enumerate(held):
+            self.indexes[side][word] = i + 1
+        self.matrix = np.vstack([np.zeros((1, dimensions), dtype=np.float32), *(np.frombuffer(v, dtype=np.float32)[None] for _, _, v in held)])
 
-    def vectors(self, bags: list[list[str]], side: int) -> np.ndarray:
+    def vectors(self, bags: list[list[str]], side: int, others: list[dict]) -> np.ndarray:
+        """Vectors of bags of words; ``others``: for each bag the vectors of words that are not held."""
         known = self.indexes[side].get
         ids, starts = [], []
         for bag in bags:
@@ -185,13 +300,19 @@ class Aligner:
             ids.append(0)
             ids.extend(filter(None, map(known, bag)))
         out = np.add.reduceat(self.matrix[np.array(ids, dtype=np.int32)], np.array(starts), axis=0)
+        for row, bag, other in zip(out, bags, others, strict=True):
+            if other:
+                for vector in filter(lambda v: v is not None, map(other.get, bag)):
+                    row += vector
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
         return out
 
-    def documents(self, ids: list, firsts: list[str], seconds: list[str]) -> list[tuple]:
+    def documents(self, ids: list, firsts: list[str], seconds: list[str], rest: list | None = None) -> list[tuple]:
+        """Aligned sentences of documents; ``rest``: of each the side, word and vector of its words that are not held."""
         docs = []
         bags: tuple[list, list] = ([], [])
-        for doc, a, b in zip(ids, firsts, seconds, strict=True):
+        others: tuple[list, list] = ([], [])
+        for doc, a, b, more in zip(ids, firsts, seconds, rest or [None] * len(ids), strict=True):
             ua, ub = units(a), units(b)
             if not ua or not ub:
                 continue
@@ -199,9 +320,12 @@ class Aligner:
             docs.append((doc, ua, ub, wa, wb, len(bags[0]), len(bags[1])))
             bags[0].extend(w[0] for w in wa)
             bags[1].extend(w[0] for w in wb)
+            for side, n in enumerate((len(wa), len(wb))):
+                own = {m["word"]: np.frombuffer(m["vector"], dtype=np.float32) for m in ([] if more is None else more) if m["side"] == side}
+                others[side].extend([own] * n)
         if not docs:
             return []
-        va, vb = self.vectors(bags[0], 0), self.vectors(bags[1], 1)
+        va, vb = self.vectors(bags[0], 0, others[0]), self.vectors(bags[1], 1, others[1])
         rows = []
         for doc, ua, ub, wa, wb, ka, kb in docs:
             x, y = va[ka : ka + len(ua)], vb[kb : kb + len(ub)]
@@ -232,28 +356,42 @@ class Aligner:
         return rows
 
 
-def concept_pairs(documents: DataFrame, n: int = CONCEPTS) -> list[tuple[str, str]]:
-    """The paired documents that serve as concepts: ``n`` at most, those with the smallest hashed ids."""
-    total = documents.count()
-    # a share of the hash range that holds about three times as many rows, so that no task sends more than that
-    share = min(1.0, 3 * n / max(total, 1))
-    hashed = documents.withColumn("h", F.xxhash64("id")).where(F.shiftrightunsigned("h", 11) < int(share * (1 << 53)) + 1)
-    both = hashed.where("length(trim(first)) > 0 and length(trim(second)) > 0 and first <> second")
-    return [(r["first"], r["second"]) for r in both.orderBy("h").limit(n).select("first", "second").collect()]
+def _rest(paired: DataFrame, vectors: DataFrame, held: list) -> DataFrame:
+    """Words of each document that are not among ``held``, with their vectors. Returns id, rest."""
+    least = held[-1]
+    beyond = vectors.where(
+        (F.col("n") < least["n"]) | (F.col("n") == least["n"]) & ((F.col("side") > least["side"]) | (F.col("side") == least["side"]) & (F.col("word") > least["word"]))
+    )
+    known = paired.sparkSession.sparkContext.broadcast({(r["side"], r["word"]) for r in held})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, *texts in zip(pdf.id, pdf["first"], pdf["second"], strict=True):
+                for side, text in enumerate(texts):
+                    rows.extend((doc, side, w) for w in {w for _, t in units(text) for w in bare_words(t.lower())} if (side, w) not in known.value)
+            yield pd.DataFrame(rows, columns=["id", "side", "word"])
+
+    met = paired.mapInPandas(run, "id long, side int, word string").join(beyond.drop("n"), ["side", "word"])
+    return met.groupBy("id").agg(F.collect_list(F.struct("side", "word", "vector")).alias("rest"))
 
 
-def aligned_sentences(spark: SparkSession, documents: DataFrame, n_concepts: int = CONCEPTS) -> DataFrame:
+def aligned_sentences(spark: SparkSession, documents: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     """Sentences that render one another. ``documents``: id, first, second. Returns id, first_start, second_start."""
-    model = spark.sparkContext.broadcast(fit_concepts(concept_pairs(documents, n_concepts)))
+    both = documents.where("length(trim(first)) > 0 and length(trim(second)) > 0 and first <> second")
+    once = both.groupBy("id").agg(F.min(F.struct("first", "second")).alias("d")).select("id", "d.first", "d.second")
+    vectors = word_vectors(once)
+    held = [] if vectors is None else vectors.orderBy(F.desc("n"), "side", "word").limit(vocabulary).collect()
+    model = spark.sparkContext.broadcast([(r["side"], r["word"], bytes(r["vector"])) for r in held])
+    whole = len(held) < vocabulary or vectors.count() == len(held)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = Aligner(*model.value)
+        aligner = Aligner(model.value)
         for pdf in batches:
             for k in range(0, len(pdf), 256):
                 part = pdf.iloc[k : k + 256]
-                rows = aligner.documents(list(part.id), list(part["first"]), list(part["second"]))
+                rows = aligner.documents(list(part.id), list(part["first"]), list(part["second"]), None if whole else list(part.rest))
                 yield pd.DataFrame(rows, columns=["id", "first_start", "second_start"])
 
-    both = documents.where("length(trim(first)) > 0 and length(trim(second)) > 0 and first <> second")
-    once = both.groupBy("id").agg(F.min(F.struct("first", "second")).alias("d")).select("id", "d.first", "d.second")
-    return once.mapInPandas(run, "id long, first_start int, second_start int")
+    served = once if whole else once.join(_rest(once, vectors, held), "id", "left")
+    return served.mapInPandas(run, "id long, first_start int, second_start int")

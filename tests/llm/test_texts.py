@@ -85,6 +85,22 @@ def test_alignment_of_a_made_up_language(spark):
     assert not {r for r in got if r[0] >= 900}
 
 
+def test_word_vectors_cover_all_documents(spark):
+    # a word in a few of many documents has a vector, with the frequency counted over all of them
+    docs = [(k, f"The w{k % 7}x office sat.", f"Le z{k % 7}y bureau siège.") for k in range(6000)]
+    docs = [(k, a.replace("office", "lantern"), b.replace("bureau", "fanal")) if k % 1500 == 0 else (k, a, b) for k, a, b in docs]
+    df = spark.createDataFrame(docs, "id bigint, first string, second string")
+    got = {(r.side, r.word): r.n for r in alignment.word_vectors(df).collect()}
+    assert got[0, "lantern"] == got[1, "fanal"] == 4 and (0, "the") not in got
+
+
+def test_alignment_is_the_same_whatever_part_of_the_vocabulary_is_held(spark):
+    docs = [(k, first, " ".join(parts)) for k, (first, parts) in enumerate(bilingual(random.Random(4), 120))]
+    df = spark.createDataFrame(docs, "id bigint, first string, second string")
+    whole = {tuple(r) for r in alignment.aligned_sentences(spark, df).collect()}
+    assert whole and whole == {tuple(r) for r in alignment.aligned_sentences(spark, df, vocabulary=5).collect()}
+
+
 def test_alignment_of_nothing(spark):
     assert alignment.aligned_sentences(spark, spark.createDataFrame([], "id bigint, first string, second string")).count() == 0
 
