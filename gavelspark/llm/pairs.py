@@ -172,12 +172,13 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
     rows = pairs.select("pair_id", "prompt", "completion", masked(F.col("completion")).alias("t"))
     end = F.nullif(last_field(F.col("t")), F.lit(""))
     value = F.trim(F.regexp_replace(end, "^[^:]*:", ""))
-    # ends that say "not applicable" hold half of all rows and are never cut; they and answers without fields get a key of
-    # their own, so that no key of the join is that of a large share of the rows
+    # ends that say "not applicable" hold half of all rows and are never cut, so they are no rows of the join back, but they
+    # are neighbours of shortened ends; they and answers without fields get a key of their own, so that no key of the join is
+    # that of a large share of the rows
     open_end = F.when(~value.isin(*sorted(NOT_APPLICABLE)), end)
-    rows = rows.withColumn("t_end", F.coalesce(open_end, F.concat(F.lit("\u0000"), F.col("pair_id").cast("string"))))
+    rows = rows.withColumn("end", end).withColumn("t_end", F.coalesce(open_end, F.concat(F.lit("\u0000"), F.col("pair_id").cast("string"))))
     whole = shortened(rows.select("t")).withColumn("short", F.lit(True))
-    ends = shortened(rows.where(~F.startswith("t_end", F.lit("\u0000"))).select(F.col("t_end").alias("t"))).select(F.col("t").alias("t_end"), F.lit(True).alias("short_end"))
+    ends = shortened(rows.select(F.col("end").alias("t"))).select(F.col("t").alias("t_end"), F.lit(True).alias("short_end"))
     limits = limit_lengths(rows.where("completion is not null").select(F.col("completion").alias("text"))).withColumn("at_limit", F.lit(True))
     marked = (
         rows.withColumn("n", F.length("completion"))

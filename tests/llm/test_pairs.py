@@ -52,6 +52,15 @@ def test_correction_cut_short_is_found_by_its_neighbours(spark):
     assert got == {99: "truncated", 100: "truncated"}
 
 
+def test_correction_cut_inside_not_applicable_is_found(spark):
+    sound = "VERDICT: TRUE\nCONFIDENCE: 90\nEXPLANATION: The record of division {} shows it.\nCORRECTION: {}"
+    ends = ["N/A"] * 6 + ["S. O."] * 6 + ["N", "N/", "S."]
+    words = "seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty".split()
+    rows = [(i, PROMPT, sound.format(w, e)) for i, (w, e) in enumerate(zip(words, ends, strict=True))]
+    got = {r.pair_id: r.defect for r in pairs.defective_pairs(spark.createDataFrame(rows, "pair_id bigint, prompt string, completion string")).collect()}
+    assert got == {12: "truncated", 13: "truncated", 14: "truncated"}
+
+
 def test_length_limit(spark):
     rows = [("x" * n + ".",) for n in range(30, 70)] + [("y" * 50 + str(i) + "z" * (46 - len(str(i))),) for i in range(40)]
     assert [r.n for r in pairs.limit_lengths(spark.createDataFrame(rows, "text string")).collect()] == [96]
