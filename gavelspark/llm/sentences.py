@@ -2,9 +2,10 @@
 
 Spaced scripts: every terminator is a node of a lattice whose edges say what may follow it; the token before (title,
 reference, date, initial, other abbreviation) and the token after (case, script, digit) decide whether the sentence ends.
-Scripts without spaces: the words after a gap are read from a word lattice over the function words below, and the
-gap is classed by final particles before it and opening or continuing words after it; a script without full stops ends a
-sentence at a blank. Quotations and parentheses are skipped as a whole and judged at their end.
+Scripts without spaces: the words on both sides of a gap are those of the best path through a word lattice, whose edges are
+the words listed below and single unknown characters; a blank without a stop ends a sentence if a final particle stands
+before it and no continuing word after it, and a quotation by the word after it. A script without full stops ends a sentence
+at a blank. Quotations and parentheses are skipped as a whole and judged at their end.
 
 Defined results: a null text, or one without any letter or digit, has no sentences; tags and empty lines end a sentence;
 texts of any length are read whole, in time proportional to their length.
@@ -31,6 +32,9 @@ OPENERS = frozenset("the a an this that these those we i it he she they you in o
 #: Words that carry a sentence on after a quotation in a script without spaces, and words that open one.
 CONTINUING = frozenset("と って という といった との とか は が を に も で の へ 然后 接着 说 道 地 的 着 了 并 并且 而 这 之后 来 后 또 고 라고 이라고 라는 하고".split())
 OPENING = frozenset("我 我们 你 他 她 它 这里 去年 今年 部长 第 谁 渡轮 私 私たち 大臣 橋 予算 今 昨年 また しかし そして".split())
+#: Words that end a sentence in a script without spaces, and words that only look like one of the others.
+FINAL_WORDS = frozenset("です ます でした ました ません ませんでした でしょう ましょう だ だった である よ ね か ですか ますか ましたか ください 了 吗 呢 吧 啊 呀 嘛".split())
+SHIELDS = frozenset("静か 確か 明らか 僅か わずか 豊か 何か 誰か いつか どこか まだ ただ から ので 为了 除了 了解 来年 来週 后来 地方 的确 目的 着急 说明 もし もう もっと".split())
 
 _THAI = "฀-๿຀-໿ក-៿"
 _OPEN = {'"': '"', "“": "”", "«": "»", "„": "“", "「": "」", "『": "』", "(": ")", "（": "）", "‹": "›", "《": "》"}
@@ -49,17 +53,45 @@ _NEXT_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _HAS_WORD = re.compile(r"[^\W_]")
 _OWN_STOP = re.compile(r"[ऀ-෿぀-ヿ㐀-鿿԰-֏ሀ-፿]")
 _SPACELESS = re.compile(rf"[぀-ヿ㐀-鿿가-힯{_THAI}]")
-_LONGEST = max(map(len, CONTINUING | OPENING))
+_WORDS = CONTINUING | OPENING | FINAL_WORDS | SHIELDS
+_LONGEST = max(map(len, _WORDS))
+#: Characters on either side of a gap that the lattice is built over.
+_REACH = 16
+_KANA_HAN = re.compile(r"[぀-ヿ㐀-鿿]")
+#: Also blanks between two such characters; only texts that hold such characters are searched this way.
+_GAP = r"(?<=[぀-ヿ㐀-鿿])[^\S\n]+(?=[぀-ヿ㐀-鿿])"
+_GAPS = re.compile(rf"{_MARKS}|{_GAP}")
+_GAPS_AND_BLANKS = re.compile(rf"{_BLANKS.pattern}|{_GAP}")
+
+
+def lattice_path(text: str) -> list[str]:
+    """Words of the best path through the lattice of ``text``: an unknown character costs twice as much as a known word, and
+    of two equal paths the one whose last word is longer wins."""
+    cost, back = [0], [0]
+    for end in range(1, len(text) + 1):
+        best, start = cost[end - 1] + 2, end - 1
+        for n in range(1, min(_LONGEST, end) + 1):
+            if text[end - n : end] in _WORDS and cost[end - n] + 1 <= best:
+                best, start = cost[end - n] + 1, end - n
+        cost.append(best)
+        back.append(start)
+    path, end = [], len(text)
+    while end:
+        path.append(text[back[end] : end])
+        end = back[end]
+    return path[::-1]
 
 
 def lattice_first(text: str, at: int) -> str | None:
-    """First word of the best path through the lattice of known words: the longest one that another known word or any
-    letter may follow; None where no known word stands."""
-    for n in range(_LONGEST, 0, -1):
-        word = text[at : at + n]
-        if word in CONTINUING or word in OPENING:
-            return word
-    return None
+    """First word of the best path through the lattice of what stands at ``at``; None where no known word stands."""
+    path = lattice_path(text[at : at + _REACH])
+    return path[0] if path and path[0] in _WORDS else None
+
+
+def _gap_ends(text: str, left: int, at: int, after: int) -> bool:
+    """Whether a blank in a spaceless script, from ``at`` to ``after``, ends the sentence that began at ``left``."""
+    before = lattice_path(text[max(left, at - _REACH) : at])
+    return bool(before) and before[-1] in FINAL_WORDS and not _carries_on(text, after)
 
 
 def _carries_on(text: str, at: int) -> bool:
@@ -144,11 +176,17 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     skip = left = 0
     n = len(text)
     stopless = _STOPLESS.search(text) is not None
-    for m in (_BLANKS if stopless else _FIRST).finditer(text):
+    gapped = _KANA_HAN.search(text) is not None
+    for m in (_GAPS_AND_BLANKS if stopless and gapped else _BLANKS if stopless else _GAPS if gapped else _FIRST).finditer(text):
         i = m.start()
         if i < skip:
             continue
-        if not stopless and (m := _TOKEN.match(text, i)) is None:
+        if gapped and text[i].isspace() and "\n" not in m[0] and _KANA_HAN.match(text, i - 1):
+            if _gap_ends(text, left, i, m.end()):
+                cuts.append((i, m.end()))
+                left = skip = m.end()
+            continue
+        if not stopless and not gapped and (m := _TOKEN.match(text, i)) is None:
             continue
         j = m.end()
         c = text[i]

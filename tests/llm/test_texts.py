@@ -52,6 +52,21 @@ def test_sentence_rows_once(spark):
     assert sentences.sentence_units(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,starts",
+    [
+        ("予算は減りました 橋はいつ直るのですか 誰も知りません", [0, 9, 20]), ("这座桥修好了 谁来支付账单呢 我们不能等", [0, 7, 15]),
+        ("予算 は減りました", [0]), ("これは静か 橋です", [0]), ("为了 我们的桥", [0]), ("予算は減りました が橋は直りました", [0]), ("予算は減りました\n橋は直りました", [0]),
+    ],
+)
+def test_gaps_in_spaceless_scripts(text, starts):
+    assert [s for s, _ in sentences.sentence_spans(text)] == starts
+
+
+def test_lattice_path():
+    assert sentences.lattice_path("橋は静かです") == ["橋", "は", "静か", "です"] and sentences.lattice_path("") == []
+
+
 # alignment
 
 
