@@ -51,17 +51,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in shared storage; an executor lost later costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def bounded_batches(spark: SparkSession, records: int = 1000) -> None:
-    """Keep Arrow batches of long texts small: a batch holds at most ``records`` texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan with fewer splits than there are cores, dealt to as many tasks; larger scans as they are.
-
-    For scans that feed much Python work: a few small files would keep most cores idle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
