@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("GAVEL_DRIVER_MEMORY", "8g"))
     )
@@ -30,14 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local master, as in tests, gets a temporary folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a local master, as in tests, gets a temporary folder.
 
     A machine-local folder would be lost with its executor, so on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
+    if folder := sc.getCheckpointDir():
+        return folder
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
@@ -45,9 +47,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gavelspark-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return sc.getCheckpointDir()
+
+
+def _storable(df: DataFrame) -> bool:
+    """Whether a Parquet file can hold the table: no name twice, no column without a type."""
+    names = [c.lower() for c in df.columns]
+    return len(names) == len(set(names)) and bool(names) and not any("void" in kind or "interval" in kind for _, kind in df.dtypes)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in shared storage; an executor lost later costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df`` in shared storage; an executor lost later costs no recomputation.
+
+    The table is written once and read back, with its size known to the optimizer; ``checkpoint`` computes it twice and
+    serves only tables that Parquet cannot hold. What is written is deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if not _storable(df):
+        return df.checkpoint(eager=True)
+    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
