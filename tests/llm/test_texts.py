@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from gavelspark.llm import alignment, leakage, packing, pii, sentences
@@ -40,7 +41,7 @@ def test_monotonous_texts_take_linear_time(piece):
     import time
 
     text = piece * (40000 // len(piece))
-    for f in (sentences.sentence_spans, leakage.word_list, pii.find_spans, alignment.words):
+    for f in (sentences.sentence_spans, lambda t: leakage.word_hashes([t]), pii.find_spans, alignment.words):
         began = time.time()
         f(text)
         assert time.time() - began < 5
@@ -179,37 +180,89 @@ def test_packed_documents(spark):
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five six seven eight nine ten eleven twelve".split()
 
 
-@pytest.mark.parametrize(
-    "words,leaked",
-    [
-        (ITEM, True), (ITEM[3:27], True), (ITEM[3:26], False), ([w.upper() + "," for w in ITEM[2:34]], True), (ITEM[:10] + ["changed"] + ITEM[11:30], True), (ITEM[:12] + ITEM[13:32], True),
-        (ITEM[:12] + ["added"] + ITEM[12:30], True), (ITEM[:12] + ["other"] * 9 + ITEM[20:34], False), (ITEM[18:] + ITEM[:18], False), (["none"] * 50, False), ([], False),
-    ],
-)
-def test_leaks(words, leaked):
-    index = leakage.ItemIndex([(1, " ".join(ITEM)), (2, "too short to leak"), (3, None)])
-    text = "Some words before. " + " ".join(words) + " and after."
-    assert [i for i, _ in leakage.leaked_items(index, text)] == ([1] if leaked else [])
+LEAK_CASES = [
+    (ITEM, True), (ITEM[3:27], True), (ITEM[3:26], False), ([w.upper() + "," for w in ITEM[2:34]], True), (ITEM[:10] + ["changed"] + ITEM[11:30], True), (ITEM[:12] + ITEM[13:32], True),
+    (ITEM[:12] + ["added"] + ITEM[12:30], True), (ITEM[:12] + ["other"] * 9 + ITEM[20:34], False), (["none"] * 50, False), ([], False),
+    (ITEM[:7] + ["a"] + ITEM[8:13] + ["b"] + ITEM[14:19] + ["c"] + ITEM[20:27], True),
+    (["<b>" + ITEM[0] + "</b>"] + ITEM[1:9] + ["\n- Page 3 of 9 -\n"] + ITEM[9:25], True),
+]
+
+
+def leak_tables(spark, texts, items):
+    return spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+
+
+def test_leaks(spark):
+    docs, items = leak_tables(spark, [(k, "Some words before. " + " ".join(words) + " and after.") for k, (words, _) in enumerate(LEAK_CASES)], [(1, " ".join(ITEM)), (2, "too short to leak"), (3, None)])
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).where("kind = 'passage'").collect()}
+    assert got == {(k, 1) for k, (_, leaked) in enumerate(LEAK_CASES) if leaked}
+
+
+def test_reordered_passages_are_covered(spark):
+    item = [f"w{k}" for k in range(46)]
+    docs, items = leak_tables(spark, [(1, " ".join(item[23:] + ["and", "so"] + item[:23])), (2, " ".join(item[:23])), (3, " ".join(item[::-1]))], [(5, " ".join(item))])
+    assert [(r.doc_id, r.item_id, r.n_covered, r.n_item, r.kind) for r in leakage.leaks(docs, items).collect()] == [(1, 5, 46, 46, "reordered")]
 
 
 def test_tiles_do_not_overlap():
     rng = random.Random(2)
     for _ in range(100):
-        a, b = ([rng.choice("abc") for _ in range(30)] for _ in range(2))
+        texts = [" ".join(rng.choice("abc") for _ in range(30)) for _ in range(2)]
+        a, b = (leakage.word_hashes([t])[0] for t in texts)
         seen_a, seen_b = [], []
         for i, j, n in leakage.tiles(a, b):
-            assert a[i : i + n] == b[j : j + n]
+            assert (a[i : i + n] == b[j : j + n]).all()
             seen_a += range(i, i + n)
             seen_b += range(j, j + n)
         assert len(seen_a) == len(set(seen_a)) and len(seen_b) == len(set(seen_b))
 
 
+@pytest.mark.parametrize("text,words", [("It's 1,882 or 1 882, U.S. well-being; a–b", ["its", "1882", "or", "1882", "us", "wellbeing", "ab"]), ("<p>One</p>two\nPage 3 of 4\nthree", ["one", "two", "three"]), ("12 345 6789 1 23", ["12345", "6789", "1", "23"]), ("", []), ("...", []), ("été Été", ["été", "été"])])
+def test_word_hashes(text, words):
+    got, begins = leakage.word_hashes(["before", text, "after"])
+    expected = np.concatenate([leakage.word_hashes([w])[0] for w in ["before", *words, "after"]])
+    assert got.tolist() == expected.tolist() and begins.tolist() == [0, 1, 1 + len(words), 2 + len(words)]
+
+
+def test_every_passage_keeps_two_chosen_seeds():
+    rng = random.Random(4)
+    for _ in range(60):
+        n = rng.randint(24, 60)
+        costs = [rng.randint(0, 30) for _ in range(n - 3)]
+        chosen = leakage.choose(costs)
+        for start in range(n - 23):
+            for _ in range(20):
+                changed = rng.sample(range(start, start + 24), 3)
+                left = [p for p in chosen if start <= p <= start + 20 and not any(p <= c < p + 4 for c in changed)]
+                assert len(left) >= 2
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(6)
+    phrases = [[rng.choice("abcdefghij") + rng.choice("klmnop") + str(rng.randrange(9)) for _ in range(6)] for _ in range(40)]
+    items = [(k, [w for p in rng.sample(phrases, 8) for w in p]) for k in range(30)]
+    docs = []
+    for d in range(120):
+        words = [w for p in rng.sample(phrases, 12) for w in p]
+        if d % 3 == 0:
+            item = rng.choice(items)[1]
+            begin, size = rng.randrange(20), rng.randint(20, 28)
+            part = item[begin : begin + size]
+            for _ in range(rng.randint(0, 2)):
+                part[rng.randrange(len(part))] = "changed"
+            words[30:30] = part
+        docs.append((d, words))
+    hashed = lambda words: leakage.word_hashes([" ".join(words)])[0]
+    expected = {(d, k) for d, words in docs for k, item in items if leakage.longest_passage(leakage.tiles(hashed(item), hashed(words))) >= 24}
+    frames = leak_tables(spark, [(d, " ".join(w)) for d, w in docs], [(k, " ".join(w)) for k, w in items])
+    assert expected and {(r.doc_id, r.item_id) for r in leakage.leaks(*frames).where("kind = 'passage'").collect()} == expected
+
+
 def test_leak_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK", 1)
-    docs = spark.createDataFrame([(1, " ".join(ITEM)), (2, None), (3, ""), (4, "x " + " ".join(ITEM))], "doc_id bigint, text string")
-    items = spark.createDataFrame([(7, " ".join(ITEM)), (8, " ".join(ITEM[::-1])), (9, None)], "item_id bigint, text string")
+    docs, items = leak_tables(spark, [(1, " ".join(ITEM)), (2, None), (3, ""), (4, "x " + " ".join(ITEM)), (4, "x " + " ".join(ITEM))], [(7, " ".join(ITEM)), (8, " ".join(ITEM[::-1])), (9, None), (7, " ".join(ITEM))])
     assert sorted((r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()) == [(1, 7), (4, 7)]
-    assert leakage.leaks(docs, items.limit(0)).count() == 0
+    assert leakage.leaks(docs, items.limit(0)).count() == 0 and leakage.leaks(docs.limit(0), items).count() == 0
 
 
 # personal information
