@@ -6,10 +6,10 @@ Karp-Rabin sum:
 1. *Counts.* The occurrences in the whole corpus of every seed of an item are summed.
 2. *Seeds.* Of every ``LEAST_WORDS`` consecutive words of an item the ``CHOSEN`` disjoint seeds with the fewest occurrences
    are looked for, so that frequent seeds (boilerplate) are left out wherever rarer ones stand beside them. ``EDITS`` words
-   changed, dropped or added spoil at most as many disjoint seeds, so a passage always keeps ``HITS`` of them.
-3. *Join.* The occurrences of these seeds are joined to the items in SQL; an item with ``HITS`` of its seeds near one
-   diagonal of a document is a candidate. It is tiled where ``LEAST_WORDS`` of its words near one diagonal hold as many
-   seeds of any frequency as ``EDITS`` words leave whole.
+   changed, dropped or added spoil at most as many disjoint seeds, so a passage always keeps one of them.
+3. *Join.* The seeds that a document holds are joined to the items in SQL; an item with a seed in common is a candidate. It is
+   tiled where ``LEAST_WORDS`` of its words near one diagonal hold as many runs of ``SHORT`` words, of any frequency, as
+   ``EDITS`` words leave whole.
 4. *Tiles.* The longest runs of equal words that do not overlap are marked, longer ones first; tiles apart by single changed,
    dropped or added words make passages, and the words in tiles of ``COVER_RUN`` or more make the item's coverage, in
    whatever order they stand.
@@ -36,12 +36,13 @@ from pyspark.sql import functions as F
 from gavelspark.session import cut
 
 LEAST_WORDS = 24
-SEED = 4
+SEED = 5
 #: Words changed, dropped or added among LEAST_WORDS that no candidate is lost by.
 EDITS = 3
-#: Chosen seeds that a candidate must hold near one diagonal, and disjoint seeds chosen among LEAST_WORDS words.
-HITS = 2
-CHOSEN = EDITS + HITS
+#: Disjoint seeds chosen among LEAST_WORDS words.
+CHOSEN = EDITS + 1
+#: Length of the runs of words that are counted near one diagonal before an item is tiled.
+SHORT = 4
 #: Width of a stripe of diagonals; stripes overlap by half.
 BAND = 8
 #: Most words that may lie between two tiles of one passage: in the item, and in the document (a footer adds some).
@@ -142,11 +143,11 @@ def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return _mixed((sums[size:] - sums[:-size]) * inverse[: len(words) - size + 1])
 
 
-def seeds(words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds that lie within one text, and the places of their first words."""
-    found = run_hashes(words, SEED)
+def seeds(words: np.ndarray, begins: np.ndarray, size: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``size`` words that lie within one text, and the places of their first words."""
+    found = run_hashes(words, size)
     whole = np.ones(len(found), dtype=bool)
-    for k in range(1, SEED):
+    for k in range(1, size):
         across = begins[1:] - k
         whole[across[(across >= 0) & (across < len(found))]] = False
     places = np.flatnonzero(whole)
@@ -275,8 +276,8 @@ def chosen_seeds(seeds_of: DataFrame, counts: DataFrame) -> DataFrame:
     return counted.mapInPandas(run, "row long, pos int, seed long")
 
 
-def seed_places(documents: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Places of the seeds of a map in the corpus. Returns doc_id, at, seed."""
+def seeds_of_documents(documents: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Documents with the seeds of a map that they hold. Returns doc_id, seed, each once for a document."""
     shared = documents.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,29 +287,30 @@ def seed_places(documents: DataFrame, bits: np.ndarray) -> DataFrame:
                 words, begins = word_hashes(texts[a:b])
                 found, places = seeds(words, begins)
                 kept = _listed(shared.value, found)
-                found, places = found[kept], places[kept]
-                doc = np.searchsorted(begins, places, side="right") - 1
-                yield pd.DataFrame({"doc_id": ids[a:b][doc], "at": (places - begins[doc]).astype(np.int32), "seed": found.view(np.int64)})
+                found, doc = found[kept], np.searchsorted(begins, places[kept], side="right") - 1
+                order = np.lexsort((found, doc))
+                found, doc = found[order], doc[order]
+                once = np.ones(len(found), dtype=bool)
+                once[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
+                yield pd.DataFrame({"doc_id": ids[a:b][doc[once]], "seed": found[once].view(np.int64)})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, at int, seed long")
+    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, seed long")
 
 
-def candidates(places: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Documents and items that share HITS chosen seeds near one diagonal. Returns doc_id, row."""
-    met = places.join(chosen, "seed").withColumn("diagonal", F.col("at") - F.col("pos"))
-    stripes = F.array(2 * F.floor(F.col("diagonal") / BAND), 2 * F.floor((F.col("diagonal") + BAND // 2) / BAND) + 1)
-    held = met.select("doc_id", "row", "pos", F.explode(stripes).alias("stripe")).groupBy("doc_id", "row", "stripe").agg(F.min("pos").alias("p"), F.max("pos").alias("q"))
-    return held.where("p < q").select("doc_id", "row").distinct()
+def candidates(held: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Documents with the items of which they hold a chosen seed. Returns doc_id, rows. A document's seeds stand together,
+    so its items are put into one set before the shuffle."""
+    return held.join(chosen.select("seed", "row"), "seed").groupBy("doc_id").agg(F.collect_set("row").alias("rows"))
 
 
 class _Block:
-    """All seeds of a block of items, sorted, with the items and places they come from."""
+    """All runs of SHORT words of a block of items, sorted, with the items and places they come from."""
 
     def __init__(self, items: list[tuple[int, int, bytes]]):
         self.ids = [item for _, item, _ in items]
         self.words = [np.frombuffer(w, dtype=_U) for _, _, w in items]
         self.index = {row: k for k, (row, _, _) in enumerate(items)}
-        runs = [run_hashes(w, SEED) for w in self.words]
+        runs = [run_hashes(w, SHORT) for w in self.words]
         every = np.concatenate([*runs, np.zeros(0, dtype=_U)])
         order = np.argsort(every, kind="stable")
         self.item = np.repeat(np.arange(len(runs)), [len(r) for r in runs])[order]
@@ -317,9 +319,9 @@ class _Block:
         self.longest = max(map(len, self.words), default=0) + 1
 
     def stretches(self, words: np.ndarray, begins: np.ndarray, wanted: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """Stretches of documents near whose diagonal LEAST_WORDS words of an item keep as many seeds as EDITS words changed
-        leave. ``wanted``: documents by items, true for candidates. Keys are (document, item), values spans of words."""
-        found, places = seeds(words, begins)
+        """Stretches of documents near whose diagonal LEAST_WORDS words of an item keep as many runs of SHORT words as EDITS words
+        changed leave. ``wanted``: documents by items, true for candidates. Keys are (document, item), values spans of words."""
+        found, places = seeds(words, begins, SHORT)
         if not len(found) or not len(self.keys):
             return {}
         k = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
@@ -337,12 +339,12 @@ class _Block:
         width = int((len(words) + 2 * self.longest) // BAND + 2)
         pair = doc * len(self.words) + item
         spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        least = LEAST_WORDS - SEED + 1 - SEED * EDITS
+        least = LEAST_WORDS - SHORT + 1 - SHORT * EDITS
         for half in (0, BAND // 2):
             stripe = pair * width + (diagonal + half) // BAND
             place = np.unique(stripe * self.longest + pos)
             stripe, p = place // self.longest, place % self.longest
-            dense = (stripe[least - 1 :] == stripe[: 1 - least]) & (p[least - 1 :] - p[: 1 - least] <= LEAST_WORDS - SEED)
+            dense = (stripe[least - 1 :] == stripe[: 1 - least]) & (p[least - 1 :] - p[: 1 - least] <= LEAST_WORDS - SHORT)
             for s in np.unique(stripe[: 1 - least][dense]).tolist():
                 d, i = divmod(s // width, len(self.words))
                 low = s % width * BAND - half - self.longest
@@ -354,7 +356,7 @@ class _Block:
 
 
 def tiled(documents: DataFrame, found: DataFrame, block: list[tuple[int, int, bytes]]) -> DataFrame:
-    """Candidates with their tiles summed up. ``found``: doc_id, row, of the items of ``block``: row, item_id, words.
+    """Candidates with their tiles summed up. ``found``: doc_id, rows, of the items of ``block``: row, item_id, words.
     Returns doc_id, item_id, n_item, n_words, n_covered."""
     shared = documents.sparkSession.sparkContext.broadcast(block)
     columns = ["doc_id", "item_id", "n_item", "n_words", "n_covered"]
@@ -362,7 +364,7 @@ def tiled(documents: DataFrame, found: DataFrame, block: list[tuple[int, int, by
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = _Block(shared.value)
         for pdf in batches:
-            texts, ids, listed = list(pdf.text), list(pdf.doc_id), list(pdf.listed)
+            texts, ids, listed = list(pdf.text), list(pdf.doc_id), list(pdf.rows)
             for a, b in chunks(texts):
                 words, begins = word_hashes(texts[a:b])
                 wanted = np.zeros((b - a, len(held.words)), dtype=bool)
@@ -377,8 +379,7 @@ def tiled(documents: DataFrame, found: DataFrame, block: list[tuple[int, int, by
                     out.append((ids[a + d], held.ids[i], len(held.words[i]), longest_passage(met), sum(n for _, _, n in met if n >= COVER_RUN)))
                 yield pd.DataFrame(out, columns=columns)
 
-    grouped = found.groupBy("doc_id").agg(F.collect_set("row").alias("listed"))
-    return documents.join(grouped, "doc_id").mapInPandas(run, "doc_id long, item_id long, n_item int, n_words int, n_covered int")
+    return documents.join(found, "doc_id").mapInPandas(run, "doc_id long, item_id long, n_item int, n_words int, n_covered int")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -456,14 +457,15 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     all_seeds = cut(item_seeds(words))
     counts = seed_counts(rows, seed_map(all_seeds))
     chosen = cut(chosen_seeds(all_seeds, counts))
-    found = candidates(seed_places(rows, seed_map(chosen)), chosen)
+    found = candidates(seeds_of_documents(rows, seed_map(chosen)), chosen)
     blocks = -(-words.count() // BLOCK)
     found = cut(found) if blocks > 1 else found
     met = documents.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item int, n_words int, n_covered int")
     for k in range(blocks):
         mine = F.pmod("row", F.lit(blocks)) == k
         block = [(r["row"], r["item_id"], np.array(r["words"], dtype=np.int64).tobytes()) for r in words.where(mine).collect()]
-        met = met.unionByName(tiled(rows, found.where(mine), block))
+        theirs = found if blocks == 1 else found.withColumn("rows", F.filter("rows", lambda r: F.pmod(r, F.lit(blocks)) == k)).where(F.size("rows") > 0)
+        met = met.unionByName(tiled(rows, theirs, block))
     best = met.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.max("n_covered").alias("n_covered"), F.max("n_item").alias("n_item"))
     covered = (F.col("n_covered") >= LEAST_WORDS) & (F.col("n_covered") >= LEAST_COVER * F.col("n_item"))
     kind = F.when(F.col("n_words") >= LEAST_WORDS, "passage").when(covered, "reordered")
