@@ -1,8 +1,10 @@
-"""A small language guess from scripts and function words; no trained model, the same at every size."""
+"""A small language guess from scripts and function words; no trained model, the same at every size. Languages without a list
+are told by the lack of function words of all others."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import regex
@@ -20,10 +22,10 @@ FUNCTION_WORDS = {
 _IN = Counter(word for words in FUNCTION_WORDS.values() for word in set(words.split()))
 #: A word counts the less, the more languages have it.
 _WEIGHTS = {lang: {word: 1 / _IN[word] for word in words.split()} for lang, words in FUNCTION_WORDS.items()}
-_TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[a-z]+")
-_LATIN = regex.compile(r"\p{Latin}")
-_LETTER = regex.compile(r"\p{L}")
+#: Letters of the Latin blocks.
+_LATIN = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ]+")
 QUOTED = regex.compile(r"«[^»]*(?:»|$)|“[^”]*(?:”|$)|\"[^\"]*(?:\"|$)")
 
 
@@ -35,21 +37,29 @@ def unquoted(text: str) -> str:
     return inner
 
 
+#: A text of so many words is in none of the languages if its likeliest one's score is below this share of its words.
+LEAST_WORDS, LEAST_SHARE = 8, 0.12
+
+
 def guess(text: str) -> str | None:
-    """Language of a text, ``other`` for a script other than Latin, None where too little speaks for one."""
+    """Language of a text, ``other`` for a script other than Latin or a language without a list, None where too little
+    speaks for one."""
     if text.isascii():
         tokens = _PLAIN.findall(text.lower())
         if not tokens:
             return None
     else:
-        letters = len(_LETTER.findall(text))
+        tokens = _LETTERS.findall(unicodedata.normalize("NFC", text).lower())
+        letters = sum(map(len, tokens))
         if not letters:
             return None
-        if len(_LATIN.findall(text)) < 0.5 * letters:
+        if sum(map(len, _LATIN.findall(text))) < 0.5 * letters:
             return "other"
-        tokens = _TOKEN.findall(text.lower())
-    counts = Counter(t for t in tokens if t in _IN)
-    score = {lang: sum(weights[t] * n for t, n in counts.items() if t in weights) for lang, weights in _WEIGHTS.items()}
+    counts = Counter(tokens)
+    known = [(w, counts[w]) for w in counts.keys() & _IN.keys()]
+    score = {lang: sum(weights[w] * n for w, n in known if w in weights) for lang, weights in _WEIGHTS.items()}
     best = max(score, key=score.get)
+    if len(tokens) >= LEAST_WORDS and score[best] < LEAST_SHARE * len(tokens):
+        return "other"
     first, second = sorted(score.values(), reverse=True)[:2]
     return best if first >= 1 and first >= 1.2 * second else None

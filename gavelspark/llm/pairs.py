@@ -4,9 +4,10 @@
    neighbour: a proper prefix of the next distinct text is a shortened version of it. The same is done with the texts
    of the last field of each answer, since most answers differ earlier. The sort is a range shuffle; the text that
    follows a partition's last one comes from a table with one row per partition.
-2. *Length limits.* A length at which far more unfinished answers end than at the lengths around it is a limit.
+2. *Length limits.* A length at which far more different unfinished answers end than at the lengths around it is a limit.
 3. *Rules* for empty, refused, copied and foreign answers, and for what 1 and 2 found, in that order; every pair gets at
-   most one defect.
+   most one defect. The rules read every pair once; what depends on 1 and 2 is settled afterwards by joins on hashes, for
+   the few pairs that it can decide.
 
 Defined results: a null or blank answer is ``empty``; with a null prompt nothing can be a copy or in another language;
 repeated pairs are judged alike; an empty table gives no rows; answers of any length are read whole.
@@ -14,6 +15,7 @@ repeated pairs are judged alike; an empty table gives no rows; answers of any le
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,9 +26,10 @@ from pyspark.sql import functions as F
 from gavelspark.llm import languages
 from gavelspark.session import cut
 
-#: A length is a limit if so many more unfinished answers end there than on average at the ten lengths around it.
+#: A length is a limit if so many times more unfinished answers end there than on average at the ten lengths around it, and
+#: so many standard deviations more.
 SPIKE_RATIO = 8.0
-SPIKE_LEAST = 20
+SPIKE_SIGMA = 6.0
 #: Share of an answer's words that must stand in runs of at least COPY_RUN words of the prompt.
 COPY_SHARE = 0.85
 COPY_RUN = 5
@@ -51,9 +54,14 @@ REFUSAL = regex.compile(
 _LABEL = regex.compile(r"(?<![\p{L}/\[])(verdict|confidence|explanation|correction)\s*[:：]", regex.I)
 _TAG = regex.compile(r"<[^<>]*>")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
 _DECIDED = regex.compile(r"\b(?:true|false|vrai|faux|half-true|mostly|barely-true|pants-fire)\b", regex.I)
 _LEAD_IN = regex.compile(r"^\s*(?:>|(?:claim|answer|q|a|question|response|réponse|affirmation|statement|quote)\s*[:：])\s*", regex.I)
 _FINISHED = regex.compile(r"[.!?…。！？।][\s\"'”’»)\]]*$")
+_PLACEHOLDER = re.compile(r"\s*\[")
+_FIGURES = re.compile(r"[\d\s%]*")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_BEGUN = re.compile(r"(?i)\s*v(?:e(?:r(?:d(?:i(?:c(?:t\s*:?)?)?)?)?)?)?\s*$")
 
 
 def masked(text: Column) -> Column:
@@ -86,11 +94,15 @@ def unfinished(text: Column) -> Column:
 
 
 def limit_lengths(answers: DataFrame) -> DataFrame:
-    """Lengths at which answers were cut by a limit. ``answers``: text. Returns n."""
-    ends = answers.where(unfinished(F.col("text"))).groupBy(F.length("text").alias("n")).agg(F.count("*").alias("c"))
+    """Lengths at which answers were cut by a limit. ``answers``: text, form (equal for answers that say the same). Returns n.
+
+    Answers of one form count once: a stock answer is no limit, however often it is given.
+    """
+    ends = answers.where(unfinished(F.col("text"))).select(F.length("text").alias("n"), "form").distinct().groupBy("n").agg(F.count("*").alias("c"))
     near = ends.select(F.explode(F.sequence(F.col("n") - 5, F.col("n") + 5)).alias("n"), F.col("n").alias("of"), "c")
     around = near.where("n <> of").groupBy("n").agg((F.sum("c") / 10).alias("level"))
-    return ends.join(around, "n", "left").where((F.col("c") >= SPIKE_LEAST) & (F.col("c") >= SPIKE_RATIO * F.coalesce("level", F.lit(0.0)) + 1)).select("n")
+    level = F.coalesce("level", F.lit(0.0))
+    return ends.join(around, "n", "left").where((F.col("c") >= SPIKE_RATIO * level) & (F.col("c") - level >= SPIKE_SIGMA * F.sqrt(level + 1))).select("n")
 
 
 def fields(answer: str) -> dict[str, str]:
@@ -121,68 +133,87 @@ def copied_share(words: list[str], prompt: list[str], run: int = COPY_RUN) -> fl
     return sum(covered) / len(words)
 
 
-def judge(prompt: str | None, answer: str | None, short: bool, short_end: bool, at_limit: bool) -> str | None:
-    """The one defect of a pair, or None."""
-    text = _TAG.sub(" ", answer or "")
+def _words(text: str) -> list[str]:
+    low = text.lower()
+    return _ASCII_WORD.findall(low) if low.isascii() else _WORD.findall(low)
+
+
+#: What a defect may depend on beside the pair itself: a longer neighbour of the answer, one of its last field, a length limit.
+SHORT, SHORT_END, AT_LIMIT = 1, 2, 4
+
+
+def examine(prompt: str | None, answer: str | None) -> tuple[str | None, int]:
+    """The one defect of a pair, or None; with ``truncated`` the findings (a sum of SHORT, SHORT_END and AT_LIMIT) of which
+    one must hold, 0 if none need."""
+    text = _TAG.sub(" ", answer) if answer and "<" in answer else answer or ""
     if _blank(text):
-        return "empty"
+        return "empty", 0
     found = fields(text)
     explanation = found.get("explanation", "")
-    labelled = "verdict" in found and not regex.match(r"\s*\[", found["verdict"])
+    labelled = "verdict" in found and not _PLACEHOLDER.match(found["verdict"])
     decided = labelled and bool(_DECIDED.search(found["verdict"]))
-    if found and all(_blank(v) or regex.fullmatch(r"[\d\s%]*", v) for v in found.values()) and not text[: _LABEL.search(text).start()].strip():
-        return "empty"
+    if found and all(_blank(v) or _FIGURES.fullmatch(v) for v in found.values()) and not text[: _LABEL.search(text).start()].strip():
+        return "empty", 0
     said = explanation if labelled and explanation else text
     bare = languages.unquoted(said)
     if not decided and REFUSAL.search(bare):
-        return "refusal"
-    if decided and explanation and (parts := [s for s in regex.split(r"(?<=[.!?])\s+", bare.strip()) if s]) and all(REFUSAL.search(s) for s in parts):
-        return "refusal"
-    source = [w.lower() for w in _WORD.findall(prompt or "")]
-    body = _LEAD_IN.sub("", said)
-    words = [w.lower() for w in _WORD.findall(body)]
+        return "refusal", 0
+    if decided and explanation and (parts := [s for s in _SENTENCE.split(bare.strip()) if s]) and all(REFUSAL.search(s) for s in parts):
+        return "refusal", 0
+    source = _words(prompt or "")
+    words = _words(_LEAD_IN.sub("", said))
     if source and len(words) >= 3 and (not labelled or explanation) and copied_share(words, source) >= COPY_SHARE:
-        return "copy"
+        return "copy", 0
     if prompt:
         expected, spoken = languages.guess(languages.unquoted(prompt)), languages.guess(bare if _WORD.search(bare) else said)
         if expected and spoken and expected != spoken and not (spoken not in ("en", "fr", "other") and len(words) < 4):
-            return "language"
+            return "language", 0
     if not labelled:
-        if _DECIDED.search(text):
-            return "truncated" if at_limit or (short and not _FINISHED.search(text.strip())) else None
-        return "truncated" if regex.match(r"(?i)\s*v(?:e(?:r(?:d(?:i(?:c(?:t\s*:?)?)?)?)?)?)?\s*$", text) else "refusal"
+        if _BEGUN.match(text):
+            return "truncated", 0
+        if _DECIDED.search(text) or not _asks_verdict(prompt):
+            return "truncated", AT_LIMIT if _FINISHED.search(text.strip()) else AT_LIMIT | SHORT
+        return "refusal", 0  # the verdict asked for is not given
     correction = found.get("correction")
-    if correction is None or not correction:
-        return "truncated"
+    if not correction:
+        return "truncated", 0
     if correction.lower() in NOT_APPLICABLE or correction.rstrip(".").lower() in NOT_APPLICABLE:
-        return None
+        return None, 0
     if _FINISHED.search(correction):
-        return "truncated" if short_end and len(correction) <= 3 else None
-    return "truncated" if short or short_end or at_limit else None
+        return ("truncated", SHORT_END) if len(correction) <= 3 else (None, 0)
+    return "truncated", SHORT | SHORT_END | AT_LIMIT
+
+
+def _asks_verdict(prompt: str | None) -> bool:
+    return prompt is not None and "verdict" in prompt.lower()
+
+
+def judge(prompt: str | None, answer: str | None, short: bool, short_end: bool, at_limit: bool) -> str | None:
+    """The one defect of a pair, or None, with what is known of its neighbours and length."""
+    defect, needs = examine(prompt, answer)
+    return None if needs and not needs & (SHORT * short | SHORT_END * short_end | AT_LIMIT * at_limit) else defect
 
 
-def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _examined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        defect = [judge(*row) for row in zip(pdf.prompt, pdf.completion, pdf.short, pdf.short_end, pdf.at_limit, strict=True)]
-        yield pd.DataFrame({"pair_id": pdf.pair_id, "defect": defect}).dropna(subset="defect")
+        found = [examine(p, a) for p, a in zip(pdf.prompt, pdf.completion, strict=True)]
+        out = pdf[["pair_id", "t_hash", "end_hash", "n"]].assign(defect=[d for d, _ in found], needs=[k for _, k in found])
+        yield out.dropna(subset="defect")
 
 
 def defective_pairs(pairs: DataFrame) -> DataFrame:
     """Defective pairs with their defect. ``pairs``: pair_id, prompt, completion. Returns pair_id, defect."""
-    rows = pairs.select("pair_id", "prompt", "completion", masked(F.col("completion")).alias("t"))
+    t = masked(F.col("completion"))
     end = F.nullif(last_field(F.col("t")), F.lit(""))
-    value = F.trim(F.regexp_replace(end, "^[^:]*:", ""))
-    # ends that say "not applicable" hold half of all rows and are never cut, so they are no rows of the join back, but they
-    # are neighbours of shortened ends; they and answers without fields get a key of their own, so that no key of the join is
-    # that of a large share of the rows
-    open_end = F.when(~value.isin(*sorted(NOT_APPLICABLE)), end)
-    rows = rows.withColumn("end", end).withColumn("t_end", F.coalesce(open_end, F.concat(F.lit("\u0000"), F.col("pair_id").cast("string"))))
-    whole = shortened(rows.select("t")).withColumn("short", F.lit(True))
-    ends = shortened(rows.select(F.col("end").alias("t"))).select(F.col("t").alias("t_end"), F.lit(True).alias("short_end"))
-    limits = limit_lengths(rows.where("completion is not null").select(F.col("completion").alias("text"))).withColumn("at_limit", F.lit(True))
-    marked = (
-        rows.withColumn("n", F.length("completion"))
-        .join(whole, "t", "left").join(ends, "t_end", "left").join(limits, "n", "left")
-        .select("pair_id", "prompt", "completion", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("short", "short_end", "at_limit")))
-    )
-    return marked.mapInPandas(_judged, "pair_id long, defect string").distinct()
+    hashed = pairs.select("pair_id", "prompt", "completion", t.alias("t")).select("pair_id", "prompt", "completion", F.xxhash64("t").alias("t_hash"), F.xxhash64(end).alias("end_hash"), F.length("completion").alias("n"))
+    found = cut(hashed.mapInPandas(_examined, "pair_id long, t_hash long, end_hash long, n int, defect string, needs int"))
+    sure, open_ = found.where("needs = 0"), found.where("needs > 0")
+    texts = pairs.where("completion is not null").select(t.alias("t"))
+    whole = shortened(texts).select(F.xxhash64("t").alias("t_hash"), F.lit(SHORT).alias("short"))
+    ends = shortened(texts.select(end.alias("t"))).select(F.xxhash64("t").alias("end_hash"), F.lit(SHORT_END).alias("short_end"))
+    answers = pairs.where("completion is not null").select(F.col("completion").alias("text"), F.xxhash64(t).alias("form"))
+    limits = limit_lengths(answers).withColumn("at_limit", F.lit(AT_LIMIT))
+    marked = open_.join(whole, "t_hash", "left").join(ends, "end_hash", "left").join(limits, "n", "left")
+    holds = F.coalesce("short", F.lit(0)) + F.coalesce("short_end", F.lit(0)) + F.coalesce("at_limit", F.lit(0))
+    settled = marked.where(F.col("needs").bitwiseAND(holds) > 0)
+    return sure.select("pair_id", "defect").unionByName(settled.select("pair_id", "defect")).distinct()

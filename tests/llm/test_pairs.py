@@ -27,6 +27,19 @@ def test_rules(answer, defect):
     assert pairs.judge(PROMPT, answer, False, False, False) == defect
 
 
+@pytest.mark.parametrize("answer", ["Paris.", "The answer is 42 because six times seven is forty-two."])
+def test_an_answer_to_another_question_is_no_refusal(answer):
+    assert pairs.judge("What is it? Explain in one line to the class.", answer, False, False, False) is None
+    assert pairs.judge(PROMPT, answer, False, False, False) == "refusal"  # the verdict asked for is not given
+
+
+@pytest.mark.parametrize("text,language", [("Det här är en mening om broar som ingen har byggt åt byn ännu idag", "other"), ("To jest zdanie po polsku o moście który nie został jeszcze zbudowany przez nikogo", "other"), ("Bu köprünün ne zaman onarılacağını bakan henüz kimseye söylemedi bugün", "other"), ("The office tabled a study of the old water mains", "en"), ("Voted for, division 7.", "en"), ("7.", None)])
+def test_languages_without_a_list(text, language):
+    from gavelspark.llm import languages
+
+    assert languages.guess(text) == language
+
+
 def test_null_prompt_never_copies():
     assert pairs.judge(None, SOUND, False, False, False) is None
 
@@ -62,8 +75,12 @@ def test_correction_cut_inside_not_applicable_is_found(spark):
 
 
 def test_length_limit(spark):
-    rows = [("x" * n + ".",) for n in range(30, 70)] + [("y" * 50 + str(i) + "z" * (46 - len(str(i))),) for i in range(40)]
-    assert [r.n for r in pairs.limit_lengths(spark.createDataFrame(rows, "text string")).collect()] == [96]
+    rows = [("x" * n + ".", n) for n in range(30, 70)] + [("y" * 50 + str(i) + "z" * (46 - len(str(i))), 100 + i) for i in range(40)]
+    few = [(t, f) for t, f in rows if f < 108]
+    stock = [("TRUE", 500)] * 60 + [("N/A so far", 501)] * 60
+    frame = lambda r: spark.createDataFrame(r, "text string, form long")
+    assert [r.n for r in pairs.limit_lengths(frame(rows)).collect()] == [96] and [r.n for r in pairs.limit_lengths(frame(few + stock)).collect()] == [96]
+    assert pairs.limit_lengths(frame([(t, f) for t, f in rows if f < 103] + stock)).count() == 0
 
 
 def test_empty_table(spark):
