@@ -1,19 +1,21 @@
-"""Same or near-same records across splits.
+"""Same or near-same records across splits: a weighted cosine join between train and the other splits.
 
-What the exact check (``same_record``) demands to be equal is the key of the join between splits: verdict, numbers of the
-claim and direction of the vote, and the date where both records have one. Records that differ in the key fail the check,
-so the join loses none of its pairs, however large the corpus and whatever is reworded or misspelt; the exact check then
-compares what the two records state. A claim without numbers meets all those of its verdict, direction and date.
+*Vectors.* What the exact check (``same_record``) demands to be equal, verdict, numbers of the claim, direction of the vote, is
+one term of a record's vector and holds ``KEY_SHARE`` of its squared norm; the words of the claim and of the context share
+the rest evenly. The weights depend on the record alone, not on the corpus, so a cosine means the same at every size, and
+instruction, evidence, confidence and the wording of explanations have no part in it.
 
-``cosine_join`` is the weighted cosine join between splits: records are vectors of term weights (idf over all records),
-normed to one. Terms are ordered from rare to common, and a vector is indexed up to a common frequency, and further while
-its residual norm reaches the threshold; two vectors that reach the threshold must share a term of both indexed parts, so
-the inverted lists lose none. Records that cannot reach it with the other split's greatest weights, and pairs that cannot
-with their residual norms, are pruned. ``overlaps`` has no use for it: idf grows with the corpus, so the cosine of two
-records that differ in a misspelt word or an added sentence falls below any fixed threshold.
+*Lists.* A record lists its greatest terms until the norm of the rest is below the threshold: the key alone, since two
+records without a common key reach at most 1 - ``KEY_SHARE`` by the norms of their rests. Keys that the other split lacks
+are pruned, as no greatest weights of other terms make up for them. A list is parted by date where records have one.
 
-Records equal in all words form classes that are compared once, by their first record, and expanded at the end; a class
-with a third of all rows costs one vector.
+*Dots.* The exact cosine of the pairs that meet decides. ``THRESHOLD`` follows from the edits allowed: with the key in common
+a quarter of the claim's words alike reach it, and the check allows a quarter of them to differ, typos aside. The exact
+check of claim, speaker, date, context and verdict comes last. A claim without numbers meets all those of its verdict,
+direction and date.
+
+Records equal in all words form classes; links are found between the classes' first records and never multiplied out, except
+for ``overlaps``, which returns pairs of records.
 
 Defined results: a null prompt and completion is no record; records equal in all words overlap; ties do not matter, since
 every pair that qualifies is returned; a record is never paired with one of its own split's kind.
@@ -28,18 +30,16 @@ from datetime import date
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.llm.pairs import fields
 from gavelspark.session import cut
 
-#: Least cosine of two candidates of ``cosine_join``.
-THRESHOLD = 0.7
-#: A term's code: a hash of so many bits below the inverted idf, which is kept in so many steps for each unit, up to LAST.
-HASH_BITS, STEPS, LAST = 48, 1024, 32767
-#: Pairs for each record that the common part of the inverted lists may give rise to; more only makes bounds tighter.
-PAIRS_PER_RECORD = 200
+#: Share of the squared norm of a record's vector that its key holds; the claim and the context have the rest in equal parts.
+KEY_SHARE = 0.6
+#: Least cosine of two candidates.
+THRESHOLD = KEY_SHARE + (1 - KEY_SHARE) / 2 / 4
 
 #: Labels of the prompts' sections, in English and French.
 SECTIONS = {
@@ -60,13 +60,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(low, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
-def stated() -> Column:
-    """What a record states, for its vector: the prompt, and of the answer the words up to its explanation (all of it where
-    there is no prompt). Explanations of one record are reworded freely; the exact check reads the verdict."""
-    answer = F.regexp_replace(F.coalesce("completion", F.lit("")), r"(?is)\bexplanation\s*:.*$", "")
-    return F.when(F.trim(F.coalesce("prompt", F.lit(""))) == "", F.col("completion")).otherwise(F.concat_ws(" ", "prompt", answer))
-
-
 def record_classes(pairs: DataFrame) -> DataFrame:
     """Records with the class of those that are equal in all words. Returns pair_id, side, class, class_prompt,
     class_completion (of the first record only, null in the others)."""
@@ -79,82 +72,6 @@ def record_classes(pairs: DataFrame) -> DataFrame:
     return rows.join(first, "key").drop("key")
 
 
-def _idf(code: Column) -> Column:
-    """Inverse document frequency that a term's code holds in its upper bits."""
-    return (F.lit(LAST) - F.shiftright(code, HASH_BITS)) / F.lit(float(STEPS))
-
-
-def weighted_records(records: DataFrame) -> DataFrame:
-    """Weighted terms of each record. ``records``: class, text, in_train, in_held.
-
-    Returns these flags, ``codes`` and ``norm``. A code is one number for a term: its idf in steps of 1 / STEPS, inverted,
-    above a hash of HASH_BITS bits, so that sorted codes run from rare to common terms, equal terms have equal codes, and
-    a term's weight in a record is its idf over the record's norm.
-    """
-    n = records.count()
-    hashed = records.select("class", F.array_distinct(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("t"))
-    single = hashed.select("class", F.explode("t").alias("term"))
-    step = F.greatest(F.lit(1), F.least(F.lit(LAST), F.round(F.log(F.lit(n + 1.0) / F.count("*")) * STEPS))).cast("long")
-    coded = single.groupBy("term").agg(step.alias("q")).select("term", F.shiftleft(F.lit(LAST) - F.col("q"), HASH_BITS).bitwiseOR(F.col("term").bitwiseAND(F.lit((1 << HASH_BITS) - 1))).alias("code"))
-    held = single.join(coded, "term").groupBy("class").agg(F.sort_array(F.collect_list("code")).alias("codes"), F.sqrt(F.sum(_idf(F.col("code")) * _idf(F.col("code")))).alias("norm"))
-    return held.join(records.select("class", "in_train", "in_held"), "class")
-
-
-def common_bound(vectors: DataFrame, per_record: int = PAIRS_PER_RECORD) -> int:
-    """The greatest upper part of a code up to which all terms are indexed: such that the squared document frequencies of
-    these terms sum to ``per_record`` for each record. Only a histogram of at most LAST rows reaches the driver."""
-    n = vectors.count()
-    rows = vectors.select(F.explode("codes").alias("code")).groupBy(F.shiftright("code", HASH_BITS).alias("high")).agg(F.count("*").alias("n"), F.countDistinct("code").alias("terms")).orderBy("high").collect()
-    left, bound = per_record * n, -1
-    for r in rows:
-        left -= r["n"] * r["n"] / r["terms"]
-        if left < 0:
-            break
-        bound = r["high"]
-    return bound
-
-
-def cosine_join(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Candidates for a cosine of at least ``threshold`` between a train and a held-out class; none that reaches it is
-    missing. ``vectors``: from ``weighted_records``. Returns train_class, held_class.
-
-    Every record lists its terms up to a common frequency, and further ones while the norm of the rest reaches the
-    threshold. With the residual norms r of two records beyond the common frequency, their cosine is at most the sum over
-    the shared listed terms plus r * r'; where r * r' reaches the threshold, both lists go on until they must meet.
-    """
-    last = (common_bound(vectors) + 1 << HASH_BITS) - 1  # codes up to this one are common to all lists
-    slack = threshold - 1e-6
-    weight = _idf(F.col("code")) / F.col("norm")
-    entries = vectors.select("in_train", "in_held", "norm", F.explode("codes").alias("code"))
-    # the greatest weight of a term in a split is its idf over the least norm
-    least = entries.groupBy("code").agg(F.min(F.when(F.col("in_train"), F.col("norm"))).alias("least_train"), F.min(F.when(F.col("in_held"), F.col("norm"))).alias("least_held"))
-    step = F.aggregate(
-        "codes", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k")),
-        lambda a, c: F.struct((a["sum"] + _idf(c) * _idf(c)).alias("sum"), (a["k"] + F.when((c <= last) | (F.col("norm") * F.col("norm") - a["sum"] >= slack * slack * F.col("norm") * F.col("norm")), 1).otherwise(0)).alias("k")),
-    )["k"]
-    beyond = F.aggregate("codes", F.lit(0.0), lambda a, c: a + F.when(c > last, _idf(c) * _idf(c)).otherwise(0.0))
-    listed = vectors.select("class", "in_train", "in_held", "norm", (F.sqrt(beyond) / F.col("norm")).alias("r"), F.explode(F.slice("codes", F.lit(1), step)).alias("code"))
-    # terms that the other side lacks add nothing; a record whose terms cannot reach the threshold with the other side's
-    # greatest weights has no partner
-    both = least.where("least_train is not null and least_held is not null")
-    other = F.greatest(F.when(F.col("in_train"), _idf(F.col("code")) / F.col("least_held")).otherwise(0.0), F.when(F.col("in_held"), _idf(F.col("code")) / F.col("least_train")).otherwise(0.0))
-    met = listed.join(both, "code").withColumn("w", F.when(F.col("code") <= last, weight).otherwise(0.0)).withColumn("most", F.col("w") * other)
-    most = F.sum("most").over(Window.partitionBy("class")) + F.col("r")
-    kept = cut(met.withColumn("most", most).where(F.col("most") >= slack).select("class", "code", "w", "r", "in_train", "in_held"))
-    train = kept.where("in_train").select("code", F.col("class").alias("train_class"), F.col("w").alias("w_t"), F.col("r").alias("r_t"))
-    held = kept.where("in_held").select("code", F.col("class").alias("held_class"), F.col("w").alias("w_h"), F.col("r").alias("r_h"))
-    pairs = train.join(held, "code").where("train_class <> held_class").groupBy("train_class", "held_class").agg(F.sum(F.col("w_t") * F.col("w_h")).alias("partial"), F.max(F.col("r_t") * F.col("r_h")).alias("rest"))
-    return pairs.where(F.col("partial") + F.col("rest") >= slack).select("train_class", "held_class")
-
-
-def cosines(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Exact cosines of candidates. Adds ``cosine``."""
-    mine = vectors.select(F.col("class").alias("train_class"), F.col("codes").alias("c_t"), F.col("norm").alias("n_t"))
-    theirs = vectors.select(F.col("class").alias("held_class"), F.col("codes").alias("c_h"), F.col("norm").alias("n_h"))
-    dot = F.aggregate(F.array_intersect("c_t", "c_h"), F.lit(0.0), lambda a, c: a + _idf(c) * _idf(c))
-    return candidates.join(mine, "train_class").join(theirs, "held_class").select("train_class", "held_class", (dot / (F.col("n_t") * F.col("n_h"))).alias("cosine"))
-
-
 def sections(prompt: str) -> dict[str, str]:
     """Labelled sections of a prompt; the instruction after the last one is left out."""
     marks = list(_LABEL.finditer(prompt))
@@ -256,9 +173,10 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[[same_record(*t) for t in texts], ["train_class", "held_class"]]
 
 
-def record_keys(prompt: str | None, answer: str | None) -> list[tuple[str, str | None, bool]]:
-    """Keys of a record with its date and whether it has a labelled claim: two records that ``same_record`` accepts share
-    a key and, where both have one, the date. The key of the whole prompt is for pairs in which a claim is missing."""
+def record_vectors(prompt: str | None, answer: str | None) -> list[tuple[str, str | None, bool, list[str], list[str]]]:
+    """Vectors of a record: key, date, whether it has a labelled claim, words of the claim and of the context. Two records that
+    ``same_record`` accepts share a key and, where both have one, the date. The vector of the whole prompt is for pairs in which a
+    claim is missing."""
     tokens = _tokens(prompt or "")
     if not tokens:
         return []
@@ -268,56 +186,95 @@ def record_keys(prompt: str | None, answer: str | None) -> list[tuple[str, str |
     def key(kind: str, of: list[str]) -> str:
         return "|".join((kind, *(" ".join(part) for part in (verdict, sorted(filter(str.isdigit, of)), _directions(of)))))
 
-    keys = [(key("prompt", tokens), None, bool(found.get("claim")))]
+    vectors = [(key("prompt", tokens), None, bool(found.get("claim")), sorted(set(tokens)), [])]
     if found.get("claim"):
         day = _day(found["date"]) if found.get("date") else None
         if day and all(isinstance(v, int) for v in day):
             day = (day[0], *sorted(day[1:]))  # as _same_day, which lets day and month change places
-        keys.append((key("claim", _tokens(found["claim"])), None if day is None else repr(day), True))
-    return keys
+        claim = _tokens(found["claim"])
+        vectors.append((key("claim", claim), None if day is None else repr(day), True, sorted(set(claim)), sorted(set(_tokens(found.get("context", ""))))))
+    return vectors
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(c, *k) for c, p, a in zip(pdf["class"], pdf.prompt, pdf.completion, strict=True) for k in record_keys(p, a)]
-        yield pd.DataFrame(rows, columns=["class", "key", "day", "claimed"])
+        rows = [(c, *v) for c, p, a in zip(pdf["class"], pdf.prompt, pdf.completion, strict=True) for v in record_vectors(p, a)]
+        yield pd.DataFrame(rows, columns=["class", "key", "day", "claimed", "claim", "context"])
 
 
-def key_join(keyed: DataFrame) -> DataFrame:
-    """Pairs of a train and a held-out class with a key, and the date where both have one, in common. ``keyed``: class, key,
-    day, claimed, in_train, in_held. Returns train_class, held_class."""
-    train = keyed.where("in_train").select("key", "day", F.col("class").alias("train_class"), F.col("claimed").alias("claimed_t"))
-    held = keyed.where("in_held").select("key", "day", F.col("class").alias("held_class"), F.col("claimed").alias("claimed_h"))
+def _listed(vectors: DataFrame) -> DataFrame:
+    """Pairs of a train and a held-out class that meet in a list. ``vectors``: class, key, day, claimed, in_train, in_held.
+    Returns train_class, held_class, key."""
+    train = vectors.where("in_train").select("key", "day", F.col("class").alias("train_class"), F.col("claimed").alias("claimed_t"))
+    held = vectors.where("in_held").select("key", "day", F.col("class").alias("held_class"), F.col("claimed").alias("claimed_h"))
     dated = train.join(held, ["key", "day"])
     one = train.where("day is null").join(held.drop("day"), "key")
     other = train.where("day is not null").drop("day").join(held.where("day is null"), "key")
     met = dated.unionByName(one).unionByName(other)
     # two records with claims meet in the key of their claims only
     once = ~F.startswith("key", F.lit("prompt|")) | ~(F.col("claimed_t") & F.col("claimed_h"))
-    return met.where(once & (F.col("train_class") != F.col("held_class"))).select("train_class", "held_class")
+    return met.where(once & (F.col("train_class") != F.col("held_class"))).select("train_class", "held_class", "key")
 
 
-def overlaps(pairs: DataFrame) -> DataFrame:
-    """Overlapping records of train and the other splits. ``pairs``: pair_id, prompt, completion, split.
+def _dot(a: str, b: str) -> Column:
+    """Cosine of two sets of words."""
+    sizes = F.sqrt(F.size(a).cast("double") * F.size(b))
+    return F.when(sizes > 0, F.size(F.array_intersect(a, b)) / sizes).otherwise(0.0)
 
-    Returns pair_id_a, pair_id_b (a < b).
-    """
+
+def cosine_join(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs of a train and a held-out class whose vectors have a cosine of at least ``threshold``, which must be above
+    1 - KEY_SHARE. ``vectors``: class, key, day, claimed, claim, context, in_train, in_held. Returns train_class,
+    held_class, cosine."""
+    if threshold <= 1 - KEY_SHARE:
+        raise ValueError("lists of keys alone lose pairs at so low a threshold")
+    side = lambda n: vectors.where(f"in_{n}").select(F.col("class").alias(f"{n}_class"), "key", F.col("claim").alias(f"claim_{n}"), F.col("context").alias(f"context_{n}"))
+    met = _listed(vectors).join(side("train"), ["train_class", "key"]).join(side("held"), ["held_class", "key"])
+    rest = 1 - KEY_SHARE
+    words = F.when((F.size("context_train") > 0) & (F.size("context_held") > 0), (_dot("claim_train", "claim_held") + _dot("context_train", "context_held")) / 2)
+    # a context that one side lacks leaves its share to the claim where both lack it, and adds nothing else
+    words = words.when((F.size("context_train") == 0) & (F.size("context_held") == 0), _dot("claim_train", "claim_held")).otherwise(_dot("claim_train", "claim_held") / F.sqrt(F.lit(2.0)))
+    return met.select("train_class", "held_class", (KEY_SHARE + rest * words).alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
+
+
+def overlap_classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records with their class (pair_id, side, class, prompt, completion), and the links between a train and a held-out
+    class (train_class, held_class; a class in both splits is linked to itself). ``pairs``: pair_id, prompt, completion,
+    split. Both are written tables."""
     members = cut(record_classes(pairs))
     first = members.where(F.col("pair_id") == F.col("class")).select("class", "prompt", "completion").dropDuplicates(["class"])
     sides = members.groupBy("class").agg(F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "held").alias("in_held"))
-    keyed = cut(first.mapInPandas(_keyed, "class long, key string, day string, claimed boolean").join(sides, "class"))
-    near = key_join(keyed)
+    vectors = cut(first.mapInPandas(_vectors, "class long, key string, day string, claimed boolean, claim array<string>, context array<string>").join(sides, "class"))
+    near = cosine_join(vectors).select("train_class", "held_class").distinct()
     named = lambda side: first.select(F.col("class").alias(f"{side}_class"), F.col("prompt").alias(f"{side}_prompt"), F.col("completion").alias(f"{side}_completion"))
     checked = near.join(named("train"), "train_class").join(named("held"), "held_class").mapInPandas(_checked, "train_class long, held_class long")
     equal = sides.where("in_train and in_held").select(F.col("class").alias("train_class"), F.col("class").alias("held_class"))
+    return members, cut(checked.unionByName(equal))
+
+
+def overlaps(pairs: DataFrame) -> DataFrame:
+    """Overlapping records of train and the other splits, each pair of records. ``pairs``: pair_id, prompt, completion, split.
+
+    Returns pair_id_a, pair_id_b (a < b).
+    """
+    members, links = overlap_classes(pairs)
     train = members.where("side = 'train'").select(F.col("class").alias("train_class"), F.col("pair_id").alias("train_id"))
     held = members.where("side = 'held'").select(F.col("class").alias("held_class"), F.col("pair_id").alias("held_id"))
-    met = checked.unionByName(equal).join(train, "train_class").join(held, "held_class")
+    met = links.join(train, "train_class").join(held, "held_class")
     return met.select(F.least("train_id", "held_id").alias("pair_id_a"), F.greatest("train_id", "held_id").alias("pair_id_b")).distinct()
 
 
-def overlap_report(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Held-out records that train also holds, per split and source."""
-    ids = found.select(F.explode(F.array("pair_id_a", "pair_id_b")).alias("pair_id")).distinct()
-    held = pairs.where("split is null or split <> 'train'")
-    return held.join(ids, "pair_id", "left_semi").groupBy("split", "source_dataset").agg(F.countDistinct("pair_id").alias("n_records"))
+def overlap_links(pairs: DataFrame) -> DataFrame:
+    """Every record with its class and the number of classes of the other side that it is linked to: pair_id, side, class,
+    n_links. A group of copies of any size is not multiplied out."""
+    members, links = overlap_classes(pairs)
+    ends = links.select(F.explode(F.array(F.struct(F.lit("train").alias("side"), F.col("train_class").alias("class")), F.struct(F.lit("held").alias("side"), F.col("held_class").alias("class")))).alias("e"))
+    n = ends.groupBy("e.side", "e.class").agg(F.count("*").alias("n_links"))
+    return members.select("pair_id", "side", "class").join(n, ["side", "class"], "left").select("pair_id", "side", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def overlap_report(pairs: DataFrame) -> DataFrame:
+    """Held-out records that train also holds, per split and source, counted by their classes."""
+    linked = overlap_links(pairs).where("side = 'held' and n_links > 0").select("pair_id").distinct()
+    held = pairs.where("split is null or split <> 'train'").select("pair_id", "split", "source_dataset")
+    return held.join(linked, "pair_id", "left_semi").groupBy("split", "source_dataset").agg(F.countDistinct("pair_id").alias("n_records"))

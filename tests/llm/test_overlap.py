@@ -38,23 +38,39 @@ def test_empty(spark):
 
 
 def test_join_loses_nothing(spark):
+    import math
     import random
 
     rng = random.Random(2)
-    words = [f"w{i}" for i in range(60)]
-    rows, base = [], [[rng.choice(words) for _ in range(12)] for _ in range(30)]
-    for i in range(150):
-        text = list(rng.choice(base))
-        for _ in range(rng.randint(0, 4)):
-            text[rng.randrange(12)] = rng.choice(words)
-        rows.append((i, " ".join(text), i % 3 > 0, i % 3 == 0))
-    vectors = overlap.weighted_records(spark.createDataFrame(rows, "class bigint, text string, in_train boolean, in_held boolean")).cache()
-    for threshold in (0.5, 0.72, 0.9):
-        found = {(r.train_class, r.held_class) for r in overlap.cosines(overlap.cosine_join(vectors, threshold), vectors).where(f"cosine >= {threshold}").collect()}
-        idf = lambda c: (overlap.LAST - (c >> overlap.HASH_BITS)) / overlap.STEPS
-        data = [(r["class"], r.in_train, set(r.codes), r.norm) for r in vectors.collect()]
-        expected = {(a, b) for a, ta, x, n in data if ta for b, tb, y, m in data if not tb and sum(idf(c) ** 2 for c in x & y) / (n * m) >= threshold}
-        assert found == expected
+    words, keys, days = [f"w{i}" for i in range(14)], ["claim|a", "claim|b", "prompt|c"], ["d1", "d2", None]
+    rows = []
+    for i in range(160):
+        pick = lambda low: sorted(set(rng.choices(words, k=rng.randint(low, 8))))
+        key = rng.choice(keys)
+        rows.append((i, key, rng.choice(days), key[0] == "c" or rng.random() < 0.5, pick(1), pick(1) if rng.random() < 0.8 else [], i % 3 > 0, i % 3 == 0))
+    frame = spark.createDataFrame(rows, "class bigint, key string, day string, claimed boolean, claim array<string>, context array<string>, in_train boolean, in_held boolean")
+
+    def vector(r):
+        blocks = [(("claim", r[4])), ("context", r[5])] if r[5] else [("claim", r[4])]
+        return {("key", r[1]): math.sqrt(overlap.KEY_SHARE), **{(n, w): math.sqrt((1 - overlap.KEY_SHARE) / len(blocks) / len(ws)) for n, ws in blocks for w in ws}}
+
+    for threshold in (0.5, overlap.THRESHOLD, 0.8):
+        expected = set()
+        for a in rows:
+            for b in rows:
+                if a[6] and b[7] and (a[2] is None or b[2] is None or a[2] == b[2]) and not (a[1][0] == "p" and a[3] and b[3]):
+                    x, y = vector(a), vector(b)
+                    if sum(v * y[t] for t, v in x.items() if t in y) >= threshold - 1e-9:
+                        expected.add((a[0], b[0]))
+        assert {(r.train_class, r.held_class) for r in overlap.cosine_join(frame, threshold).collect()} == expected
+
+
+def test_copies_are_not_multiplied_out(spark):
+    rows = [(i, BASE, YES, "train" if i % 2 else "test", "") for i in range(60)] + [(100, BASE.replace("tabled", "presented"), YES, "test", "")]
+    got = {r.pair_id: (r["class"], r.n_links) for r in overlap.overlap_links(table(spark, rows)).collect()}
+    assert len(got) == 61 and got[1] == (0, 2) and got[0] == (0, 1) and got[100] == (100, 1)
+    pairs = table(spark, rows).withColumnRenamed("term", "source_dataset")
+    assert [(r.split, r.n_records) for r in overlap.overlap_report(pairs).collect()] == [("test", 31)]
 
 
 def test_same_record_far_below_any_cosine_is_found(spark):
