@@ -9,7 +9,7 @@ instruction, evidence, confidence and the wording of explanations have no part i
 records without a common key reach at most 1 - ``KEY_SHARE`` by the norms of their rests. Keys that the other split lacks
 are pruned, as no greatest weights of other terms make up for them. A list is parted by date where records have one.
 
-*Dots.* The exact cosine of the pairs that meet decides. ``THRESHOLD`` follows from the edits allowed: with the key in common
+*Dots.* The exact dot products of the pairs that meet decide. ``THRESHOLD`` follows from the edits allowed: with the key in common
 a quarter of the claim's words alike reach it, and the check allows a quarter of them to differ, typos aside. The exact
 check of claim, speaker, date, context and verdict comes last. A claim without numbers meets all those of its verdict,
 direction and date.
@@ -60,18 +60,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(low, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
-def record_classes(pairs: DataFrame) -> DataFrame:
-    """Records with the class of those that are equal in all words. Returns pair_id, side, class, class_prompt,
-    class_completion (of the first record only, null in the others)."""
-    text = F.concat_ws(" \u0001 ", F.coalesce("prompt", F.lit("")), F.coalesce("completion", F.lit("")))
-    rows = pairs.where("prompt is not null or completion is not null").select(
-        "pair_id", F.when(F.col("split") == "train", "train").otherwise("held").alias("side"), "prompt", "completion",
-        F.sha2(F.array_join(words(text), " "), 256).alias("key"),
-    )
-    first = rows.groupBy("key").agg(F.min("pair_id").alias("class"))
-    return rows.join(first, "key").drop("key")
-
-
 def sections(prompt: str) -> dict[str, str]:
     """Labelled sections of a prompt; the instruction after the last one is left out."""
     marks = list(_LABEL.finditer(prompt))
@@ -167,16 +155,9 @@ def same_record(prompt_a: str | None, answer_a: str | None, prompt_b: str | None
     return True
 
 
-def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = zip(pdf.train_prompt, pdf.train_completion, pdf.held_prompt, pdf.held_completion, strict=True)
-        yield pdf.loc[[same_record(*t) for t in texts], ["train_class", "held_class"]]
-
-
-def record_vectors(prompt: str | None, answer: str | None) -> list[tuple[str, str | None, bool, list[str], list[str]]]:
-    """Vectors of a record: key, date, whether it has a labelled claim, words of the claim and of the context. Two records that
-    ``same_record`` accepts share a key and, where both have one, the date. The vector of the whole prompt is for pairs in which a
-    claim is missing."""
+def record_keys(prompt: str | None, answer: str | None) -> list[tuple[str, str | None, bool]]:
+    """Keys of a record with its date and whether it has a labelled claim: two records that ``same_record`` accepts share
+    a key and, where both have one, the date. The key of the whole prompt is for pairs in which a claim is missing."""
     tokens = _tokens(prompt or "")
     if not tokens:
         return []
@@ -186,23 +167,48 @@ def record_vectors(prompt: str | None, answer: str | None) -> list[tuple[str, st
     def key(kind: str, of: list[str]) -> str:
         return "|".join((kind, *(" ".join(part) for part in (verdict, sorted(filter(str.isdigit, of)), _directions(of)))))
 
-    vectors = [(key("prompt", tokens), None, bool(found.get("claim")), sorted(set(tokens)), [])]
+    keys = [(key("prompt", tokens), None, bool(found.get("claim")))]
     if found.get("claim"):
         day = _day(found["date"]) if found.get("date") else None
         if day and all(isinstance(v, int) for v in day):
             day = (day[0], *sorted(day[1:]))  # as _same_day, which lets day and month change places
-        claim = _tokens(found["claim"])
-        vectors.append((key("claim", claim), None if day is None else repr(day), True, sorted(set(claim)), sorted(set(_tokens(found.get("context", ""))))))
-    return vectors
+        keys.append((key("claim", _tokens(found["claim"])), None if day is None else repr(day), True))
+    return keys
+
+
+def record_vector(prompt: str, key: str) -> dict[tuple[str, str], float]:
+    """Vector of a record under one of its keys: the key, and the words of claim and context, or of the whole prompt."""
+    found = sections(prompt) if key.startswith("claim|") else {"claim": prompt}
+    blocks = [(name, set(_tokens(found[name]))) for name in ("claim", "context") if found.get(name)]
+    blocks = [(name, words) for name, words in blocks if words]
+    vector = {("key", key): KEY_SHARE**0.5}
+    for name, words in blocks:
+        vector.update(dict.fromkeys(((name, w) for w in words), ((1 - KEY_SHARE) / len(blocks) / len(words)) ** 0.5))
+    return vector
 
 
-def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def cosine(a: dict, b: dict) -> float:
+    """Exact dot product of two vectors of norm one."""
+    return sum(w * b[t] for t, w in a.items() if t in b)
+
+
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(c, *v) for c, p, a in zip(pdf["class"], pdf.prompt, pdf.completion, strict=True) for v in record_vectors(p, a)]
-        yield pd.DataFrame(rows, columns=["class", "key", "day", "claimed", "claim", "context"])
+        keys = [[{"key": k, "day": d, "claimed": c} for k, d, c in record_keys(p, a)] for p, a in zip(pdf.prompt, pdf.completion, strict=True)]
+        yield pdf[["pair_id", "side", "words"]].assign(keys=keys)
+
+
+def keyed_records(pairs: DataFrame) -> DataFrame:
+    """Records with a digest of their words and their keys, from one pass over the table. ``pairs``: pair_id, prompt,
+    completion, split. Returns pair_id, side, words, keys."""
+    text = F.concat_ws(" \u0001 ", F.coalesce("prompt", F.lit("")), F.coalesce("completion", F.lit("")))
+    rows = pairs.where("prompt is not null or completion is not null").select(
+        "pair_id", F.when(F.col("split") == "train", "train").otherwise("held").alias("side"), "prompt", "completion", F.md5(F.array_join(words(text), " ")).alias("words"),
+    )
+    return rows.mapInPandas(_keyed, "pair_id long, side string, words string, keys array<struct<key:string,day:string,claimed:boolean>>")
 
 
-def _listed(vectors: DataFrame) -> DataFrame:
+def listed_pairs(vectors: DataFrame) -> DataFrame:
     """Pairs of a train and a held-out class that meet in a list. ``vectors``: class, key, day, claimed, in_train, in_held.
     Returns train_class, held_class, key."""
     train = vectors.where("in_train").select("key", "day", F.col("class").alias("train_class"), F.col("claimed").alias("claimed_t"))
@@ -216,40 +222,27 @@ def _listed(vectors: DataFrame) -> DataFrame:
     return met.where(once & (F.col("train_class") != F.col("held_class"))).select("train_class", "held_class", "key")
 
 
-def _dot(a: str, b: str) -> Column:
-    """Cosine of two sets of words."""
-    sizes = F.sqrt(F.size(a).cast("double") * F.size(b))
-    return F.when(sizes > 0, F.size(F.array_intersect(a, b)) / sizes).otherwise(0.0)
-
-
-def cosine_join(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of a train and a held-out class whose vectors have a cosine of at least ``threshold``, which must be above
-    1 - KEY_SHARE. ``vectors``: class, key, day, claimed, claim, context, in_train, in_held. Returns train_class,
-    held_class, cosine."""
-    if threshold <= 1 - KEY_SHARE:
-        raise ValueError("lists of keys alone lose pairs at so low a threshold")
-    side = lambda n: vectors.where(f"in_{n}").select(F.col("class").alias(f"{n}_class"), "key", F.col("claim").alias(f"claim_{n}"), F.col("context").alias(f"context_{n}"))
-    met = _listed(vectors).join(side("train"), ["train_class", "key"]).join(side("held"), ["held_class", "key"])
-    rest = 1 - KEY_SHARE
-    words = F.when((F.size("context_train") > 0) & (F.size("context_held") > 0), (_dot("claim_train", "claim_held") + _dot("context_train", "context_held")) / 2)
-    # a context that one side lacks leaves its share to the claim where both lack it, and adds nothing else
-    words = words.when((F.size("context_train") == 0) & (F.size("context_held") == 0), _dot("claim_train", "claim_held")).otherwise(_dot("claim_train", "claim_held") / F.sqrt(F.lit(2.0)))
-    return met.select("train_class", "held_class", (KEY_SHARE + rest * words).alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        texts = zip(pdf.key, pdf.train_prompt, pdf.train_completion, pdf.held_prompt, pdf.held_completion, strict=True)
+        found = [cosine(record_vector(p, k), record_vector(q, k)) >= THRESHOLD - 1e-9 and same_record(p, a, q, b) for k, p, a, q, b in texts]
+        yield pdf.loc[found, ["train_class", "held_class"]]
 
 
 def overlap_classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records with their class (pair_id, side, class, prompt, completion), and the links between a train and a held-out
-    class (train_class, held_class; a class in both splits is linked to itself). ``pairs``: pair_id, prompt, completion,
-    split. Both are written tables."""
-    members = cut(record_classes(pairs))
-    first = members.where(F.col("pair_id") == F.col("class")).select("class", "prompt", "completion").dropDuplicates(["class"])
-    sides = members.groupBy("class").agg(F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "held").alias("in_held"))
-    vectors = cut(first.mapInPandas(_vectors, "class long, key string, day string, claimed boolean, claim array<string>, context array<string>").join(sides, "class"))
-    near = cosine_join(vectors).select("train_class", "held_class").distinct()
-    named = lambda side: first.select(F.col("class").alias(f"{side}_class"), F.col("prompt").alias(f"{side}_prompt"), F.col("completion").alias(f"{side}_completion"))
-    checked = near.join(named("train"), "train_class").join(named("held"), "held_class").mapInPandas(_checked, "train_class long, held_class long")
-    equal = sides.where("in_train and in_held").select(F.col("class").alias("train_class"), F.col("class").alias("held_class"))
-    return members, cut(checked.unionByName(equal))
+    """Records with their class (pair_id, side, class), and the links between a train and a held-out class (train_class,
+    held_class; a class in both splits is linked to itself). ``pairs``: pair_id, prompt, completion, split. Both are written tables."""
+    records = cut(keyed_records(pairs))
+    classes = records.groupBy("words").agg(F.min("pair_id").alias("class"), F.max(F.col("side") == "train").alias("in_train"), F.max(F.col("side") == "held").alias("in_held"), F.min_by("keys", "pair_id").alias("keys"))
+    vectors = classes.select("class", "in_train", "in_held", F.explode("keys").alias("k")).select("class", "in_train", "in_held", "k.*")
+    members = cut(records.select("pair_id", "side", "words").join(classes.select("words", "class"), "words").select("pair_id", "side", "class"))
+    # written tables have a size that the optimizer knows, so texts are shuffled only for many pairs
+    met = cut(listed_pairs(vectors))
+    texts = lambda side: pairs.select(F.col("pair_id").alias(f"{side}_class"), F.col("prompt").alias(f"{side}_prompt"), F.col("completion").alias(f"{side}_completion"))
+    half = cut(texts("train").join(met, "train_class"))
+    linked = texts("held").join(half, "held_class").mapInPandas(_linked, "train_class long, held_class long")
+    equal = classes.where("in_train and in_held").select(F.col("class").alias("train_class"), F.col("class").alias("held_class"))
+    return members, cut(linked.unionByName(equal).distinct())
 
 
 def overlaps(pairs: DataFrame) -> DataFrame:

@@ -37,32 +37,32 @@ def test_empty(spark):
     assert overlap.overlaps(table(spark, [])).count() == 0
 
 
-def test_join_loses_nothing(spark):
-    import math
+def test_lists_lose_no_pair_of_the_cosine(spark):
     import random
 
     rng = random.Random(2)
-    words, keys, days = [f"w{i}" for i in range(14)], ["claim|a", "claim|b", "prompt|c"], ["d1", "d2", None]
     rows = []
-    for i in range(160):
-        pick = lambda low: sorted(set(rng.choices(words, k=rng.randint(low, 8))))
-        key = rng.choice(keys)
-        rows.append((i, key, rng.choice(days), key[0] == "c" or rng.random() < 0.5, pick(1), pick(1) if rng.random() < 0.8 else [], i % 3 > 0, i % 3 == 0))
-    frame = spark.createDataFrame(rows, "class bigint, key string, day string, claimed boolean, claim array<string>, context array<string>, in_train boolean, in_held boolean")
-
-    def vector(r):
-        blocks = [(("claim", r[4])), ("context", r[5])] if r[5] else [("claim", r[4])]
-        return {("key", r[1]): math.sqrt(overlap.KEY_SHARE), **{(n, w): math.sqrt((1 - overlap.KEY_SHARE) / len(blocks) / len(ws)) for n, ws in blocks for w in ws}}
-
-    for threshold in (0.5, overlap.THRESHOLD, 0.8):
-        expected = set()
-        for a in rows:
-            for b in rows:
-                if a[6] and b[7] and (a[2] is None or b[2] is None or a[2] == b[2]) and not (a[1][0] == "p" and a[3] and b[3]):
-                    x, y = vector(a), vector(b)
-                    if sum(v * y[t] for t, v in x.items() if t in y) >= threshold - 1e-9:
-                        expected.add((a[0], b[0]))
-        assert {(r.train_class, r.held_class) for r in overlap.cosine_join(frame, threshold).collect()} == expected
+    for i in range(70):
+        prompt = BASE.replace("7710", str(7710 + rng.randrange(3))).replace("2020-01-30", rng.choice(["2020-01-30", "2020-02-28"])).replace("voted for Bill", rng.choice(["voted for Bill", "voted against Bill"]))
+        prompt = rng.choice([prompt, prompt.replace("Date:", "Day:"), prompt.replace("Claim:", ""), prompt.replace("harbour office", "northern towns")])
+        rows.append((i, prompt, rng.choice([YES, NO]), rng.choice(["train", "test"]), ""))
+    vectors = []
+    for i, p, a, split, _ in rows:
+        vectors += [(i, k, d, c, split == "train", split != "train") for k, d, c in overlap.record_keys(p, a)]
+    frame = spark.createDataFrame(vectors, "class bigint, key string, day string, claimed boolean, in_train boolean, in_held boolean")
+    got = {(r.train_class, r.held_class) for r in overlap.listed_pairs(frame).collect()}
+    dated = {(i, k): (d, c) for i, k, d, c, _, _ in vectors}
+    assert got
+    for i, p, a, s, _ in rows:
+        for j, q, b, t, _ in rows:
+            if s == "train" and t == "test" and (i, j) not in got:
+                for k in {k for k, _, _ in overlap.record_keys(p, a)}:
+                    for m in {m for m, _, _ in overlap.record_keys(q, b)}:
+                        apart = k == m and (dated[i, k][0] and dated[j, m][0] and dated[i, k][0] != dated[j, m][0] or k.startswith("prompt|") and dated[i, k][1] and dated[j, m][1])
+                        assert apart or overlap.cosine(overlap.record_vector(p, k), overlap.record_vector(q, m)) < overlap.THRESHOLD
+    for p in (BASE, "no claim"):
+        for k, _, _ in overlap.record_keys(p, YES):
+            assert abs(overlap.cosine(overlap.record_vector(p, k), overlap.record_vector(p, k)) - 1) < 1e-9
 
 
 def test_copies_are_not_multiplied_out(spark):
