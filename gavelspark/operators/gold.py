@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.functions import patterns as P
@@ -61,7 +61,7 @@ def resolve_groups(scored: DataFrame, keys: Sequence[str], seq: str = "seq") ->
 
 def enrich(rows: DataFrame) -> DataFrame:
     """Chosen rows (with ``method`` and the metadata) in their gold form."""
-    context = X.or_else("source_context_local", X.local_context_v2("source_context", "claim_text"))
+    context = X.local_context_v2("source_context", "claim_text")
     return rows.withColumns({
         "source_context_local": context, "dataset_tier": F.lit("gold"), "label_source": F.lit("deterministic_db_rule"), "gold_resolution_method": F.col("method"),
         "source_session_id": X.or_empty("meta_session_id"), "source_bill_debated_id": X.or_empty(F.col("meta_bill_id").cast("string")),

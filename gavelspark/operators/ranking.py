@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that each group is ranked in; a group of n rows costs a task n / SALTS rows.
+#: Parts that each group is ranked in, at least, and rows of the whole table for each part more: a part of a group that holds
+#: all rows has no more than about ROWS_PER_SALT.
 SALTS = 256
+ROWS_PER_SALT = 500_000
 
 
-def salted_rank(df: DataFrame, keys: Sequence[str], unique: str, name: str = "rank", salts: int = SALTS) -> DataFrame:
+def salted_rank(df: DataFrame, keys: Sequence[str], unique: str, name: str = "rank", salts: int | None = None) -> DataFrame:
     """Add a rank from 0 inside each group of ``keys``, every value once; ``unique`` is a column unique in the group.
 
     The order is that of a hash of ``unique`` and then ``unique``, so equal input gives equal ranks.
     """
+    salts = salts or max(SALTS, df.count() // ROWS_PER_SALT)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(unique), F.lit(salts)))
     counts = salted.groupBy(*keys, "_salt").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_salt")) - F.col("_n")).drop("_n")

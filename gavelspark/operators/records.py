@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.functions.text import claim_key, match_key
@@ -40,14 +40,14 @@ def first_label(df: DataFrame, text: str, label: str, evidence: Sequence[str], s
     """Order-dependent deduplication with its reason: the first label of a claim wins, later rows with another label are
     ``conflict``, and of the rows left all but the first of each claim and evidence are ``duplicate``; others have null.
     """
-    key = claim_key(text)
-    won = Window.partitionBy("_claim").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    judged = df.withColumn("_claim", key).withColumn("_won", F.first(F.struct(label)).over(won)[label])
-    agrees = F.equal_null(F.col("_won"), F.col(label))
-    again = Window.partitionBy("_claim", "_agrees", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in evidence]).orderBy(seq)
-    ranked = judged.withColumn("_agrees", agrees).withColumn("_rn", F.row_number().over(again))
-    reason = F.when(~F.col("_agrees"), "conflict").when(F.col("_rn") > 1, "duplicate")
-    return ranked.withColumn("reason", reason).drop("_claim", "_won", "_agrees", "_rn")
+    # a claim may hold any share of the rows: first ones are aggregated and joined back, no claim is gathered in a window
+    missing = F.lit("\u0000")
+    keyed = df.withColumn("_claim", F.coalesce(claim_key(text), missing)).withColumn("_evidence", F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in evidence]))
+    won = keyed.groupBy("_claim").agg(F.min(F.struct(F.col(seq).alias("s"), F.col(label).alias("l"))).alias("_won"))
+    judged = keyed.join(won, "_claim").withColumn("_agrees", F.equal_null(F.col("_won")["l"], F.col(label)))
+    firsts = judged.groupBy("_claim", "_agrees", "_evidence").agg(F.min(seq).alias("_first"))
+    reason = F.when(~F.col("_agrees"), "conflict").when(F.col(seq) > F.col("_first"), "duplicate")
+    return judged.join(firsts, ["_claim", "_agrees", "_evidence"]).withColumn("reason", reason).select(*df.columns, "reason")
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.functions import patterns as P
 from gavelspark.functions import text as X
-from gavelspark.functions.values import claim_id, official, percent, provenance, tolerant_json
+from gavelspark.functions.values import claim_id, percent, provenance, tolerant_json
 from gavelspark.operators.ranking import global_rank, top_by
 from gavelspark.operators.records import distinct_claims, without_claims
 
@@ -56,23 +56,25 @@ def calls_until(outcomes: DataFrame, order: Sequence, target: int, max_calls: in
     """Outcomes (``accepted``, ``error``) used before the target of accepted rows or of calls was reached; an error is
     no call."""
     counted = outcomes.withColumn("_a", F.col("accepted").cast("long")).withColumn("_c", (~F.col("error")).cast("long"))
-    by_accept = global_rank(counted, order, "rn", total="_a").where(F.col("total_before") < target).drop("total_before", "rn")
-    return global_rank(by_accept, order, "rn", total="_c").where(F.col("total_before") < max_calls).drop("total_before", "_a", "_c")
+    by_accept = global_rank(counted, order, "_call", total="_a").where(F.col("total_before") < target).drop("total_before", "_call")
+    return global_rank(by_accept, order, "_call", total="_c").where(F.col("total_before") < max_calls).drop("total_before", "_call", "_a", "_c")
 
 
 def candidate_pool(seeds: DataFrame, statements: DataFrame, taken: DataFrame, n: int) -> DataFrame:
     """Seeds first; if fewer than ``n`` distinct untaken ones are left, sentences of as many statements as are needed
     for four times ``n``; then the distinct untaken claims, chosen in turn by type.
 
-    ``seeds``: the columns of ``candidate_claims`` with seq.
+    ``seeds``: the columns of ``candidate_claims`` with a whole number ``seq``; the result's ``seq`` is a struct, seeds before
+    sentences, these by statement and place.
     """
+    seeds = seeds.withColumn("seq", F.struct(F.lit(0).alias("part"), F.col("seq").cast("long").alias("at"), F.lit(0).cast("long").alias("pos")))
     kept = without_claims(distinct_claims(seeds), taken)
     have = kept.count()
     if have < n:
         found = candidate_claims(statements)
         per = found.groupBy("statement_id").agg(F.count("*").alias("_n"))
         used = prefix_until(per, "_n", ["statement_id"], 4 * n, have).select("statement_id")
-        more = found.join(used, "statement_id", "left_semi").withColumn("seq", F.lit(1 << 40) + F.col("statement_id") * 10000 + F.col("pos"))
+        more = found.join(used, "statement_id", "left_semi").withColumn("seq", F.struct(F.lit(1).alias("part"), F.col("statement_id").alias("at"), F.col("pos").cast("long").alias("pos")))
         kept = without_claims(distinct_claims(seeds.unionByName(more, allowMissingColumns=True)), taken)
     return diverse(kept, n)
 
@@ -92,34 +94,36 @@ def acceptance(payload: Column, statement: Column | str, min_confidence: int) ->
     )
 
 
-def label_rows(candidates: DataFrame, answer: str = "answer", min_confidence: int = 60) -> DataFrame:
-    """Candidates with a raw answer as silver rows; refused ones keep their ``reason``."""
-    p = F.col("_p")
-    parsed = candidates.withColumn("_p", tolerant_json(answer, PAYLOAD)).withColumn("reason", acceptance(p, "statement_id", min_confidence))
-    summary = X.trim_hard(p["evidence_summary"], 420)
-    local = X.or_empty("source_context_local")
-    both = F.concat(F.lit("Hansard context: "), local, F.lit(" Official evidence: "), X.or_empty(p["evidence_summary"]))
-    evidence = X.trim_hard(F.when((X.or_empty(p["evidence_summary"]) != "") & (local != ""), both).otherwise(X.or_else(p["evidence_summary"], local)), 900)
-    return parsed.select(
-        claim_id("claim_text", F.col("statement_id").cast("string"), "date").alias("claim_id"), "claim_text", F.lower(X.strip(p["label"])).alias("label"),
-        X.trim_hard(p["rationale"], 320).alias("label_rationale"), X.trim_hard(p["not_binary_reason"], 220).alias("not_binary_reason"),
-        X.or_empty(percent(p["confidence"]).cast("string")).alias("label_confidence"), evidence.alias("evidence_text"), summary.alias("evidence_summary"),
-        F.to_json(provenance(F.col("statement_id").cast("string"), p["used_sources"])).alias("evidence_provenance_json"),
-        F.lit("silver").alias("dataset_tier"), F.lit("openai_llm").alias("label_source"), "reason",
-    )
-
-
-def official_sources(provenance_json: Column | str) -> Column:
-    """Items of a provenance array with an official address."""
-    items = F.from_json(X._col(provenance_json), "array<struct<title:string,url:string>>")
-    return F.filter(items, lambda s: official(s["url"]))
+#: Columns of a silver row, in order.
+SILVER_COLUMNS = (
+    "claim_id", "claim_text", "source_context", "source_context_local", "source_speaker", "source_date", "source_session", "source_document_id", "source_statement_id",
+    "source_topic_h1", "source_topic_h2", "source_topic_h3", "claim_type", "label", "dataset_tier", "label_source", "label_rationale", "not_binary_reason", "label_confidence",
+    "evidence_text", "evidence_provenance_json", "model_name", "prompt_version", "generated_at", "notes",
+)
+#: What every silver row says of its making.
+SILVER_FIXED = {"dataset_tier": "silver", "label_source": "openai_llm", "prompt_version": "liar_silver_v2_middle_first", "notes": "Silver / LLM-labeled. Non-deterministic."}
 
 
-def without_dataset(rows: DataFrame, done: DataFrame, key: str = "claim_id") -> DataFrame:
-    """Rows whose key was not labelled in an earlier run."""
-    return rows.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+def label_rows(candidates: DataFrame, answer: str = "answer", min_confidence: int = 60, model: str = "model", now: Column | None = None) -> DataFrame:
+    """Candidates with a raw answer as silver rows of ``SILVER_COLUMNS``, all strings; refused ones keep their ``reason``.
 
-
-def running_share(rows: DataFrame, order: Sequence, keys: Sequence[str]) -> DataFrame:
-    """Rows with their running number inside each key."""
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    ``candidates``: claim_text, statement_id, date, source_context_local, and where known full_context, speaker, session,
+    document_id, h1_en, h2_en, h3_en, claim_type and model; other columns are kept. Missing values are empty.
+    """
+    p, known = F.col("_p"), set(candidates.columns)
+    given = lambda c: X.or_empty(F.col(c).cast("string")) if c in known else F.lit("")
+    parsed = candidates.withColumn("_p", tolerant_json(answer, PAYLOAD)).withColumn("reason", acceptance(p, "statement_id", min_confidence))
+    local, summary = given("source_context_local"), X.or_empty(p["evidence_summary"])
+    both = F.concat(F.lit("Hansard context: "), local, F.lit(" Official evidence: "), summary)
+    columns = {
+        "claim_id": claim_id("claim_text", given("statement_id"), given("date")), "source_context": given("full_context"), "source_speaker": given("speaker"), "source_date": given("date"),
+        "source_session": given("session"), "source_document_id": given("document_id"), "source_statement_id": given("statement_id"),
+        "source_topic_h1": given("h1_en"), "source_topic_h2": given("h2_en"), "source_topic_h3": given("h3_en"), "claim_type": X.or_else(given("claim_type"), "general"),
+        "label": F.lower(X.strip(p["label"])), "label_rationale": X.trim_hard(p["rationale"], 320), "not_binary_reason": X.trim_hard(p["not_binary_reason"], 220),
+        "label_confidence": X.or_empty(percent(p["confidence"]).cast("string")), "evidence_text": X.trim_hard(F.when((summary != "") & (local != ""), both).otherwise(X.or_else(summary, local)), 900),
+        "evidence_provenance_json": F.to_json(provenance(given("statement_id"), p["used_sources"])), "model_name": given(model),
+        "generated_at": F.date_format(now if now is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), "source_context_local": local,
+        **{k: F.lit(v) for k, v in SILVER_FIXED.items()},
+    }
+    rest = [c for c in candidates.columns if c not in SILVER_COLUMNS]
+    return parsed.withColumns(columns).select(*SILVER_COLUMNS, *rest, "reason")

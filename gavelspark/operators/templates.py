@@ -11,8 +11,22 @@ from gavelspark.functions import text as X
 # Fixed values -------------------------------------------------------------------------------------------------------
 VOTE_FORMAT = "Provide your assessment in this exact format:\nVERDICT: [TRUE/FALSE]\nCONFIDENCE: [0-100]\nEXPLANATION: [Short explanation grounded in the evidence]\nCORRECTION: [If false, provide the corrected information; otherwise N/A]"
 GOLD_FORMAT = "Provide your answer in this exact format:\nVERDICT: [TRUE/FALSE]\nCONFIDENCE: [0-100]\nEXPLANATION: [Short evidence-grounded explanation]\nCORRECTION: [If false, give the correct fact; otherwise N/A]"
+SILVER_FORMAT = "Provide your answer in this exact format:\nVERDICT: [TRUE/MOSTLY-TRUE/HALF-TRUE/BARELY-TRUE/FALSE/PANTS-FIRE]\nCONFIDENCE: [0-100]\nEXPLANATION: [Short evidence-grounded explanation]\nCORRECTION: [Short correction or N/A]"
 API_FORMAT = "Provide your assessment in this exact format:\nVERDICT: [TRUE/FALSE/MISLEADING/UNVERIFIED/NEEDS_CONTEXT]\nCONFIDENCE: [0-100]\nEXPLANATION: [Detailed explanation with evidence]\nCORRECTION: [If false or misleading, provide the correct information]"
 ANALYZE = "Analyze this claim from Canadian Parliament and provide a fact-check:"
+ANALYZE_SILVER = "Analyze this political claim from Canadian Parliament and provide a fact-check."
+ANALYZE_PLAIN = "Fact-check the following claim made in Canadian Parliament:"
+ASK_PLAIN = "Is this claim accurate? Provide evidence and explanation."
+#: Captions of the fields of prompts and answers, with what stands for a missing value.
+CLAIM, SPEAKER, DATE, BILL, PARTY, VOTE_DATE = '\n\nClaim: "', '"\nSpeaker: ', "\nDate: ", "\nBill: ", "\nNamed party: ", "\nVote date: "
+VERDICT, CONFIDENCE, EXPLANATION, CORRECTION = "VERDICT: ", "\nCONFIDENCE: ", "\nEXPLANATION: ", "\nCORRECTION: "
+PROVENANCE = ("Claim type: ", "\nBill: ", "\nBill session: ", "\nSource statement id: ", "\nEvidence ids: ")
+SILVER_CAPTIONS = ("\nClaim type: ", "\nLocal context: ", "\nEvidence: ")
+UNKNOWN, NOT_APPLICABLE, GENERAL_TOPIC, NO_SOURCE, MEDIUM, NO_EXPLANATION = "Unknown", "N/A", "General Debate", "No source provided", "Medium", "No explanation generated"
+PLAIN_ANSWER = ("Verification: ", "\n\nEvidence: ", "\n\nExplanation: ", "\n\nConfidence: ")
+QUESTION = ("The ", " voted ", ' on the House vote question "', '" on ', ".")
+#: Greatest lengths of a vote's question, of explanations and corrections of gold and silver rows, and of contexts.
+QUESTION_LIMIT, GOLD_LIMITS, SILVER_LIMITS, API_CONTEXT, PLAIN_CONTEXT = 220, (300, 240), (260, 220), 300, 500
 # --------------------------------------------------------------------------------------------------------------------
 
 
@@ -20,54 +34,72 @@ def _lines(*parts: Column | str) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def _answer(confidence: Column | str, explanation: Column, correction: Column) -> Column:
+    return _lines(VERDICT, F.upper(X.or_empty("label")), CONFIDENCE, confidence, EXPLANATION, explanation, CORRECTION, correction)
+
+
+def _opening() -> list[Column | str]:
+    return [CLAIM, X.or_empty("claim_text"), SPEAKER, X.or_else("source_speaker", UNKNOWN), DATE, X.or_else("source_date", UNKNOWN)]
+
+
 def vote_prompt() -> Column:
     """Prompt of a vote claim from a master row."""
     c = X.or_empty
-    return _lines(ANALYZE, '\n\nClaim: "', c("claim_text"), '"\nSpeaker: ', X.or_else("source_speaker", "Unknown"), "\nDate: ", X.or_else("source_date", "Unknown"), "\nBill: ", c("bill_number"), "\nNamed party: ", c("party_name"), "\nVote date: ", c("vote_date"), "\n\nContext: ", c("source_context_local"), "\n\nEvidence: ", c("evidence_text"), "\n\n", VOTE_FORMAT)
+    return _lines(ANALYZE, *_opening(), BILL, c("bill_number"), PARTY, c("party_name"), VOTE_DATE, c("vote_date"), "\n\nContext: ", c("source_context_local"), "\n\nEvidence: ", c("evidence_text"), "\n\n", VOTE_FORMAT)
 
 
 def vote_completion() -> Column:
     """Answer of a vote claim from a master row."""
-    question = X.trim_words(X.or_else("votequestion_description", F.concat(F.lit("Vote on Bill "), X.or_empty("bill_number"))), 220)
-    correction = F.when(F.col("label") == "True", "N/A").otherwise(_lines("The ", X.or_empty("party_name"), " voted ", X.or_empty("evidence_vote_direction"), ' on the House vote question "', question, '" on ', X.or_empty("vote_date"), "."))
-    return _lines("VERDICT: ", F.upper(X.or_empty("label")), "\nCONFIDENCE: 100\nEXPLANATION: ", X.or_empty("explanation"), "\nCORRECTION: ", correction)
+    question = X.trim_words(X.or_else("votequestion_description", F.concat(F.lit("Vote on Bill "), X.or_empty("bill_number"))), QUESTION_LIMIT)
+    the, voted, on, at, end = QUESTION
+    recorded = _lines(the, X.or_empty("party_name"), voted, X.or_empty("evidence_vote_direction"), on, question, at, X.or_empty("vote_date"), end)
+    return _answer("100", X.or_empty("explanation"), F.when(F.col("label") == "True", NOT_APPLICABLE).otherwise(recorded))
 
 
 def gold_prompt() -> Column:
     """Prompt of a gold row."""
-    na = lambda c: X.or_else(c, "N/A")
-    source = _lines("Claim type: ", F.coalesce("claim_type", F.lit("unknown")), "\nBill: ", na("bill_number"), "\nBill session: ", na("session_id"), "\nSource statement id: ", na("source_statement_id"), "\nEvidence ids: ", na("evidence_primary_ids"))
-    return _lines(ANALYZE, '\n\nClaim: "', X.or_empty("claim_text"), '"\nSpeaker: ', X.or_else("source_speaker", "Unknown"), "\nDate: ", X.or_else("source_date", "Unknown"), "\nContext: ", X.or_else("source_context_local", F.col("source_context"), "N/A"), "\nEvidence: ", na("evidence_text"), "\nProvenance:\n", source, "\n\n", GOLD_FORMAT)
+    na = lambda c: X.or_else(c, NOT_APPLICABLE)
+    values = (F.coalesce("claim_type", F.lit("unknown")), na("bill_number"), na("session_id"), na("source_statement_id"), na("evidence_primary_ids"))
+    source = [x for pair in zip(PROVENANCE, values, strict=True) for x in pair]
+    return _lines(ANALYZE, *_opening(), "\nContext: ", X.or_else("source_context_local", F.col("source_context"), NOT_APPLICABLE), "\nEvidence: ", na("evidence_text"), "\nProvenance:\n", *source, "\n\n", GOLD_FORMAT)
 
 
 def gold_completion() -> Column:
     """Answer of a gold row."""
-    correction = F.when(F.col("label") == "True", "N/A").otherwise(X.trim_hard(X.or_else("evidence_text", X.or_empty("explanation")), 240))
-    return _lines("VERDICT: ", F.upper(X.or_empty("label")), "\nCONFIDENCE: 100\nEXPLANATION: ", X.trim_hard("explanation", 300), "\nCORRECTION: ", F.coalesce(correction, F.lit("")))
+    most, most_correction = GOLD_LIMITS
+    correction = F.when(F.col("label") == "True", NOT_APPLICABLE).otherwise(X.trim_hard(X.or_else("evidence_text", X.or_empty("explanation")), most_correction))
+    return _answer("100", X.trim_hard("explanation", most), F.coalesce(correction, F.lit("")))
 
 
-def silver_completion() -> Column:
-    """Answer of a silver row."""
-    correction = F.when(F.col("label").isin(*P.CORRECTED_LABELS), X.trim_hard("evidence_text", 220)).otherwise("N/A")
-    return _lines("VERDICT: ", F.upper(X.or_empty("label")), "\nCONFIDENCE: ", X.or_else("label_confidence", "N/A"), "\nEXPLANATION: ", X.trim_hard("label_rationale", 260), "\nCORRECTION: ", correction)
+def silver_prompt(instructions: str = SILVER_FORMAT) -> Column:
+    """Prompt of a silver row; ``instructions`` is the answer format."""
+    values = (X.or_else("claim_type", "general"), X.or_else("source_context_local", F.col("source_context"), NOT_APPLICABLE), X.or_else("evidence_text", NOT_APPLICABLE))
+    fields = [x for pair in zip(SILVER_CAPTIONS, values, strict=True) for x in pair]
+    return _lines(ANALYZE_SILVER, *_opening(), *fields, "\n\n", instructions)
 
 
-def silver_prompt(instructions: str) -> Column:
-    """Prompt of a silver row; ``instructions`` is the answer format."""
-    return _lines("Analyze this political claim from Canadian Parliament and provide a fact-check.", '\n\nClaim: "', X.or_empty("claim_text"), '"\nSpeaker: ', X.or_else("source_speaker", "Unknown"), "\nDate: ", X.or_else("source_date", "Unknown"), "\nClaim type: ", X.or_else("claim_type", "general"), "\nLocal context: ", X.or_else("source_context_local", F.col("source_context"), "N/A"), "\nEvidence: ", X.or_else("evidence_text", "N/A"), "\n\n", instructions)
+def silver_completion() -> Column:
+    """Answer of a silver row."""
+    most, most_correction = SILVER_LIMITS
+    correction = F.when(F.col("label").isin(*P.CORRECTED_LABELS), X.trim_hard("evidence_text", most_correction)).otherwise(NOT_APPLICABLE)
+    return _answer(X.or_else("label_confidence", NOT_APPLICABLE), X.trim_hard("label_rationale", most), correction)
 
 
 def api_prompt(claim: str, speaker: str, day: str, context: str) -> Column:
     """Prompt of a served request; a line stays empty where its field is absent."""
     line = lambda name, c, value: F.when(X.or_empty(c) != "", F.concat(F.lit(f"{name}: "), value)).otherwise("")
-    return _lines(ANALYZE, '\n\nClaim: "', X.or_empty(claim), '"\n', line("Speaker", speaker, F.col(speaker)), "\n", line("Date", day, F.col(day)), "\n", line("Context", context, F.concat(F.substring(context, 1, 300), F.lit("..."))), "\n\n", API_FORMAT)
+    cut_short = F.concat(F.substring(context, 1, API_CONTEXT), F.lit("..."))
+    return _lines(ANALYZE, CLAIM, X.or_empty(claim), '"\n', line("Speaker", speaker, F.col(speaker)), "\n", line("Date", day, F.col(day)), "\n", line("Context", context, cut_short), "\n\n", API_FORMAT)
 
 
 def plain_pair() -> tuple[Column, Column]:
     """Prompt and answer of the oldest form, from a labelled claim."""
-    prompt = _lines("Fact-check the following claim made in Canadian Parliament:\n\nClaim: \"", F.col("claim_text"), '"\nSpeaker: ', F.col("speaker_name"), " (", F.coalesce("party", F.lit("Unknown")), ")\nDate: ", F.col("debate_date").cast("string"), "\nTopic: ", F.coalesce("topic", F.lit("General Debate")), "\n\nContext: ", F.substring("full_context", 1, 500), "...\n\nIs this claim accurate? Provide evidence and explanation.")
-    answer = _lines("Verification: ", F.col("verification_status"), "\n\nEvidence: ", F.coalesce("evidence_source", F.lit("No source provided")), "\n\nExplanation: ", F.col("explanation"), "\n\nConfidence: ", F.coalesce("confidence_score", F.lit("Medium")))
-    return prompt, answer
+    prompt = _lines(
+        ANALYZE_PLAIN, CLAIM, F.col("claim_text"), SPEAKER, F.col("speaker_name"), " (", F.coalesce("party", F.lit(UNKNOWN)), ")", DATE, F.col("debate_date").cast("string"),
+        "\nTopic: ", F.coalesce("topic", F.lit(GENERAL_TOPIC)), "\n\nContext: ", F.substring("full_context", 1, PLAIN_CONTEXT), "...\n\n", ASK_PLAIN,
+    )
+    values = (F.col("verification_status"), F.coalesce("evidence_source", F.lit(NO_SOURCE)), F.col("explanation"), F.coalesce("confidence_score", F.lit(MEDIUM)))
+    return prompt, _lines(*[x for pair in zip(PLAIN_ANSWER, values, strict=True) for x in pair])
 
 
 def api_fields(answer: Column | str) -> dict[str, Column]:
@@ -76,7 +108,7 @@ def api_fields(answer: Column | str) -> dict[str, Column]:
     return {
         "verdict": F.coalesce(F.upper(X.extract(t, P.VERDICT_API)), F.lit("UNVERIFIED")),
         "confidence": F.coalesce(X.extract(t, P.API_CONFIDENCE).try_cast("double"), F.lit(50.0)) / 100,
-        "explanation": F.coalesce(X.strip(X.extract(t, P.API_EXPLANATION)), F.lit("No explanation generated")),
+        "explanation": F.coalesce(X.strip(X.extract(t, P.API_EXPLANATION)), F.lit(NO_EXPLANATION)),
         "correction": X.strip(X.extract(t, P.API_CORRECTION)),
     }
 

@@ -6,11 +6,13 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.functions import patterns as P
 from gavelspark.functions import text as X
+from gavelspark.functions.values import sorted_json
+from gavelspark.operators.ranking import global_rank
 
 #: Longest stretch between a party and its vote phrase.
 PARTY_GAP = 80
@@ -169,11 +171,11 @@ def violations(rows: DataFrame, required: Sequence[str], evidence: str = "eviden
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("violation"), F.col(n).alias("n_rows")) for n in names])).alias("v")).select("v.*")
 
 
-def require_valid(rows: DataFrame, required: Sequence[str]) -> DataFrame:
-    """The rows, or an error that names the first breach of the contract."""
-    for row in violations(rows, required).collect():
-        if row["n_rows"]:
-            raise ValueError(f"{row['n_rows']} rows or keys: {row['violation']}")
+def require_valid(rows: DataFrame, required: Sequence[str], evidence: str = "evidence_primary_ids") -> DataFrame:
+    """The rows, or an error that names the breaches of the contract. A claim and its ``evidence`` stand together once."""
+    broken = [f"{r['n_rows']} {r['violation']}" for r in violations(rows, required, evidence).collect() if r["n_rows"]]
+    if broken:
+        raise ValueError("rows or keys against the contract: " + ", ".join(broken))
     return rows
 
 
@@ -184,8 +186,9 @@ def synthetic_negatives(rows: DataFrame, ratio: float, seed: int = 42) -> DataFr
     target = min(counts["t"], int(counts["t"] * ratio))
     need = max(0, target - counts["f"])
     flipped = rows.where("label = 'True'").withColumn("flipped", X.flip_direction("claim_text")).where(X.claim_key("flipped") != X.claim_key("claim_text"))
-    chosen = flipped.orderBy(F.xxhash64(F.lit(seed), "seq"), "seq").limit(need)
-    numbered = sequential_ids(chosen, [F.xxhash64(F.lit(seed), "seq"), F.asc("seq")], "claim-synth-")
+    order = [F.xxhash64(F.lit(seed), "seq"), F.asc("seq")]
+    # ``need`` grows with the table, so rows are ranked in ranges instead of being limited in one task
+    numbered = global_rank(flipped, order, "_n").where(F.col("_n") <= need).withColumn("claim_id", F.concat(F.lit("claim-synth-"), F.col("_n").cast("string"))).drop("_n")
     fixed = {"label": "False", "claim_origin": "synthetic_fallback", "match_status": "contradicted", "contradiction_field": "vote_direction", "verdict_relation": "CONTRADICTED", "notes": "synthetic_corruption_from_natural_sentence", "source_table": "synthetic_from_public.hansards_statement"}
     turned = F.when(F.col("claim_vote_direction") == "for", "against").otherwise("for")
     return numbered.withColumns({"claim_text": F.col("flipped"), "explanation": X.replace_first("explanation", "True.", "False."), "claim_vote_direction": turned, **{k: F.lit(v) for k, v in fixed.items()}}).drop("flipped")
@@ -193,11 +196,57 @@ def synthetic_negatives(rows: DataFrame, ratio: float, seed: int = 42) -> DataFr
 
 def sequential_ids(rows: DataFrame, order: Sequence, prefix: str = "claim-") -> DataFrame:
     """Consecutive ids in a total order."""
-    from gavelspark.operators.ranking import global_rank
-
     return global_rank(rows, order, "_n").withColumn("claim_id", F.concat(F.lit(prefix), F.col("_n").cast("string"))).drop("_n")
 
 
 def exact_day_matches(probe: DataFrame, keys: Sequence[str], day: str, fact_day: str) -> DataFrame:
-    """How many facts of each key fall on the probe's own day."""
-    return probe.withColumn("n_exact", F.count_if(F.equal_null(F.col(day), F.col(fact_day)) & F.col(day).isNotNull()).over(Window.partitionBy(*keys)))
+    """How many facts of each key fall on the probe's own day: counts for each key, joined back, so no key is gathered."""
+    same = F.equal_null(F.col(day), F.col(fact_day)) & F.col(day).isNotNull()
+    counts = probe.groupBy(*keys).agg(F.count_if(same).alias("n_exact")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    return probe.join(counts, [F.equal_null(F.col(k), F.col(f"_{k}")) for k in keys]).drop(*(f"_{k}" for k in keys))
+
+
+#: Columns of a master row, in order.
+MASTER_COLUMNS = (
+    "claim_id", "claim_text", "source_context", "source_sentence", "label", "explanation", "evidence_text", "claim_origin", "source_table", "source_statement_id", "source_document_id",
+    "source_speaker", "source_party", "source_date", "claim_family", "claim_type", "claim_subtype", "match_status", "bill_id", "bill_number", "bill_title", "session_id", "parliament_number",
+    "session_number", "votequestion_id", "vote_date", "party_id", "party_name", "politician_id", "politician_name", "evidence_source_tables", "evidence_primary_ids", "evidence_json", "rule_id",
+    "confidence", "contradiction_field", "parser_version", "generated_at", "notes", "source_context_local", "votequestion_description", "vote_result", "yea_total", "nay_total",
+    "claim_vote_direction", "evidence_vote_direction", "verdict_relation",
+)
+#: What every matched row says of its making, and where its evidence stands.
+MASTER_FIXED = {
+    "claim_origin": "hansard_natural", "source_table": "public.hansards_statement", "claim_family": "vote_fact", "claim_type": "party_vote_direction", "claim_subtype": "explicit_party_vote_direction",
+    "politician_id": "", "politician_name": "", "rule_id": "hansard_party_vote_sentence_v1", "confidence": "1.0", "parser_version": "vote_only_v1", "notes": "",
+    "evidence_source_tables": '["public.bills_partyvote", "public.bills_votequestion", "public.bills_bill", "public.core_party"]',
+}
+#: Fields that no row of the contract may leave empty.
+REQUIRED = ("claim_text", "label", "explanation", "evidence_text", "evidence_source_tables", "evidence_primary_ids", "source_context_local", "claim_vote_direction", "evidence_vote_direction", "verdict_relation")
+
+
+def vote_rows(claims: DataFrame, statements: DataFrame, facts: DataFrame, now: Column | None = None) -> DataFrame:
+    """Matched claims as rows of ``MASTER_COLUMNS``, all strings, with ``seq``, their number in order of date, statement and
+    place. ``claims``: from ``vote_claims``; ``statements``: from ``bill_statements``; ``facts``: from ``vote_facts``."""
+    matched = claims.where("label is not null").select("statement_id", "pos", "claim_text", "label", "partyvote_id")
+    said = statements.select("statement_id", "document_id", "source_date", "who_en", "source_context")
+    rows = matched.join(said, "statement_id").join(facts, "partyvote_id")
+    text = lambda c: X.or_empty(F.col(c).cast("string"))
+    day = F.date_format("vote_date", "yyyy-MM-dd")
+    true = F.col("label") == "True"
+    ids = ("bill_id", "party_id", "partyvote_id", "votequestion_id")
+    facts_shown = {c: F.col(c) for c in ("bill_id", "bill_number", "nay_total", "party_id", "party_name", "partyvote_id", "vote", "vote_result", "votequestion_description", "votequestion_id", "yea_total")} | {"vote_date": day}
+    built = {
+        "source_sentence": F.col("claim_text"), "explanation": explanation_sentence("label", "party_name", "vote", "vote_date"),
+        "evidence_text": evidence_sentence("party_name", "vote", "vote_date", "votequestion_description", "bill_number"),
+        "source_statement_id": text("statement_id"), "source_document_id": text("document_id"), "source_speaker": text("who_en"), "source_party": X.speaker_party("who_en"),
+        "source_date": X.or_empty(F.date_format("source_date", "yyyy-MM-dd")), "match_status": F.when(true, "matched").otherwise("contradicted"),
+        "parliament_number": text("parliamentnum"), "session_number": text("sessnum"),
+        "evidence_primary_ids": sorted_json(F.struct(*[F.col(c) for c in ids])), "evidence_json": sorted_json(F.struct(*[v.alias(k) for k, v in sorted(facts_shown.items())])),
+        "contradiction_field": F.when(true, "").otherwise("vote_direction"), "generated_at": F.date_format(now if now is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
+        "source_context_local": X.local_context("source_context", "claim_text"), "claim_vote_direction": X.vote_direction("claim_text"), "evidence_vote_direction": X.code_direction("vote"),
+        "verdict_relation": F.when(true, "SUPPORTED").otherwise("CONTRADICTED"), "vote_date": day,
+        **{c: text(c) for c in ("bill_id", "bill_number", "bill_title", "session_id", "votequestion_id", "party_id", "party_name", "votequestion_description", "vote_result", "yea_total", "nay_total")},
+        **{k: F.lit(v) for k, v in MASTER_FIXED.items()},
+    }
+    ranked = global_rank(rows.withColumn("_day", F.col("source_date")).withColumns(built), [F.asc_nulls_last("_day"), F.asc("statement_id"), F.asc("pos")], "seq")
+    return ranked.withColumn("claim_id", F.concat(F.lit("claim-"), F.col("seq").cast("string"))).select("seq", *MASTER_COLUMNS)

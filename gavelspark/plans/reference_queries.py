@@ -15,6 +15,7 @@ from gavelspark.functions import patterns as P
 from gavelspark.functions import text as X
 from gavelspark.functions import values as V
 from gavelspark.operators import boundaries, gold, merge, metrics, ranking, records, retrieval, sampling, silver, templates, votes
+from gavelspark.plans import pipelines
 from gavelspark.session import cut, table
 from gavelspark.sources import readers
 
@@ -96,6 +97,34 @@ def _lit(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\p{{Z}}\\x{{0085}}\\x1c-\\x1f\\x0b]+|[\\s\\p{{Z}}\\x{{0085}}\\x1c-\\x1f\\x0b]+$', '', 'g')"
+
+
+def _parted(x: str) -> str:
+    """Parts after a terminator and white space, as SQL, which has no lookbehind."""
+    return f"string_split(regexp_replace({x}, '([.!?])[ \\t\\n\\x0b\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+def _sentences_sql(x: str) -> str:
+    return f"list_filter(list_transform({_parted(x)}, lambda s: {_stripped('s')}), lambda s: s <> '')"
+
+
+def _words_cut(x: str, limit: int) -> str:
+    w = _squeeze(x)
+    soft = f"regexp_replace(regexp_replace(substr({w}, 1, {limit - 3}), ' [^ ]*$', ''), '[,;: ]+$', '')"
+    return f"CASE WHEN length({w}) <= {limit} THEN {w} ELSE coalesce(nullif({soft}, ''), substr({w}, 1, {limit - 3})) || '...' END"
+
+
+def _hard_cut(x: str, limit: int) -> str:
+    w = _squeeze(f"coalesce({x}, '')")
+    return f"CASE WHEN length({w}) <= {limit} THEN {w} ELSE rtrim(substr({w}, 1, {limit - 1})) || '...' END"
+
+
+def _mk(x: str) -> str:
+    return "lower(" + _squeeze(f"coalesce({x}, '')") + ")"
+
+
 # Sources ------------------------------------------------------------------------------------------------------------
 
 
@@ -114,9 +143,12 @@ def s2_legacy_debates(spark, d):
     return readers.legacy_debates(flat, "2018-01-01").orderBy(F.desc_nulls_first("debate_date"), "id").limit(50).select("id", F.col("debate_date").alias("day"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS claim_text, CAST(NULL AS DATE) AS debate_date WHERE false")
+@query("SELECT claim_text, try_strptime(substr(source_date, 1, 10), '%Y-%m-%d')::DATE AS debate_date FROM liar_silver_master")
 def s3_verified_claims(spark, d):
-    return readers.table_or_empty(spark, "fact_claims_that_do_not_exist").select("claim_text", "debate_date")
+    # one table exists, the other does not and gives no rows
+    table(spark, d, "liar_silver_master").select("claim_text", V.parse_day("source_date").alias("debate_date")).createOrReplaceTempView("gavel_verified_claims")
+    both = [readers.table_or_empty(spark, name).select("claim_text", "debate_date") for name in ("gavel_verified_claims", "fact_claims_that_do_not_exist")]
+    return both[0].unionByName(both[1])
 
 
 @query(f"WITH {_PA} SELECT id, name_en, short_name_en FROM pa")
@@ -141,7 +173,8 @@ def _facts(spark, d):
 
 @query(f"WITH {_FACTS} SELECT partyvote_id, votequestion_id, bill_id, party_id, party_name, vote, vote_date, bill_title, parliamentnum FROM facts")
 def s5_j1_vote_facts(spark, d):
-    return _facts(spark, d).select("partyvote_id", "votequestion_id", "bill_id", "party_id", "party_name", "vote", "vote_date", "bill_title", "parliamentnum")
+    found = _facts(spark, d).orderBy("bill_id", "party_id", "vote_date", "votequestion_id")  # T2
+    return found.select("partyvote_id", "votequestion_id", "bill_id", "party_id", "party_name", "vote", "vote_date", "bill_title", "parliamentnum")
 
 
 _CLEAN = _squeeze("regexp_replace(coalesce(content_en, ''), '<[^>]+>', ' ', 'g')")
@@ -185,10 +218,11 @@ def s13_views(spark, d):
     return spark.sql("SELECT count(*) AS n FROM current_statements s JOIN current_bills b ON s.bill_debated_id = b.id")
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 6) > 0 AS has_length FROM embeddings")
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM e)
+SELECT vec_id, round(v[1] / size, 6) AS first, round(v[-1] / size, 6) AS last, round(list_inner_product(v, v) / size / size, 6) AS own FROM n WHERE size > 0""")
 def s16_m6_knowledge_base(spark, d):
-    base = readers.knowledge_base(table(spark, d, "embeddings"))
-    return base.select("vec_id", (F.abs(V.inner_product("vector", "vector") - 1) < 1e-9).alias("has_length"))
+    base = readers.knowledge_base(table(spark, d, "embeddings")).where(F.exists("vector", lambda x: x != 0))
+    return base.select("vec_id", F.round(F.element_at("vector", 1), 6).alias("first"), F.round(F.element_at("vector", -1), 6).alias("last"), F.round(V.inner_product("vector", "vector"), 6).alias("own"))
 
 
 # Filters ------------------------------------------------------------------------------------------------------------
@@ -237,7 +271,9 @@ def f11_r3_fact_parts(spark, d):
     return table(spark, d, "training_pairs").select("pair_id", F.explode(parts).alias("s")).groupBy("pair_id").agg(F.count("*").alias("n_facts"))
 
 
-@query()
+@query(f"""WITH {_ST}, p AS (SELECT id, list_filter({_sentences_sql("regexp_replace(coalesce(content_en, ''), '<[^>]+>', '', 'g')")}, lambda s: length(s) > 20 AND {_any("s", P.EXTRACT_FACTS)}) AS parts FROM st),
+u AS (SELECT id, unnest(parts) AS claim_text, generate_subscripts(parts, 1) - 1 AS pos FROM p)
+SELECT id, pos, claim_text, {"CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(claim_text), {_lit(w)})' for w in words)} THEN '{name}'" for name, words in P.CLAIM_TYPES if name != "vote") + " ELSE 'general' END"} AS claim_type FROM u""")
 def f11_fact_sentences(spark, d):
     return statements(spark, d, "content_en").select("id", F.posexplode(X.fact_sentences("content_en")).alias("pos", "claim_text")).withColumn("claim_type", X.claim_type("claim_text", with_vote=False))
 
@@ -327,7 +363,7 @@ def x18_x19_x20_types_and_scores(spark, d):
     return kinded.select("t", "seq", "kind", X.signal_score("claim_text").alias("x19"), X.candidate_score("claim_text", "kind").alias("x20"))
 
 
-@query()
+@query(f"""WITH {_ST}, p AS (SELECT id, {_sentences_sql("coalesce(content_en, '')")} AS parts FROM st) SELECT id, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS pos FROM p""")
 def x22_sentences(spark, d):
     return statements(spark, d, "content_en").select("id", F.posexplode(X.split_sentences("content_en")).alias("pos", "sentence"))
 
@@ -339,14 +375,36 @@ def x23_vote_sentences(spark, d):
     return table(spark, d, "factcheck_master").select("seq", F.explode(X.vote_sentences(X.clean("source_context"))).alias("sentence"))
 
 
-@query()
+def _window_sql(at: str, margin: int) -> str:
+    return f"substr(whole, greatest({at} - {margin}, 1), least({at} - 1 + length(said) + {margin}, length(whole)) - greatest({at} - {margin}, 1) + 1)"
+
+
+_AROUND = "array_to_string(parts[greatest(hit - 1, 1):hit + 1], ' ')"
+_X25 = f"""l AS (SELECT seq, coalesce(source_context, '') AS whole, coalesce(claim_text, '') AS said, {_sentences_sql("coalesce(source_context, '')")} AS parts FROM factcheck_master),
+l2 AS (SELECT *, coalesce(list_position(list_transform(parts, lambda s: contains(s, said)), true), 0) AS hit, instr(whole, said) AS found FROM l),
+x25 AS (SELECT seq, CASE WHEN hit > 0 THEN {_words_cut(_AROUND, 1200)} WHEN found > 0 THEN {_words_cut(_window_sql("found", 400), 1200)} ELSE {_words_cut("said", 1200)} END AS x25 FROM l2)"""
+_X26 = f"""v AS (SELECT seq, {_squeeze("coalesce(source_context, '')")} AS whole, {_squeeze("coalesce(claim_text, '')")} AS said FROM factcheck_master),
+v2 AS (SELECT *, {_parted("whole")} AS parts, instr(whole, said) AS found, instr(lower(whole), lower(said)) AS low FROM v),
+v3 AS (SELECT *, coalesce(list_position(list_transform(parts, lambda s: contains(lower(trim(s)), lower(said))), true), 0) AS hit FROM v2),
+x26 AS (SELECT seq, CASE WHEN whole = '' THEN said WHEN said = '' THEN {_hard_cut("whole", 1200)} WHEN found > 0 THEN {_hard_cut(_window_sql("found", 420), 1200)} WHEN hit > 0 THEN {_hard_cut(_AROUND, 1200)}
+  WHEN low > 0 THEN {_hard_cut(_window_sql("low", 420), 1200)} ELSE {_hard_cut("whole", 1200)} END AS x26 FROM v3)"""
+
+
+@query(f"WITH {_X25}, {_X26} SELECT seq, x25, x26 FROM x25 JOIN x26 USING (seq)")
 def x25_x26_contexts(spark, d):
     return table(spark, d, "factcheck_master").select("seq", X.local_context("source_context", "claim_text").alias("x25"), X.local_context_v2("source_context", "claim_text").alias("x26"))
 
 
-@query("""SELECT seq, 'The ' || coalesce(party_name, '') || ' voted ' || coalesce(evidence_vote_direction, '') AS sentence FROM factcheck_master""")
+_QT = _words_cut("coalesce(nullif(" + _squeeze("regexp_replace(coalesce(votequestion_description, ''), '<[^>]+>', ' ', 'g')") + ", ''), 'Vote on Bill ' || bill_number)", 220)
+
+
+@query(f"""WITH r AS (SELECT *, try_strptime(substr(vote_date, 1, 10), '%Y-%m-%d')::DATE AS day, CASE evidence_vote_direction WHEN 'for' THEN 'for' ELSE 'against' END AS said, CASE evidence_vote_direction WHEN 'for' THEN 'against' ELSE 'for' END AS other FROM factcheck_master),
+t AS (SELECT *, coalesce(strftime(day, '%Y-%m-%d'), 'null') AS d, coalesce(party_name, 'null') AS p, coalesce({_QT}, 'null') AS q FROM r)
+SELECT seq, 'House vote question: "' || q || '" The ' || p || ' voted ' || said || ' on ' || d || '.' AS evidence,
+  CASE WHEN label = 'True' THEN 'True. DB vote record shows the ' || p || ' voted ' || said || ' on that House vote question on ' || d || '.' ELSE 'False. DB vote record shows the ' || p || ' voted ' || said || ', not ' || other || ', on that House vote question on ' || d || '.' END AS explanation FROM t""")
 def x28_templates(spark, d):
-    return table(spark, d, "factcheck_master").select("seq", F.concat(F.lit("The "), X.or_empty("party_name"), F.lit(" voted "), X.or_empty("evidence_vote_direction")).alias("sentence"))
+    rows = table(spark, d, "factcheck_master").withColumn("vote", F.when(F.col("evidence_vote_direction") == "for", "Y").otherwise("N")).withColumn("day", V.parse_day("vote_date"))
+    return rows.select("seq", votes.evidence_sentence("party_name", "vote", "day", "votequestion_description", "bill_number").alias("evidence"), votes.explanation_sentence("label", "party_name", "vote", "day").alias("explanation"))
 
 
 def _or(x: str, y: str) -> str:
@@ -360,10 +418,28 @@ def x29_p11_vote_pairs(spark, d):
     return table(spark, d, "factcheck_master").select("seq", F.md5(templates.vote_prompt()).alias("prompt_md5"))
 
 
-@query()
+def _na(c: str, other: str = "'N/A'") -> str:
+    return f"coalesce(nullif({c}, ''), {other})"
+
+
+_QV = _words_cut("coalesce(nullif(votequestion_description, ''), 'Vote on Bill ' || coalesce(bill_number, ''))", 220)
+
+
+@query(f"""SELECT seq, md5({_lit(templates.ANALYZE)} || chr(10) || chr(10) || 'Claim: "' || coalesce(claim_text, '') || '"' || chr(10) || 'Speaker: ' || {_na("source_speaker", "'Unknown'")} || chr(10) || 'Date: ' || {_na("source_date", "'Unknown'")}
+  || chr(10) || 'Context: ' || coalesce(nullif(source_context_local, ''), nullif(source_context, ''), 'N/A') || chr(10) || 'Evidence: ' || {_na("evidence_text")} || chr(10) || 'Provenance:' || chr(10) || 'Claim type: ' || coalesce(claim_type, 'unknown')
+  || chr(10) || 'Bill: ' || {_na("bill_number")} || chr(10) || 'Bill session: ' || {_na("session_id")} || chr(10) || 'Source statement id: ' || {_na("source_statement_id")} || chr(10) || 'Evidence ids: ' || {_na("evidence_primary_ids")} || chr(10) || chr(10) || {_lit(templates.GOLD_FORMAT)}) AS prompt_md5,
+  'VERDICT: ' || upper(coalesce(label, '')) || chr(10) || 'CONFIDENCE: 100' || chr(10) || 'EXPLANATION: ' || {_hard_cut("explanation", 300)} || chr(10) || 'CORRECTION: ' || CASE WHEN label = 'True' THEN 'N/A' ELSE {_hard_cut("coalesce(nullif(evidence_text, ''), explanation)", 240)} END AS completion,
+  'VERDICT: ' || upper(coalesce(label, '')) || chr(10) || 'CONFIDENCE: 100' || chr(10) || 'EXPLANATION: ' || coalesce(explanation, '') || chr(10) || 'CORRECTION: ' || CASE WHEN label = 'True' THEN 'N/A'
+    ELSE 'The ' || coalesce(party_name, '') || ' voted ' || coalesce(evidence_vote_direction, '') || ' on the House vote question "' || {_QV} || '" on ' || coalesce(vote_date, '') || '.' END AS vote_completion FROM factcheck_master""")
 def x29_p11_gold_pairs(spark, d):
     rows = table(spark, d, "factcheck_master")
-    return rows.select("seq", templates.gold_prompt().alias("prompt"), templates.gold_completion().alias("completion"), templates.vote_completion().alias("vote_completion"))
+    return rows.select("seq", F.md5(templates.gold_prompt()).alias("prompt_md5"), templates.gold_completion().alias("completion"), templates.vote_completion().alias("vote_completion"))
+
+
+@query(f"""SELECT seq, md5({_lit(templates.ANALYZE_SILVER)} || chr(10) || chr(10) || 'Claim: "' || coalesce(claim_text, '') || '"' || chr(10) || 'Speaker: ' || {_na("source_speaker", "'Unknown'")} || chr(10) || 'Date: ' || {_na("source_date", "'Unknown'")} || chr(10) || 'Claim type: ' || {_na("claim_type", "'general'")}
+  || chr(10) || 'Local context: ' || coalesce(nullif(source_context_local, ''), nullif(source_context, ''), 'N/A') || chr(10) || 'Evidence: ' || {_na("evidence_text")} || chr(10) || chr(10) || {_lit(templates.SILVER_FORMAT)}) AS prompt_md5 FROM liar_silver_master""")
+def x29_silver_prompts(spark, d):
+    return table(spark, d, "liar_silver_master").select("seq", F.md5(templates.silver_prompt()).alias("prompt_md5"))
 
 
 _DE = _squeeze("coalesce(label_rationale, '')")
@@ -420,10 +496,11 @@ def x30_api_prompts(spark, d):
     return table(spark, d, "liar_silver_master").select("seq", F.md5(templates.api_prompt("claim_text", "source_speaker", "source_date", "source_context")).alias("prompt_md5"))
 
 
-@query()
+@query(f"""SELECT seq, md5({_lit(templates.LABELLING % ", ".join(P.SILVER_LABELS))} || chr(10) || chr(10) || 'Claim:' || chr(10) || coalesce(claim_text, '') || chr(10) || chr(10) || 'Local context:' || chr(10) || coalesce(source_context_local, '') || chr(10) || chr(10)
+  || 'Full context:' || chr(10) || coalesce(source_context, '') || chr(10) || chr(10) || 'Source:' || chr(10) || 'Speaker: ' || {_na("source_speaker", "'Unknown'")} || chr(10) || 'Date: ' || {_na("source_date", "'Unknown'")} || chr(10) || 'Topic: ' || coalesce(nullif(source_topic_h2, ''), nullif(source_topic_h1, ''), 'Unknown')) AS prompt_md5 FROM liar_silver_master""")
 def x31_labelling_prompts(spark, d):
     rows = table(spark, d, "liar_silver_master").select("seq", "claim_text", F.col("source_speaker").alias("speaker"), F.col("source_date").alias("date"), F.col("source_topic_h1").alias("h1_en"), F.col("source_topic_h2").alias("h2_en"), "source_context_local", F.col("source_context").alias("full_context"))
-    return rows.select("seq", templates.labelling_prompt().alias("prompt"))
+    return rows.select("seq", F.md5(templates.labelling_prompt()).alias("prompt_md5"))
 
 
 @query("SELECT seq, CASE WHEN contains(explanation, 'The') THEN substr(explanation, 1, instr(explanation, 'The') - 1) || 'This' || substr(explanation, instr(explanation, 'The') + 3) ELSE explanation END AS x36, regexp_replace(regexp_replace(trim(evidence_json), '^```(?:json)?\\s*', ''), '\\s*```$', '') AS x37 FROM factcheck_master")
@@ -431,22 +508,26 @@ def x36_x37_replacements(spark, d):
     return table(spark, d, "factcheck_master").select("seq", X.replace_first("explanation", "The", "This").alias("x36"), X.unfence("evidence_json").alias("x37"))
 
 
-@query(f"""SELECT pair_id, coalesce(upper(nullif(regexp_extract(completion, {_lit(P.VERDICT_API)}, 1), '')), 'UNVERIFIED') AS verdict, coalesce(try_cast(nullif(regexp_extract(completion, {_lit(P.API_CONFIDENCE)}, 1), '') AS DOUBLE), 50) / 100 AS confidence FROM training_pairs""")
+@query(f"""SELECT pair_id, coalesce(upper(nullif(regexp_extract(completion, {_lit(P.VERDICT_API)}, 1), '')), 'UNVERIFIED') AS verdict, coalesce(try_cast(nullif(regexp_extract(completion, {_lit(P.API_CONFIDENCE)}, 1), '') AS DOUBLE), 50) / 100 AS confidence,
+  coalesce({_stripped(f"nullif(regexp_extract(completion, {_lit(P.API_EXPLANATION)}, 1), '')")}, 'No explanation generated') AS explanation, {_stripped(f"nullif(regexp_extract(completion, {_lit(P.API_CORRECTION)}, 1), '')")} AS correction FROM training_pairs""")
 def x32_api_fields(spark, d):
     fields = templates.api_fields("completion")
-    return table(spark, d, "training_pairs").select("pair_id", fields["verdict"].alias("verdict"), fields["confidence"].alias("confidence"))
+    return table(spark, d, "training_pairs").select("pair_id", *[c.alias(name) for name, c in fields.items()])
 
 
-@query()
+@query(f"""SELECT seq, {_lit(templates.ANALYZE_PLAIN)} || chr(10) || chr(10) || 'Claim: "' || claim_text || '"' || chr(10) || 'Speaker: ' || source_speaker || ' (Unknown)' || chr(10) || 'Date: ' || source_date || chr(10) || 'Topic: ' || coalesce(source_topic_h2, 'General Debate')
+  || chr(10) || chr(10) || 'Context: ' || substr(source_context, 1, 500) || '...' || chr(10) || chr(10) || {_lit(templates.ASK_PLAIN)} AS prompt,
+  'Verification: ' || label || chr(10) || chr(10) || 'Evidence: ' || coalesce(evidence_text, 'No source provided') || chr(10) || chr(10) || 'Explanation: ' || label_rationale || chr(10) || chr(10) || 'Confidence: ' || coalesce(label_confidence, 'Medium') AS completion FROM liar_silver_master""")
 def x29_plain_pairs(spark, d):
     rows = table(spark, d, "liar_silver_master").select("seq", "claim_text", F.col("source_speaker").alias("speaker_name"), F.lit(None).cast("string").alias("party"), F.col("source_date").alias("debate_date"), F.col("source_topic_h2").alias("topic"), F.col("source_context").alias("full_context"), F.col("label").alias("verification_status"), F.col("evidence_text").alias("evidence_source"), F.col("label_rationale").alias("explanation"), F.col("label_confidence").alias("confidence_score"))
     prompt, answer = templates.plain_pair()
     return rows.select("seq", prompt.alias("prompt"), answer.alias("completion"))
 
 
-@query()
+@query("SELECT seq, claim_text AS claim, false AS verified, 0 AS n_sources FROM factcheck_master")
 def v6_v7_external_stubs(spark, d):
-    return table(spark, d, "factcheck_master").select("seq", boundaries.verification_stub("claim_text").alias("check"))
+    check = boundaries.verification_stub("claim_text")
+    return table(spark, d, "factcheck_master").select("seq", check["claim"].alias("claim"), check["verified"].alias("verified"), F.size(check["sources"]).cast("long").alias("n_sources"))
 
 
 # Values -------------------------------------------------------------------------------------------------------------
@@ -494,18 +575,31 @@ def q1_q2_json(spark, d):
     return table(spark, d, "factcheck_master").withColumn("p", parsed).select("seq", "p.party", "p.division")
 
 
-@query("SELECT pair_id, completion AS text FROM training_pairs WHERE completion <> ''")
+@query("SELECT seq, CAST(json_object('bill_number', bill_number, 'party_name', party_name, 'vote_date', vote_date, 'yea_total', try_cast(yea_total AS INT)) AS VARCHAR) AS json FROM factcheck_master")
+def q1_sorted_json(spark, d):
+    struct = F.struct("bill_number", "party_name", "vote_date", F.col("yea_total").try_cast("int").alias("yea_total"))
+    return table(spark, d, "factcheck_master").select("seq", V.sorted_json(struct).alias("json"))
+
+
+@query("SELECT pair_id, CASE pair_id % 3 WHEN 0 THEN completion WHEN 1 THEN completion || chr(10) || 'end' ELSE 'own text' END AS text FROM training_pairs WHERE completion <> ''")
 def q3_envelopes(spark, d):
-    part = F.array(F.struct(F.array(F.struct(F.col("completion").alias("text"))).alias("content")))
-    rows = table(spark, d, "training_pairs").where("completion <> ''").withColumn("envelope", F.to_json(F.struct(F.lit("").alias("output_text"), part.alias("output"))))
-    return rows.select("pair_id", V.output_text("envelope").alias("text"))
+    # the parts of an answer: one; three with an empty one, in two outputs; an answer with its own text as well
+    part = lambda *texts: F.struct(F.array(*[F.struct(t.alias("text")) for t in texts]).alias("content"))
+    many = F.array(part(F.col("completion"), F.lit("")), part(F.lit("end")))
+    kind = F.col("pair_id") % 3
+    envelope = F.to_json(F.struct(F.when(kind == 2, "own text").otherwise("").alias("output_text"), F.when(kind == 1, many).otherwise(F.array(part(F.col("completion")))).alias("output")))
+    return table(spark, d, "training_pairs").where("completion <> ''").withColumn("envelope", envelope).select("pair_id", V.output_text("envelope").alias("text"))
 
 
-@query("SELECT seq, 1 AS n_items FROM liar_silver_master")
+@query(f"""WITH u AS (SELECT seq, source_statement_id, list_concat(coalesce(json_extract_string(evidence_provenance_json, '$[*].url'), []), [CASE seq % 4 WHEN 0 THEN 'https://www.parl.ca/x' WHEN 1 THEN 'https://parl.ca.example.org/x' WHEN 2 THEN '  ' ELSE 'http://user@lop.parl.gc.ca/y' END]) AS urls FROM liar_silver_master),
+k AS (SELECT seq, source_statement_id, list_filter(list_transform(urls, lambda u: {_stripped("coalesce(u, '')")}), lambda u: u = '' OR {" OR ".join(f"ends_with(lower(regexp_replace(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')), '{x}')" for x in P.OFFICIAL_SUFFIXES)}) AS kept FROM u)
+SELECT seq, 1 + len(kept) AS n_items, array_to_string(list_concat([''], kept), '|') AS urls, 'Statement ' || coalesce(source_statement_id, '') || ' provides the natural claim context.' AS why FROM k""")
 def q4_provenance(spark, d):
-    sources = F.from_json("evidence_provenance_json", f"array<{V.SOURCE}>")
+    url = F.when(F.col("seq") % 4 == 0, "https://www.parl.ca/x").when(F.col("seq") % 4 == 1, "https://parl.ca.example.org/x").when(F.col("seq") % 4 == 2, "  ").otherwise("http://user@lop.parl.gc.ca/y")
+    more = F.array(F.struct(F.lit("t").alias("title"), url.alias("url"), F.lit(None).cast("string").alias("source_type"), F.lit(None).cast("string").alias("why_relevant")))
+    sources = F.concat(F.coalesce(F.from_json("evidence_provenance_json", f"array<{V.SOURCE}>"), F.array().cast(f"array<{V.SOURCE}>")), more)
     items = V.provenance("source_statement_id", sources)
-    return table(spark, d, "liar_silver_master").select("seq", F.size(F.filter(items, lambda s: (s["url"] == "") | V.official(s["url"]))).alias("n_items"))
+    return table(spark, d, "liar_silver_master").select("seq", F.size(items).cast("long").alias("n_items"), F.array_join(F.transform(items, lambda s: s["url"]), "|").alias("urls"), items[0]["why_relevant"].alias("why"))
 
 
 @query("SELECT pair_id, metadata.claim_id AS claim_id, lower(metadata.label) AS merged_label, source_dataset FROM training_pairs")
@@ -544,10 +638,6 @@ def j5_training_items(spark, d):
     return _items(spark, d).select("pair_id", "claim_id", "claim_text", "label")
 
 
-def _mk(x: str) -> str:
-    return "lower(" + _squeeze(f"coalesce({x}, '')") + ")"
-
-
 @query(f"""SELECT seq FROM liar_silver_master s WHERE NOT EXISTS (SELECT 1 FROM (SELECT metadata.claim_text AS c FROM training_pairs) p WHERE {_mk('p.c')} = {_mk('s.claim_text')})""")
 def j7_u3_untaken_claims(spark, d):
     taken = table(spark, d, "training_pairs").select(F.col("metadata.claim_text").alias("claim_text"))
@@ -595,7 +685,8 @@ def j12_exact_day(spark, d):
 # The vote matcher ---------------------------------------------------------------------------------------------------
 
 _MATCH = f"""WITH {_FACTS}, {_SPOKEN}, alias AS (SELECT id AS party_id, '\\b(?:' || replace(trim(name_en), '.', '\\.') || ')\\b' AS p FROM pa WHERE short_name_en <> '' AND name_en <> ''),
-parts AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(source_context, '[^.?!\\n]+[.?!\\n]?'), lambda s: trim(s)), lambda s: regexp_matches(s, {_lit(P.VOTE_PHRASE)}))) AS ss FROM spoken),
+raw AS (SELECT *, list_filter(list_transform(regexp_extract_all(source_context, '[^.?!\\n]+[.?!\\n]?'), lambda s: trim(s)), lambda s: regexp_matches(s, {_lit(P.VOTE_PHRASE)})) AS every FROM spoken),
+parts AS (SELECT *, list_filter(every, lambda s, i: list_position(every, s) = i) AS ss FROM raw),
 sent AS (SELECT statement_id, bill_id, bill_number, source_date, unnest(ss) AS claim_text, generate_subscripts(ss, 1) - 1 AS pos FROM parts),
 seen AS (
   SELECT statement_id, pos, count(DISTINCT party_id) AS n_all,
@@ -631,8 +722,8 @@ seen AS (
 
 
 def _matched(spark, d):
-    spoken = cut(_spoken(spark, d))
-    return votes.vote_claims(spoken, _facts(spark, d), _patterns(spark, d)), spoken
+    spoken, facts = cut(_spoken(spark, d)), cut(_facts(spark, d))  # facts have three uses
+    return votes.vote_claims(spoken, facts, _patterns(spark, d)), spoken, facts
 
 
 @query(_MATCH + "SELECT statement_id, claim_text, reason, label, partyvote_id FROM final")
@@ -643,19 +734,66 @@ def j4_f14_f15_f21_x16_vote_claims(spark, d):
 @query(_MATCH + """SELECT 'candidate.sentences' AS name, count(*) AS value FROM final UNION ALL SELECT 'skipped.' || reason, count(*) FROM final WHERE reason IS NOT NULL GROUP BY 1
 UNION ALL SELECT 'unresolved.statements', count(*) FROM spoken WHERE source_context <> '' AND statement_id NOT IN (SELECT statement_id FROM final WHERE label IS NOT NULL)""")
 def a20_drop_counts(spark, d):
-    claims, spoken = _matched(spark, d)
+    claims, spoken, _ = _matched(spark, d)
     return votes.drop_counts(cut(claims), spoken)
 
 
-@query()
+_NUMBERED = """, rows_ AS (
+  SELECT row_number() OVER (ORDER BY spoken.source_date, final.statement_id, pos) AS seq, final.claim_text, label, spoken.*, facts.vote, facts.partyvote_id, facts.party_id, facts.party_name, facts.votequestion_id, strftime(facts.vote_date, '%Y-%m-%d') AS day,
+    facts.votequestion_description, facts.bill_title, facts.session_id, facts.parliamentnum, vq.result, vq.yea_total, vq.nay_total, CASE vote WHEN 'Y' THEN 'for' ELSE 'against' END AS said, CASE vote WHEN 'Y' THEN 'against' ELSE 'for' END AS other
+  FROM final JOIN spoken USING (statement_id) JOIN facts ON final.partyvote_id = facts.partyvote_id JOIN vq ON facts.votequestion_id = vq.id WHERE label IS NOT NULL
+)"""
+_QF = _words_cut("coalesce(nullif(" + _squeeze("regexp_replace(coalesce(votequestion_description, ''), '<[^>]+>', ' ', 'g')") + ", ''), 'Vote on Bill ' || bill_number)", 220)
+
+
+@query(_MATCH + _NUMBERED + f""", l AS (SELECT *, source_context AS whole, claim_text AS said_, {_sentences_sql("source_context")} AS parts FROM rows_),
+l2 AS (SELECT *, coalesce(list_position(list_transform(parts, lambda s: contains(s, said_)), true), 0) AS hit FROM l)
+SELECT seq, 'claim-' || seq AS claim_id, claim_text, claim_text AS source_sentence, label, CASE label WHEN 'True' THEN 'True. DB vote record shows the ' || party_name || ' voted ' || said ELSE 'False. DB vote record shows the ' || party_name || ' voted ' || said || ', not ' || other || ',' END
+    || ' on that House vote question on ' || day || '.' AS explanation,
+  'House vote question: "' || {_QF} || '" The ' || party_name || ' voted ' || said || ' on ' || day || '.' AS evidence_text, CAST(statement_id AS VARCHAR) AS source_statement_id, coalesce(CAST(document_id AS VARCHAR), '') AS source_document_id, coalesce(who_en, '') AS source_speaker,
+  coalesce(strftime(source_date, '%Y-%m-%d'), '') AS source_date, CASE label WHEN 'True' THEN 'matched' ELSE 'contradicted' END AS match_status, CAST(bill_id AS VARCHAR) AS bill_id, coalesce(bill_number, '') AS bill_number, coalesce(bill_title, '') AS bill_title, coalesce(session_id, '') AS session_id,
+  coalesce(CAST(parliamentnum AS VARCHAR), '') AS parliament_number, day AS vote_date, party_name, coalesce(result, '') AS vote_result, coalesce(CAST(yea_total AS VARCHAR), '') AS yea_total, coalesce(CAST(nay_total AS VARCHAR), '') AS nay_total, CASE label WHEN 'True' THEN '' ELSE 'vote_direction' END AS contradiction_field,
+  '{{"bill_id":' || bill_id || ',"party_id":' || party_id || ',"partyvote_id":' || partyvote_id || ',"votequestion_id":' || votequestion_id || '}}' AS evidence_primary_ids, {_words_cut(_AROUND, 1200)} AS source_context_local,
+  CASE label WHEN 'True' THEN said ELSE other END AS claim_vote_direction, said AS evidence_vote_direction, CASE label WHEN 'True' THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS verdict_relation FROM l2 WHERE hit > 0""")
 def v_p9_w1_vote_rows(spark, d):
-    claims = _matched(spark, d)[0].where("label is not null")
-    worded = claims.select(
-        "source_date", "statement_id", "pos", "claim_text", "label", "bill_number", "party_name", F.date_format("vote_date", "yyyy-MM-dd").alias("vote_date"),
-        votes.evidence_sentence("party_name", "vote", "vote_date", "votequestion_description", "bill_number").alias("evidence_text"),
-        votes.explanation_sentence("label", "party_name", "vote", "vote_date").alias("explanation"),
-    )
-    return votes.sequential_ids(worded, [F.asc("source_date"), F.asc("statement_id"), F.asc("pos")])
+    rows = votes.vote_rows(*_matched(spark, d))
+    return rows.drop("source_context", "claim_origin", "source_table", "source_party", "claim_family", "claim_type", "claim_subtype", "session_number", "votequestion_id", "party_id", "politician_id", "politician_name", "evidence_source_tables", "evidence_json", "rule_id", "confidence", "parser_version", "generated_at", "notes", "votequestion_description")
+
+
+@query()
+def pipeline_vote_dataset(spark, d):
+    """Entry point A: matched claims with synthetic negatives, deduplicated and valid."""
+    rows, _ = pipelines.vote_dataset(_spoken(spark, d), _facts(spark, d), _patterns(spark, d), 1.0)
+    return rows.drop("generated_at", "seq")
+
+
+@query()
+def pipeline_vote_stats(spark, d):
+    return pipelines.vote_stats(*pipelines.vote_dataset(_spoken(spark, d), _facts(spark, d), _patterns(spark, d)))
+
+
+def _gold_dataset(spark, d):
+    meta = statements(spark, d, "bill_debated_id").withColumn("session_id", F.lit(None).cast("string"))
+    return pipelines.gold_dataset(table(spark, d, "factcheck_master"), meta, bills(spark, d))
+
+
+@query()
+def pipeline_gold_pairs(spark, d):
+    """Entry point B: the best candidate of every group as training pairs."""
+    return pipelines.gold_pairs(_gold_dataset(spark, d)[0])
+
+
+@query()
+def pipeline_gold_stats(spark, d):
+    return pipelines.gold_stats(*_gold_dataset(spark, d))
+
+
+@query()
+def pipeline_merged_pairs(spark, d):
+    """Entry point C: silver pairs and a balanced choice of gold ones."""
+    silver_rows = table(spark, d, "liar_silver_master").where("lower(label) in ('true', 'false')")
+    silver_items = silver_rows.select(F.col("seq").alias("pair_id"), templates.silver_prompt().alias("prompt"), templates.silver_completion().alias("completion"), F.lower("label").alias("label"), "claim_type", "claim_text", F.lit("silver").alias("source_dataset"))
+    return pipelines.merged_dataset(_items(spark, d), silver_items, {"true": 400, "false": 400})
 
 
 _KEYED = f"rtrim(regexp_replace(lower({_squeeze('claim_text')}), '\\.$', ''))"
@@ -723,11 +861,14 @@ def w2_gold_resolution(spark, d):
     return gold.resolve_groups(_gold_scored(spark, d), ["claim_text", "claim_type"]).select("claim_text", "claim_type", "seq", "n_candidates", "method", F.col("score").cast("long").alias("score"))
 
 
-@query()
+@query(_GOLD + f""", {_X26}, g AS (SELECT claim_text, claim_type, count(*) AS n, max(score) AS best, count(*) FILTER (WHERE score = m) AS ties, min(seq) FILTER (WHERE score = m) AS seq
+  FROM (SELECT *, max(score) OVER (PARTITION BY claim_text, claim_type) AS m FROM s) GROUP BY ALL)
+SELECT g.seq, x26 AS source_context_local, 'gold' AS dataset_tier, 'deterministic_db_rule' AS label_source, CASE WHEN n = 1 THEN 'single_candidate' ELSE 'scored_resolution' END AS gold_resolution_method, '' AS source_session_id, coalesce(CAST(st.bill_debated_id AS VARCHAR), '') AS source_bill_debated_id
+FROM g JOIN x26 USING (seq) JOIN f ON g.seq = f.seq LEFT JOIN st ON f.sid = st.id WHERE n = 1 OR (ties = 1 AND best >= 0)""")
 def v_p10_gold_rows(spark, d):
     scored = cut(_gold_scored(spark, d))
     chosen = gold.resolve_groups(scored, ["claim_text", "claim_type"]).where("kept").select("seq", "method")
-    return gold.enrich(scored.join(chosen, "seq")).select("seq", *gold.GOLD_COLUMNS[:4], *gold.GOLD_COLUMNS[5:])
+    return gold.enrich(scored.join(chosen, "seq")).select("seq", *[c for c in gold.GOLD_COLUMNS if c != "gold_resolution_score"])
 
 
 def _candidates(spark, d):
@@ -761,7 +902,27 @@ def w8_call_budget(spark, d):
     return silver.calls_until(rows, ["seq"], 100, 200).select("seq")
 
 
-@query()
+_X21 = f"""CASE WHEN n BETWEEN 60 AND 220 THEN 4 WHEN n BETWEEN 45 AND 320 THEN 2 ELSE -4 END + CASE WHEN regexp_matches(t, {_lit(P.GOLD_BILL_CODE)}) THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '\\b\\d{{4}}\\b') THEN 1 ELSE 0 END
+  + CASE WHEN regexp_matches(t, {_lit(P.GOLD_STAGES)}) THEN 1 ELSE 0 END + CASE WHEN m <= 2200 THEN 1 WHEN m > 3000 THEN -1 ELSE 0 END + CASE WHEN year >= 2020 THEN 2 WHEN year >= 2010 THEN 1 ELSE 0 END - CASE WHEN claim_type = 'party_vote_direction' THEN 1 ELSE 0 END"""
+_BALANCED = f"""WITH ms AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY seq DESC) AS rn_ FROM factcheck_master WHERE claim_id IS NOT NULL) WHERE rn_ = 1),
+taken AS (SELECT claim_text, lower(label) AS label FROM liar_silver_master WHERE lower(label) IN ('true', 'false')),
+need AS (SELECT v.label, greatest(0, 400 - (SELECT count(*) FROM taken WHERE taken.label = v.label)) AS need FROM (VALUES ('true'), ('false')) v(label)),
+items AS (SELECT pair_id, lower(regexp_extract(coalesce(completion, ''), {_lit(P.VERDICT_TOKEN)}, 1)) AS label, ms.claim_text, claim_type, coalesce(ms.claim_text, '') AS t, length(coalesce(ms.claim_text, '')) AS n, length(coalesce(prompt, '')) AS m,
+  CASE WHEN regexp_matches(coalesce(source_date, ''), '^[0-9]{{4}}') THEN CAST(substr(source_date, 1, 4) AS INT) ELSE 0 END AS year FROM training_pairs p JOIN ms ON regexp_replace(p.metadata.claim_id, '^[a-z]+-', 'claim-') = ms.claim_id),
+good AS (SELECT *, {_X21} AS s1 FROM items WHERE label IN ('true', 'false') AND n BETWEEN 45 AND 320 AND NOT {_any("t", P.MERGE_LOW_SIGNAL)} AND NOT EXISTS (SELECT 1 FROM taken WHERE {_mk('taken.claim_text')} = {_mk('items.claim_text')})),
+cap AS (SELECT label, claim_type, count(*) AS c FROM good GROUP BY ALL),
+rare AS (SELECT label, claim_type, least(c, need) AS q, CASE claim_type WHEN '{P.RARE_TYPES[0]}' THEN 0 ELSE 1 END AS pr FROM cap JOIN need USING (label) WHERE claim_type IN {P.RARE_TYPES}),
+rest AS (SELECT label, greatest(0, need - coalesce((SELECT sum(q) FROM rare WHERE rare.label = need.label), 0)) AS l FROM need),
+maj AS (SELECT rest.label, w.claim_type, weight, ord, l, coalesce(c, 0) AS c, least(coalesce(c, 0), CAST(floor(l * weight) AS BIGINT)) AS q0 FROM rest CROSS JOIN (VALUES {", ".join(f"('{k}', CAST({w} AS DOUBLE), {i})" for i, (k, w) in enumerate(P.MAJOR_WEIGHTS.items()))}) w(claim_type, weight, ord) LEFT JOIN cap ON cap.label = rest.label AND cap.claim_type = w.claim_type),
+units AS (SELECT label, claim_type, row_number() OVER (PARTITION BY label ORDER BY weight DESC, c - q0 - u DESC, ord) AS r FROM (SELECT *, unnest(range(0, c - q0)) AS u FROM maj)),
+extra AS (SELECT units.label, units.claim_type, count(*) AS e FROM units JOIN (SELECT label, max(l) - sum(q0) AS spare FROM maj GROUP BY label) z ON z.label = units.label WHERE r <= spare GROUP BY ALL),
+quota AS (SELECT label, claim_type, q, pr FROM rare UNION ALL SELECT maj.label, maj.claim_type, q0 + coalesce(e, 0), 2 + ord FROM maj LEFT JOIN extra ON extra.label = maj.label AND extra.claim_type = maj.claim_type),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label, claim_type ORDER BY s1 DESC, year DESC, m, n, pair_id) AS rn FROM good),
+placed AS (SELECT pair_id, ranked.label, ranked.claim_type, row_number() OVER (PARTITION BY ranked.label ORDER BY pr, rn) AS place FROM ranked JOIN quota ON quota.label = ranked.label AND quota.claim_type = ranked.claim_type WHERE rn <= q)
+SELECT pair_id, placed.label, claim_type, place FROM placed JOIN need ON need.label = placed.label WHERE place <= need"""
+
+
+@query(_BALANCED)
 def w10_w11_w12_x21_balanced(spark, d):
     taken = table(spark, d, "liar_silver_master").select("claim_text", F.lower("label").alias("label")).where("label in ('true', 'false')")
     return merge.select_balanced(_items(spark, d), taken, {"true": 400, "false": 400}).select("pair_id", "label", "claim_type", "place")
@@ -787,6 +948,14 @@ def a4_a7_stats(spark, d):
     return metrics.long_counts(table(spark, d, "liar_silver_master").withColumn("label", X.or_empty("label")), ["label", "claim_type"])
 
 
+@query("""SELECT 9 AS section_no, CASE WHEN contains(name, '.') THEN split_part(name, '.', 1) ELSE 'counter' END AS category, CASE WHEN contains(name, '.') THEN substr(name, instr(name, '.') + 1) ELSE name END AS name, CAST(value AS VARCHAR) AS value
+FROM (SELECT CASE WHEN label = 'True' THEN 'kept.' || coalesce(claim_type, '') || '.x' ELSE coalesce(claim_type, '') END AS name, count(*) AS value FROM factcheck_master GROUP BY 1)""")
+def a7_counter_rows(spark, d):
+    kind = X.or_empty("claim_type")
+    counters = table(spark, d, "factcheck_master").groupBy(F.when(F.col("label") == "True", F.concat(F.lit("kept."), kind, F.lit(".x"))).otherwise(kind).alias("name")).agg(F.count("*").alias("value"))
+    return metrics.counter_rows(counters, 9)
+
+
 @query("SELECT count(*) FILTER (WHERE label = 'True') AS n_true, count(*) FILTER (WHERE label = 'False') AS n_false, count(DISTINCT claim_type) + max(CASE WHEN claim_type IS NULL THEN 1 ELSE 0 END) AS kinds FROM factcheck_master")
 def a5_a6_conditional_counts(spark, d):
     return table(spark, d, "factcheck_master").agg(F.count_if(F.col("label") == "True").alias("n_true"), F.count_if(F.col("label") == "False").alias("n_false"), metrics.distinct_with_null("claim_type").alias("kinds"))
@@ -848,12 +1017,17 @@ def a18_confusion(spark, d):
     return metrics.confusion(_predictions(spark, d), "gold", "pred", ("TRUE", "FALSE", "MISLEADING", "UNVERIFIED", "INVALID"))
 
 
-@query("""WITH p AS (SELECT split, CAST(upper(coalesce(metadata.label, 'INVALID')) = coalesce(nullif(regexp_extract(coalesce(completion, ''), '(?m)^VERDICT:\\s*(TRUE|FALSE|MISLEADING|UNVERIFIED)', 1), ''), 'INVALID') AS INT) AS ok FROM training_pairs)
-SELECT 'accuracy' AS metric, round(a, 9) AS base, round(b, 9) AS tuned, round(b - a, 9) AS delta FROM (SELECT avg(ok) FILTER (WHERE split = 'validation') AS a, avg(ok) FILTER (WHERE split = 'test') AS b FROM p)""")
+def _split_metrics(name: str) -> str:
+    of = _PRED.replace("FROM training_pairs)", f"FROM training_pairs WHERE split = '{name}')")
+    return f"({of} SELECT (SELECT avg(CAST(gold = pred AS INT)) FROM p) AS accuracy, (SELECT avg(f1) FROM c) AS macro_f1)"
+
+
+@query(f"""SELECT metric, round(base, 9) AS base, round(tuned, 9) AS tuned, round(tuned - base, 9) AS delta FROM (
+  SELECT unnest(['accuracy', 'macro_f1']) AS metric, unnest([a.accuracy, a.macro_f1]) AS base, unnest([b.accuracy, b.macro_f1]) AS tuned FROM {_split_metrics("validation")} a, {_split_metrics("test")} b)""")
 def a19_comparison(spark, d):
     rows = _predictions(spark, d)
     both = [metrics.summary(rows.where(F.col("split") == s), "gold", "pred") for s in ("validation", "test")]
-    return metrics.compare(*both, ["accuracy"]).select("metric", *[F.round(c, 9).alias(c) for c in ("base", "tuned", "delta")])
+    return metrics.compare(*both, ["accuracy", "macro_f1"]).select("metric", *[F.round(c, 9).alias(c) for c in ("base", "tuned", "delta")])
 
 
 # Sorts, sets, samples -----------------------------------------------------------------------------------------------
@@ -896,10 +1070,23 @@ def u6_middle_first(spark, d):
     return records.by_label_priority(rows, "label", P.MIDDLE_LABELS, P.FALLBACK_LABELS, ["seq"], 400, "middle_first")
 
 
-@query("SELECT split_name AS split, n FROM (SELECT 'train' AS split_name, sum(CAST(round(n * 0.8) AS BIGINT)) AS n FROM (SELECT count(*) AS n FROM training_pairs GROUP BY source_dataset) UNION ALL SELECT 'validation', sum(CAST(round(n * 0.9) - round(n * 0.8) AS BIGINT)) FROM (SELECT count(*) AS n FROM training_pairs GROUP BY source_dataset) UNION ALL SELECT 'test', sum(CAST(n - round(n * 0.9) AS BIGINT)) FROM (SELECT count(*) AS n FROM training_pairs GROUP BY source_dataset))")
+@query("""WITH n AS (SELECT source_dataset, count(*) AS n FROM training_pairs GROUP BY ALL), a AS (SELECT 'p4' AS kind, source_dataset, n, unnest(['train', 'validation', 'test']) AS part, unnest([round(n * 0.8), round(n * 0.9) - round(n * 0.8), n - round(n * 0.9)]) AS k FROM n
+  UNION ALL SELECT 'p3', source_dataset, n, unnest(['train', 'test']), unnest([round(n * 0.9), n - round(n * 0.9)]) FROM n)
+SELECT kind, source_dataset, part, CAST(k AS BIGINT) AS n, CAST(k AS BIGINT) AS n_pairs, true AS rows_whole FROM a WHERE k > 0""")
 def v_p3_p4_t9_stratified(spark, d):
-    dealt = sampling.stratified(table(spark, d, "training_pairs"), ["source_dataset"], "pair_id", {"train": 0.8, "validation": 0.1, "test": 0.1}, 3407)
-    return dealt.groupBy("split").agg(F.count("*").alias("n"))
+    """Sizes of every part of every stratum, by rows and by distinct pairs; the parts together are the whole table."""
+    rows = table(spark, d, "training_pairs")
+    total = rows.count()
+    cuts = (("p4", {"train": 0.8, "validation": 0.1, "test": 0.1}, 3407), ("p3", {"train": 0.9, "test": 0.1}, 42))
+    dealt = [sampling.stratified(rows.select("pair_id", "source_dataset"), ["source_dataset"], "pair_id", parts, seed).select(F.lit(kind).alias("kind"), "source_dataset", F.col("split").alias("part"), "pair_id") for kind, parts, seed in cuts]
+    both = cut(dealt[0].unionByName(dealt[1]))
+    whole = both.groupBy("kind").agg((F.countDistinct("pair_id") == total).alias("rows_whole"))
+    return both.groupBy("kind", "source_dataset", "part").agg(F.count("*").alias("n"), F.countDistinct("pair_id").alias("n_pairs")).join(whole, "kind")
+
+
+@query("SELECT seq, claim_id, substr(claim_text, 1, 60) AS shown FROM factcheck_master ORDER BY seq LIMIT 5")
+def t8_first_rows(spark, d):
+    return table(spark, d, "factcheck_master").orderBy("seq").limit(5).select("seq", "claim_id", F.substring("claim_text", 1, 60).alias("shown"))
 
 
 @query("""SELECT 'prompt' AS "column", count(*) FILTER (WHERE prompt IS NULL) AS n_null FROM training_pairs UNION ALL SELECT 'completion', count(*) FILTER (WHERE completion IS NULL) FROM training_pairs""")
@@ -910,23 +1097,78 @@ def v_p5_null_checks(spark, d):
     return metrics.null_counts(rows, ["prompt", "completion"])
 
 
-@query()
+def _usable_sql(x: str) -> str:
+    return f"(length({x}) BETWEEN 30 AND 420 AND NOT {_any(x, P.SILVER_LOW_SIGNAL)} AND {_any(x, P.SILVER_FACTS)})"
+
+
+@query(f"""WITH {_ST}, seeds AS (SELECT 0 AS part, seq AS k, 0 AS pos, CAST(NULL AS BIGINT) AS statement_id, claim_text FROM factcheck_master WHERE {_usable_sql(_stripped("coalesce(claim_text, '')"))}),
+taken AS (SELECT DISTINCT {_mk("claim_text")} AS mk FROM liar_silver_master),
+have AS (SELECT count(DISTINCT {_mk("claim_text")}) AS n FROM seeds WHERE {_mk("claim_text")} <> '' AND {_mk("claim_text")} NOT IN (SELECT mk FROM taken)),
+sp AS (SELECT id, list_filter({_sentences_sql(_stripped("regexp_replace(coalesce(content_en, ''), '<[^>]+>', '', 'g')"))}, lambda s: {_usable_sql("s")}) AS parts FROM st WHERE NOT coalesce(procedural, false)),
+cand AS (SELECT 1 AS part, id AS k, unnest(range(0, len(parts))) AS pos, id AS statement_id, unnest(parts) AS claim_text FROM sp),
+per AS (SELECT statement_id, count(*) AS c FROM cand GROUP BY 1),
+pr AS (SELECT statement_id, row_number() OVER (ORDER BY statement_id) AS rn, coalesce(sum(c) OVER (ORDER BY statement_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM per),
+used AS (SELECT statement_id FROM pr, have WHERE n < 900 AND (rn = 1 OR b + n < 3600)),
+every AS (SELECT * FROM seeds UNION ALL SELECT * FROM cand WHERE statement_id IN (SELECT statement_id FROM used)),
+firsts AS (SELECT * FROM (SELECT *, {_mk("claim_text")} AS mk, row_number() OVER (PARTITION BY {_mk("claim_text")} ORDER BY part, k, pos) AS f FROM every) WHERE f = 1 AND mk <> '' AND mk NOT IN (SELECT mk FROM taken)),
+kinds AS (SELECT *, {_type_sql("claim_text")} AS claim_type FROM firsts), scores AS (SELECT *, {_candidate_sql("claim_text", "claim_type")} AS score FROM kinds),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim_type ORDER BY score DESC, length(claim_text) DESC, part, k, pos) AS rn FROM scores)
+SELECT statement_id, CASE part WHEN 1 THEN pos END AS pos, claim_text, claim_type, score, rn FROM r ORDER BY rn, claim_type LIMIT 900""")
 def v_p6_candidate_pool(spark, d):
+    # masters' claims are the seeds; too few of them are left, so sentences of statements are added
     rows = statements(spark, d, "document_id", "time", "who_en", "h1_en", "h2_en", "h3_en", "content_en", "procedural")
-    seeds = silver.candidate_claims(rows.limit(0)).withColumn("seq", F.lit(0).cast("long"))
-    return silver.candidate_pool(seeds, rows.where(~F.coalesce("procedural", F.lit(False))), table(spark, d, "liar_silver_master"), 900).select("statement_id", "pos", "claim_text", "claim_type", "score", "rn")
+    kinded = table(spark, d, "factcheck_master").where(X.usable_claim("claim_text")).select("seq", "claim_text", X.claim_type("claim_text").alias("claim_type"))
+    seeds = kinded.withColumn("score", X.candidate_score("claim_text", "claim_type")).withColumn("statement_id", F.lit(None).cast("long")).withColumn("pos", F.lit(None).cast("int"))
+    pool = silver.candidate_pool(seeds, rows.where(~F.coalesce("procedural", F.lit(False))), table(spark, d, "liar_silver_master"), 900)
+    return pool.select("statement_id", "pos", "claim_text", "claim_type", "score", "rn")
+
+
+#: Answers of a stand-in model, one for every guard and two that pass, by the number of the row.
+_ANSWERS = (
+    '{"accept": true, "label": "half-true", "confidence": 0.8, "not_binary_reason": "mixed", "rationale": "as recorded", "evidence_summary": "the record", "used_sources": [{"title": "r", "url": "https://www.ourcommons.ca/x"}]}',
+    '```json\n{"accept": true, "label": " TRUE ", "confidence": 75, "rationale": "as recorded", "evidence_summary": "the record", "used_sources": [{"title": "r", "url": "https://www.parl.ca/x"}, {"title": "s", "url": "https://example.org"}]}\n```',
+    '{"accept": false, "reason": "unclear"}',
+    '{"accept": true, "label": "maybe", "confidence": 90, "rationale": "a", "evidence_summary": "b", "used_sources": [{"title": "r", "url": "https://www.parl.ca/x"}]}',
+    '{"accept": true, "label": "true", "confidence": 0.2, "rationale": "a", "evidence_summary": "b", "used_sources": [{"title": "r", "url": "https://www.parl.ca/x"}]}',
+    '{"accept": true, "label": "true", "confidence": 90, "rationale": " ", "evidence_summary": "b", "used_sources": [{"title": "r", "url": "https://www.parl.ca/x"}]}',
+    '{"accept": true, "label": "false", "confidence": 90, "rationale": "a", "evidence_summary": "b", "used_sources": [{"title": "r", "url": "https://example.org/parl.ca"}]}',
+    '{"accept": true, "label": "mostly-true", "confidence": 90, "rationale": "a", "evidence_summary": "b", "used_sources": [{"title": "r", "url": "https://www.parl.ca/x"}]}',
+    "no JSON at all",
+)
+_REASONS = (None, None, "not_accepted", "bad_label", "low_confidence", "no_evidence", "no_official_source", "no_middle_reason", "not_accepted")
+_LABELS = ("half-true", "true", "", "maybe", "true", "true", "false", "mostly-true", "")
 
 
-@query()
+def _by_number(values) -> str:
+    return "CASE seq % 9 " + " ".join(f"WHEN {k} THEN {_lit(v)}" for k, v in enumerate(values) if v is not None) + " END"
+
+
+@query(f"""SELECT 'silver_' || substr(sha1(coalesce(claim_text, '') || '|' || coalesce(source_statement_id, '') || '|' || coalesce(source_date, '')), 1, 12) AS claim_id, claim_text, coalesce(source_context, '') AS source_context, coalesce(source_speaker, '') AS source_speaker,
+  coalesce(source_date, '') AS source_date, coalesce(source_topic_h1, '') AS source_topic_h1, coalesce(nullif(claim_type, ''), 'general') AS claim_type, 'silver' AS dataset_tier, 'liar_silver_v2_middle_first' AS prompt_version, seq,
+  nullif({_by_number(_LABELS)}, '') AS label, {_by_number(("80", "75", "", "90", "20", "90", "90", "90", ""))} AS label_confidence, {_by_number(_REASONS)} AS reason,
+  {_hard_cut("CASE WHEN b <> '' AND local <> '' THEN 'Hansard context: ' || local || ' Official evidence: ' || b ELSE coalesce(nullif(b, ''), local) END", 900)} AS evidence_text
+FROM (SELECT *, coalesce(source_context_local, '') AS local, {_by_number(("the record", "the record", "", "b", "b", "b", "b", "b", ""))} AS b FROM liar_silver_master)""")
 def f16_v_p12_silver_rows(spark, d):
     def make():
-        def answer(prompts):
-            return ['{"accept": true, "label": "half-true", "confidence": 0.8, "not_binary_reason": "mixed", "rationale": "as recorded", "evidence_summary": "the record", "used_sources": [{"title": "r", "url": "https://www.ourcommons.ca/x"}]}' for _ in prompts]
+        return lambda prompts: [_ANSWERS[int(p) % len(_ANSWERS)] for p in prompts]
 
-        return answer
+    rows = table(spark, d, "liar_silver_master").select("seq", "claim_text", F.col("source_statement_id").alias("statement_id"), F.col("source_date").alias("date"), "source_context_local", F.col("source_context").alias("full_context"), F.col("source_speaker").alias("speaker"), F.col("source_topic_h1").alias("h1_en"), "claim_type")
+    labelled = silver.label_rows(boundaries.call_model(rows.withColumn("number", F.col("seq").cast("string")), "number", make))
+    return labelled.select("claim_id", "claim_text", "source_context", "source_speaker", "source_date", "source_topic_h1", "claim_type", "dataset_tier", "prompt_version", "seq", "label", "label_confidence", "reason", "evidence_text")
+
+
+@query()
+def pipeline_silver_rows(spark, d):
+    """The silver pipeline with a stand-in model: pool, labels, budget, priority, existing rows first."""
+
+    def make():
+        return lambda prompts: [_ANSWERS[len(p) % len(_ANSWERS)] for p in prompts]
 
-    rows = table(spark, d, "liar_silver_master").select("seq", "claim_text", F.col("source_statement_id").alias("statement_id"), F.col("source_date").alias("date"), "source_context_local")
-    return silver.label_rows(boundaries.call_model(rows, "claim_text", make)).select("claim_id", "claim_text", "label", "label_confidence", "evidence_text", "reason")
+    content = statements(spark, d, "document_id", "time", "who_en", "h1_en", "h2_en", "h3_en", "content_en", "procedural").where(~F.coalesce("procedural", F.lit(False)))
+    taken = table(spark, d, "liar_silver_master")
+    none = silver.candidate_claims(content.limit(0)).withColumn("seq", F.lit(0).cast("long"))
+    pool = silver.candidate_pool(none, content, taken, 900).join(content.select(F.col("id").alias("statement_id"), X.clean("content_en").alias("full_context")), "statement_id")
+    return pipelines.silver_dataset(pool, make, taken)[0].drop("generated_at")
 
 
 @query("SELECT coalesce(nullif(metadata.claim_id, ''), 'item_' || CAST(pair_id AS VARCHAR)) AS claim_id, completion AS ground_truth, length(coalesce(prompt, '')) AS prompt_length FROM training_pairs")
