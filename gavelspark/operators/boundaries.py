@@ -52,6 +52,11 @@ def segment(rows: DataFrame, text: str, make: Callable[[], Callable[[str], Seque
     return rows.mapInPandas(run, f"{fields}, `{out}` array<string>")
 
 
+def word_sentences(text: Column | str, language: str = "en", country: str = "CA") -> Column:
+    """Sentences of a text, each as its words, by the platform's own break rules for a language; runs inside the JVM."""
+    return F.sentences(X.or_empty(text), F.lit(language), F.lit(country))
+
+
 def token_count(text: Column | str) -> Column:
     """Words between white space, a stand-in for a tokenizer's length."""
     bare = X.spaces(X.or_empty(text))

@@ -49,6 +49,15 @@ def write_json_array(df: DataFrame, path: str, ascii_only: bool = False, most: i
         json.dump(rows, f, ensure_ascii=ascii_only, indent=2, default=str)
 
 
+def write_parts(df: DataFrame, root: str, by: str, names: Sequence[str]) -> None:
+    """One folder of JSON lines and one of CSV for every named value of ``by`` (splits, predictions), read once."""
+    once = cut(df)
+    for name in names:
+        part = once.where(F.equal_null(F.col(by), F.lit(name)))
+        write_json_lines(part, f"{root}/{name}_json")
+        write_csv(part, f"{root}/{name}_csv", part.columns)
+
+
 def export(rows: DataFrame, root: str, projections: Mapping[str, Sequence[str]], pairs: DataFrame | None = None, stats: DataFrame | None = None) -> None:
     """Several projections of one relation, computed once, with its pairs and statistics."""
     once = cut(rows)
