@@ -123,7 +123,7 @@ def _bare(x: str) -> str:
 
 
 def _keyed() -> str:
-    field = "regexp_matches(p, '^[^\\p{L}\\p{N}:=]*\\p{L}[\\p{L}\\p{M}\\p{N} _\"-]{0,40}\\s*[:=](?s:.+)$')"
+    field = "regexp_matches(p, '^[^\\p{L}\\p{N}:=]*\\p{L}[\\p{L}\\p{M}\\p{N} _\"-]*\\s*[:=](?s:.+)$')"
     name = _bare("regexp_extract(p, '^([^:=]*)[:=]', 1)")
     value = _bare("regexp_replace(p, '^[^:=]*[:=]', '')")
     branches = []
@@ -144,8 +144,12 @@ WITH c AS (
 f AS (SELECT table_name, key, min(seq) AS first_seq FROM k GROUP BY ALL)
 SELECT DISTINCT table_name, first_seq, seq AS copy_seq FROM k JOIN f USING (table_name, key) WHERE seq > first_seq
 """
+_P5_CLAIMS = f"""
+WITH copies AS ({_P5}), claims AS (SELECT DISTINCT 'factcheck_master' AS table_name, seq FROM factcheck_master WHERE claim_text IS NOT NULL UNION ALL SELECT DISTINCT 'liar_silver_master', seq FROM liar_silver_master WHERE claim_text IS NOT NULL)
+SELECT table_name, seq, 1 + (SELECT count(*) FROM copies c WHERE c.table_name = k.table_name AND c.first_seq = k.seq) AS n_copies FROM claims k WHERE NOT EXISTS (SELECT 1 FROM copies c WHERE c.table_name = k.table_name AND c.copy_seq = k.seq)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express over whole tables."""
-    return {"p4_found": _P4, "p5_found": _P5}
+    return {"p4_found": _P4, "p5_found": _P5, "p5_claims": _P5_CLAIMS}

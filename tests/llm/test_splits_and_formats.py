@@ -64,6 +64,7 @@ FORMS = [
     ("The café cost $1,204.5 in 2020.", "THE  CAFÉ COST $1 204.5 IN 2020", True), ("rate 29.1 percent", "rate 291 percent", False), ("café", "cafe", False), ("a-b", "a b", True),
     ("Party: X | Vote: for", "Vote: for; Party: X", True), ("Party: X | Vote: for", '{"Vote": "for", "Party": "X"}', True), ("Party: X | Vote: for", "Vote: for\nParty: X", True), ("Party: X | Vote: for", "Party: for | Vote: X", False),
     ("(Party: X | Vote: for)", "«Vote: for; Party: X.»", True), ("one two", "two one", False), ("Version 1.2.3", "version 1.2.3!", True), ("Version 1.2.3", "version 12.3", False), ("", "...", True), ("Straße", "STRASSE", True),
+    ("Cafe\u0301: X | Vote: for", "VOTE: for; CAFÉ: x", True), ("The \ufb01rst", "THE FIRST", True), ("A very long name of a field that goes on and on and on: 1 | b: 2", "b: 2; a very long name of a field that goes on and on and on: 1", True),
 ]
 
 
