@@ -11,8 +11,8 @@ both languages spell alike count by themselves.
 (document, concept), without writing a row for each entry of each sentence, which at 2 x 10^6 sentences took more disk
 than the whole input. Mutual best spans are selected, single units first, then windows of two merged neighbours.
 
-Defined results: a null or empty side, or a second side in the first one's language, aligns nothing; a document
-delivered twice aligns once; a second side of which only a small part aligns renders something else and gives nothing.
+Defined results: a null or empty side, or a second side in the first one's language, aligns nothing; of a document
+delivered twice the latest row aligns; a second side of which only a small part aligns renders something else and gives nothing.
 """
 
 from __future__ import annotations
@@ -235,10 +235,10 @@ def _anchors(figures_a: list[str], known_f: set[str], known_n: set[str], figures
         if figures_a == figures_b:
             value = 0.3 * min(len(figures_b), 2)
         else:
-            n_other = sum(f not in known_f and not (f.isdigit() and len(f) <= 2 and str(int(f) - 12) in known_f) for f in figures_b)
+            n_other = sum([f not in known_f and not (len(f) <= 2 and f.isdigit() and str(int(f) - 12) in known_f) for f in figures_b])
             value = 0.3 * min(len(figures_b) - n_other, 2) - 0.35 * min(n_other, 2)
     if names_b and known_n:
-        shared = sum(n in known_n for n in names_b)
+        shared = sum(map(known_n.__contains__, names_b))
         value += 0.12 * min(shared, 2) if shared else -0.08
     return value
 
@@ -376,10 +376,21 @@ def _rest(paired: DataFrame, vectors: DataFrame, held: list) -> DataFrame:
     return met.groupBy("id").agg(F.collect_list(F.struct("side", "word", "vector")).alias("rest"))
 
 
+def latest(documents: DataFrame) -> DataFrame:
+    """The latest delivery of every document. ``documents``: id, at and other columns; without ``at`` all rows are one
+    delivery. Only ids and times are aggregated; the texts are shuffled only where the written list of deliveries is too large
+    for the optimizer to broadcast. Rows of one id and one time all stay."""
+    if "at" not in documents.columns:
+        return documents
+    timed = documents.withColumn("at", F.coalesce("at", F.lit("0001-01-01").cast("timestamp_ntz"))).where("id is not null")
+    newest = cut(timed.groupBy("id").agg(F.max("at").alias("at")))
+    return timed.join(newest, ["id", "at"], "left_semi")
+
+
 def aligned_sentences(spark: SparkSession, documents: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
-    """Sentences that render one another. ``documents``: id, first, second. Returns id, first_start, second_start."""
-    both = documents.where("length(trim(first)) > 0 and length(trim(second)) > 0 and first <> second")
-    once = both.groupBy("id").agg(F.min(F.struct("first", "second")).alias("d")).select("id", "d.first", "d.second")
+    """Sentences that render one another, in the latest delivery of each document. ``documents``: id, first, second and,
+    where they can be delivered again, the time ``at``. Returns id, first_start, second_start, each pair once."""
+    once = latest(documents).where("length(trim(first)) > 0 and length(trim(second)) > 0 and first <> second").select("id", "first", "second")
     vectors = word_vectors(once)
     held = [] if vectors is None else vectors.orderBy(F.desc("n"), "side", "word").limit(vocabulary).collect()
     model = spark.sparkContext.broadcast([(r["side"], r["word"], bytes(r["vector"])) for r in held])
@@ -394,4 +405,6 @@ def aligned_sentences(spark: SparkSession, documents: DataFrame, vocabulary: int
                 yield pd.DataFrame(rows, columns=["id", "first_start", "second_start"])
 
     served = once if whole else once.join(_rest(once, vectors, held), "id", "left")
-    return served.mapInPandas(run, "id long, first_start int, second_start int")
+    found = served.mapInPandas(run, "id long, first_start int, second_start int")
+    # two rows of one id and time give each pair once
+    return found.distinct()
