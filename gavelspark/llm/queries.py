@@ -19,8 +19,9 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spoken = table(spark, sf_dir, "hansards_statement").select(F.lit("hansards_statement").alias("table_name"), F.col("id").alias("row_id"), F.col("content_en").alias("text"))
-    return spoken.unionByName(table(spark, sf_dir, "factcheck_master").select(F.lit("factcheck_master").alias("table_name"), F.col("seq").alias("row_id"), F.col("source_context").alias("text")))
+    spoken = table(spark, sf_dir, "hansards_statement").select(F.lit("hansards_statement").alias("table_name"), F.col("id").alias("row_id"), F.col("loaded_at").alias("at"), F.col("content_en").alias("text"))
+    checked = table(spark, sf_dir, "factcheck_master").select(F.lit("factcheck_master").alias("table_name"), F.col("seq").alias("row_id"), F.lit(None).cast("timestamp_ntz").alias("at"), F.col("source_context").alias("text"))
+    return spoken.unionByName(checked)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "hansards_statement").select("id", F.col("content_en").alias("first"), F.col("content_fr").alias("second"))
+    rows = table(spark, sf_dir, "hansards_statement").select("id", F.col("loaded_at").alias("at"), F.col("content_en").alias("first"), F.col("content_fr").alias("second"))
     found = alignment.aligned_sentences(spark, rows)
     return found.select(F.col("id").alias("statement_id"), F.col("first_start").alias("en_start"), F.col("second_start").alias("fr_start"))
 

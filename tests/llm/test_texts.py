@@ -64,6 +64,37 @@ def test_gaps_in_spaceless_scripts(text, starts):
     assert [s for s, _ in sentences.sentence_spans(text)] == starts
 
 
+@pytest.mark.parametrize(
+    "text,starts",
+    [
+        ("予算は減りました橋はいつ直るのですか誰も知りません", [0, 8, 18]), ("这座桥修好了吗谁来支付账单", [0, 7]), ("予算は減りましたが橋は直りました", [0]), ("橋は直りましたから渡れます", [0]), ("大臣は「待てません今すぐ動きます」と述べました", [0]),
+        ("静かですね。橋は直りました今日渡れます", [0, 6, 13]),
+    ],
+)
+def test_seams_in_spaceless_scripts(text, starts):
+    assert [s for s, _ in sentences.sentence_spans(text)] == starts
+
+
+def test_induced_lexicon(spark):
+    rng = random.Random(5)
+    words = ["橋梁", "予算", "渡し船", "委員会"]
+    rows = [("".join(rng.choice(words) + rng.choice("はがを") + rng.choice("見聞読書待") for _ in range(12)) + "ました。",) for _ in range(60)] + [("plain text",), ("",)]
+    got = sentences.induced_lexicon(spark.createDataFrame(rows, "text string"))
+    assert {"橋梁", "予算", "渡し船", "委員会"} <= got and not any("は" in w or "ました" in w for w in got)
+    assert sentences.lattice_path("橋梁は静かです", got) == ["橋梁", "は", "静か", "です"]
+    assert sentences.induced_lexicon(spark.createDataFrame([("plain",)], "text string")) == frozenset()
+
+
+def test_the_latest_delivery_counts(spark):
+    import datetime as dt
+
+    day = lambda d: dt.datetime(2020, 1, d)
+    df = spark.createDataFrame([("t", 1, day(1), "It came. They left."), ("t", 1, day(2), "It came to them. They left."), ("u", 1, None, "One. Two.")], "table_name string, row_id bigint, at timestamp_ntz, text string")
+    assert sorted(tuple(r) for r in sentences.sentence_starts(df).collect()) == [("t", 1, 0), ("t", 1, 17), ("u", 1, 0), ("u", 1, 5)]
+    docs = spark.createDataFrame([(1, day(1), "a", "b"), (1, day(2), "c", "d"), (2, None, "e", "f")], "id bigint, at timestamp_ntz, first string, second string")
+    assert sorted((r.id, r["first"]) for r in alignment.latest(docs).collect()) == [(1, "c"), (2, "e")]
+
+
 def test_lattice_path():
     assert sentences.lattice_path("橋は静かです") == ["橋", "は", "静か", "です"] and sentences.lattice_path("") == []
 
