@@ -31,12 +31,24 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def load_encoding(path: str = TOKENIZERS, vocabulary: str = VOCABULARY):
+#: Greatest size of a vocabulary file; it goes out to every task.
+VOCABULARY_BYTES = 16 << 20
+
+
+def vocabulary_file(path: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> bytes:
+    """A rank file; only the driver needs to have it."""
+    with open(os.path.join(path, vocabulary), "rb") as f:
+        data = f.read(VOCABULARY_BYTES + 1)
+    if len(data) > VOCABULARY_BYTES:
+        raise ValueError(f"{vocabulary} is larger than {VOCABULARY_BYTES} bytes")
+    return data
+
+
+def encoding(data: bytes):
     """A public byte-pair tokenizer from its rank file."""
     import tiktoken
 
-    with open(os.path.join(path, vocabulary), "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -134,9 +146,10 @@ def places(filled: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarr
 
 def text_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """Pieces of all texts with their tokens. ``documents``: doc_id, text. Returns doc_id, piece, start_at, end_at, n_tokens."""
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary_file(tokenizers, vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = load_encoding(tokenizers, vocabulary).encode_ordinary
+        encode = encoding(shared.value).encode_ordinary
         for pdf in batches:
             rows = [(doc, k, *piece) for doc, text in zip(pdf.doc_id, pdf.text, strict=True) for k, piece in enumerate(pieces(text, encode, capacity))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start_at", "end_at", "n_tokens"])

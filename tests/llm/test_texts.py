@@ -201,7 +201,7 @@ def test_packed_documents(spark):
         fill[r.container] += r.n_tokens
     assert max(fill.values()) <= 256
     assert sum(v < 240 for v in fill.values()) <= 2
-    encode = packing.load_encoding().encode_ordinary
+    encode = packing.encoding(packing.vocabulary_file()).encode_ordinary
     assert all(len(encode(texts[r.doc_id][r.start_at : r.end_at])) == r.n_tokens for r in got if r.doc_id >= 900)
     assert packing.packed_documents(df.limit(0)).count() == 0
 
