@@ -66,9 +66,10 @@ def select_balanced(items: DataFrame, silver: DataFrame, targets: Mapping[str, i
 
     ``items``: from ``training_items``; ``silver``: claim_text, label. At most target rows of each type are ranked.
     """
-    have = {r["label"]: r["n"] for r in silver.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    kinds = [*P.RARE_TYPES, *weights]
+    have = {r["label"]: r["n"] for r in silver.where(F.col("label").isin(*targets)).groupBy("label").agg(F.count("*").alias("n")).collect()}
     good = without_claims(items.where(X.merge_candidate("claim_text") & F.col("label").isin(*targets)), silver).withColumns(item_score())
-    counts = {(r["label"], r["claim_type"]): r["n"] for r in good.groupBy("label", "claim_type").agg(F.count("*").alias("n")).collect()}
+    counts = {(r["label"], r["claim_type"]): r["n"] for r in good.where(F.col("claim_type").isin(*kinds)).groupBy("label", "claim_type").agg(F.count("*").alias("n")).collect()}
     rows = []
     for label, target in targets.items():
         need = max(0, target - have.get(label, 0))
