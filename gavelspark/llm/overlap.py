@@ -54,10 +54,10 @@ _WORD = re.compile(r"[^\W_]+")
 _NUMBER = re.compile(r"\d+")
 
 
-def words(text: Column) -> Column:
-    """Words of a text in lower case, digits grouped by blanks or commas put together."""
-    low = F.regexp_replace(F.lower(text), r"(?<=\d)[,   ](?=\d{3}(?!\d))", "")
-    return F.filter(F.split(low, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+def bare(text: Column) -> Column:
+    """Words of a text in lower case, one blank between them, digits grouped by blanks or commas put together."""
+    low = F.regexp_replace(F.lower(text), r"(?<=\d)[, \u00a0\u202f](?=\d{3}(?!\d))", "")
+    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
 def sections(prompt: str) -> dict[str, str]:
@@ -203,7 +203,7 @@ def keyed_records(pairs: DataFrame) -> DataFrame:
     completion, split. Returns pair_id, side, words, keys."""
     text = F.concat_ws(" \u0001 ", F.coalesce("prompt", F.lit("")), F.coalesce("completion", F.lit("")))
     rows = pairs.where("prompt is not null or completion is not null").select(
-        "pair_id", F.when(F.col("split") == "train", "train").otherwise("held").alias("side"), "prompt", "completion", F.md5(F.array_join(words(text), " ")).alias("words"),
+        "pair_id", F.when(F.col("split") == "train", "train").otherwise("held").alias("side"), "prompt", "completion", F.md5(bare(text)).alias("words"),
     )
     return rows.mapInPandas(_keyed, "pair_id long, side string, words string, keys array<struct<key:string,day:string,claimed:boolean>>")
 
