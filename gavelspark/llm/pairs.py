@@ -94,11 +94,12 @@ def unfinished(text: Column) -> Column:
 
 
 def limit_lengths(answers: DataFrame) -> DataFrame:
-    """Lengths at which answers were cut by a limit. ``answers``: text, form (equal for answers that say the same). Returns n.
+    """Lengths at which answers were cut by a limit. ``answers``: of those without a final mark the length n and the form
+    (equal for answers that say the same). Returns n.
 
     Answers of one form count once: a stock answer is no limit, however often it is given.
     """
-    ends = answers.where(unfinished(F.col("text"))).select(F.length("text").alias("n"), "form").distinct().groupBy("n").agg(F.count("*").alias("c"))
+    ends = answers.select("n", "form").distinct().groupBy("n").agg(F.count("*").alias("c"))
     near = ends.select(F.explode(F.sequence(F.col("n") - 5, F.col("n") + 5)).alias("n"), F.col("n").alias("of"), "c")
     around = near.where("n <> of").groupBy("n").agg((F.sum("c") / 10).alias("level"))
     level = F.coalesce("level", F.lit(0.0))
@@ -208,11 +209,11 @@ def defective_pairs(pairs: DataFrame) -> DataFrame:
     hashed = pairs.select("pair_id", "prompt", "completion", t.alias("t")).select("pair_id", "prompt", "completion", F.xxhash64("t").alias("t_hash"), F.xxhash64(end).alias("end_hash"), F.length("completion").alias("n"))
     found = cut(hashed.mapInPandas(_examined, "pair_id long, t_hash long, end_hash long, n int, defect string, needs int"))
     sure, open_ = found.where("needs = 0"), found.where("needs > 0")
-    texts = pairs.where("completion is not null").select(t.alias("t"))
-    whole = shortened(texts).select(F.xxhash64("t").alias("t_hash"), F.lit(SHORT).alias("short"))
-    ends = shortened(texts.select(end.alias("t"))).select(F.xxhash64("t").alias("end_hash"), F.lit(SHORT_END).alias("short_end"))
-    answers = pairs.where("completion is not null").select(F.col("completion").alias("text"), F.xxhash64(t).alias("form"))
-    limits = limit_lengths(answers).withColumn("at_limit", F.lit(AT_LIMIT))
+    # written once: the sorts below read their input twice, to find the ranges and to part the rows
+    answers = cut(pairs.where("completion is not null").select(t.alias("t"), "completion").select("t", end.alias("end"), F.length("completion").alias("n"), unfinished(F.col("completion")).alias("open")))
+    whole = shortened(answers).select(F.xxhash64("t").alias("t_hash"), F.lit(SHORT).alias("short"))
+    ends = shortened(answers.select(F.col("end").alias("t"))).select(F.xxhash64("t").alias("end_hash"), F.lit(SHORT_END).alias("short_end"))
+    limits = limit_lengths(answers.where("open").select("n", F.xxhash64("t").alias("form"))).withColumn("at_limit", F.lit(AT_LIMIT))
     marked = open_.join(whole, "t_hash", "left").join(ends, "end_hash", "left").join(limits, "n", "left")
     holds = F.coalesce("short", F.lit(0)) + F.coalesce("short_end", F.lit(0)) + F.coalesce("at_limit", F.lit(0))
     settled = marked.where(F.col("needs").bitwiseAND(holds) > 0)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gavelspark.llm import pairs
 
@@ -78,7 +79,7 @@ def test_length_limit(spark):
     rows = [("x" * n + ".", n) for n in range(30, 70)] + [("y" * 50 + str(i) + "z" * (46 - len(str(i))), 100 + i) for i in range(40)]
     few = [(t, f) for t, f in rows if f < 108]
     stock = [("TRUE", 500)] * 60 + [("N/A so far", 501)] * 60
-    frame = lambda r: spark.createDataFrame(r, "text string, form long")
+    frame = lambda r: spark.createDataFrame(r, "text string, form long").where(pairs.unfinished(F.col("text"))).select(F.length("text").alias("n"), "form")
     assert [r.n for r in pairs.limit_lengths(frame(rows)).collect()] == [96] and [r.n for r in pairs.limit_lengths(frame(few + stock)).collect()] == [96]
     assert pairs.limit_lengths(frame([(t, f) for t, f in rows if f < 103] + stock)).count() == 0
 
