@@ -154,11 +154,11 @@ def seeds(words: np.ndarray, begins: np.ndarray, size: int = SEED) -> tuple[np.n
     return found[places], places
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Stretches of a list of texts of about CHUNK characters."""
+def chunks(texts: list[str], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Stretches of a list of texts of about CHUNK characters, and of at most ``most`` texts."""
     begin, n = 0, 0
     for k, text in enumerate(texts):
-        if n and n + len(text) > CHUNK:
+        if k > begin and (n + len(text) > CHUNK or (most and k - begin >= most)):
             yield begin, k
             begin, n = k, 0
         n += len(text)
@@ -365,7 +365,7 @@ def tiled(documents: DataFrame, found: DataFrame, block: list[tuple[int, int, by
         held = _Block(shared.value)
         for pdf in batches:
             texts, ids, listed = list(pdf.text), list(pdf.doc_id), list(pdf.rows)
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, BLOCK):
                 words, begins = word_hashes(texts[a:b])
                 wanted = np.zeros((b - a, len(held.words)), dtype=bool)
                 for d, rows in enumerate(listed[a:b]):

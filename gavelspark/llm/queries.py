@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelspark.llm import alignment, formats, leakage, overlap, packing, pairs, pii, sentences, splits
+from gavelspark.llm.dealing import dealt
 from gavelspark.session import table
 
 
@@ -18,10 +19,14 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoken = table(spark, sf_dir, "hansards_statement").select(F.lit("hansards_statement").alias("table_name"), F.col("id").alias("row_id"), F.col("loaded_at").alias("at"), F.col("content_en").alias("text"))
     checked = table(spark, sf_dir, "factcheck_master").select(F.lit("factcheck_master").alias("table_name"), F.col("seq").alias("row_id"), F.lit(None).cast("timestamp_ntz").alias("at"), F.col("source_context").alias("text"))
-    return spoken.unionByName(checked)
+    return dealt(spoken.unionByName(checked))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +46,8 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "hansards_statement").select("id", F.col("loaded_at").alias("at"), F.col("content_en").alias("first"), F.col("content_fr").alias("second"))
-    found = alignment.aligned_sentences(spark, rows)
+    rows = dealt(table(spark, sf_dir, "hansards_statement").select("id", F.col("loaded_at").alias("at"), F.col("content_en").alias("first"), F.col("content_fr").alias("second")))
+    found = alignment.aligned_sentences(spark, rows, at="at")
     return found.select(F.col("id").alias("statement_id"), F.col("first_start").alias("en_start"), F.col("second_start").alias("fr_start"))
 
 
@@ -63,15 +68,15 @@ def p5_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentence_starts(_texts(spark, sf_dir))
+    return sentences.sentence_starts(_texts(spark, sf_dir), "at")
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(table(spark, sf_dir, "documents"))
+    return packing.packed_documents(_documents(spark, sf_dir))
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+    return leakage.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "heldout_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +85,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_spans(table(spark, sf_dir, "documents"))
+    return pii.personal_spans(_documents(spark, sf_dir))
 
 
 def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.redacted(table(spark, sf_dir, "documents"))
+    return pii.redacted(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

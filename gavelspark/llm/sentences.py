@@ -352,11 +352,11 @@ def sentence_units(texts: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "table_name string, row_id long, start_at int, sentence string")
 
 
-def sentence_starts(texts: DataFrame) -> DataFrame:
-    """Offsets of the sentences of every text, of the latest row where ``texts`` (table_name, row_id, text) has a time ``at``;
-    rows of one id and time give each offset once. Returns table_name, row_id, start_at."""
+def sentence_starts(texts: DataFrame, at: str | None = None) -> DataFrame:
+    """Offsets of the sentences of every text, of the latest row where a column ``at`` names the time of delivery; of rows of
+    one id and time one counts. ``texts``: table_name, row_id, text. Returns table_name, row_id, start_at."""
     rows, lexicon = _prepared(texts)
-    timed = texts.where("text is not null and text <> ''").select("table_name", "row_id", "text", F.col("at") if "at" in texts.columns else F.lit(None).cast("timestamp_ntz").alias("at"))
+    timed = texts.where("text is not null and text <> ''").select("table_name", "row_id", "text", (F.col(at) if at else F.lit(None)).cast("timestamp_ntz").alias("at"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
