@@ -376,21 +376,21 @@ def _rest(paired: DataFrame, vectors: DataFrame, held: list) -> DataFrame:
     return met.groupBy("id").agg(F.collect_list(F.struct("side", "word", "vector")).alias("rest"))
 
 
-def latest(documents: DataFrame) -> DataFrame:
-    """The latest delivery of every document. ``documents``: id, at and other columns; without ``at`` all rows are one
-    delivery. Only ids and times are aggregated; the texts are shuffled only where the written list of deliveries is too large
+def latest(documents: DataFrame, at: str | None = None) -> DataFrame:
+    """The latest delivery of every document by a column ``at``; all rows where none is named. ``documents``: id and other
+    columns. Only ids and times are aggregated; the texts are shuffled only where the written list of deliveries is too large
     for the optimizer to broadcast. Rows of one id and one time all stay."""
-    if "at" not in documents.columns:
+    if at is None:
         return documents
-    timed = documents.withColumn("at", F.coalesce("at", F.lit("0001-01-01").cast("timestamp_ntz"))).where("id is not null")
-    newest = cut(timed.groupBy("id").agg(F.max("at").alias("at")))
-    return timed.join(newest, ["id", "at"], "left_semi")
+    timed = documents.withColumn("_at", F.coalesce(F.col(at).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz"))).where("id is not null")
+    newest = cut(timed.groupBy("id").agg(F.max("_at").alias("_at")))
+    return timed.join(newest, ["id", "_at"], "left_semi").drop("_at")
 
 
-def aligned_sentences(spark: SparkSession, documents: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
-    """Sentences that render one another, in the latest delivery of each document. ``documents``: id, first, second and,
-    where they can be delivered again, the time ``at``. Returns id, first_start, second_start, each pair once."""
-    once = latest(documents).where("length(trim(first)) > 0 and length(trim(second)) > 0 and first <> second").select("id", "first", "second")
+def aligned_sentences(spark: SparkSession, documents: DataFrame, vocabulary: int = VOCABULARY, at: str | None = None) -> DataFrame:
+    """Sentences that render one another, in the latest delivery of each document by the column ``at``, if any is named.
+    ``documents``: id, first, second. Returns id, first_start, second_start, each pair once."""
+    once = latest(documents, at).where("length(trim(first)) > 0 and length(trim(second)) > 0 and first <> second").select("id", "first", "second")
     vectors = word_vectors(once)
     held = [] if vectors is None else vectors.orderBy(F.desc("n"), "side", "word").limit(vocabulary).collect()
     model = spark.sparkContext.broadcast([(r["side"], r["word"], bytes(r["vector"])) for r in held])

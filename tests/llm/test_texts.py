@@ -90,9 +90,9 @@ def test_the_latest_delivery_counts(spark):
 
     day = lambda d: dt.datetime(2020, 1, d)
     df = spark.createDataFrame([("t", 1, day(1), "It came. They left."), ("t", 1, day(2), "It came to them. They left."), ("u", 1, None, "One. Two.")], "table_name string, row_id bigint, at timestamp_ntz, text string")
-    assert sorted(tuple(r) for r in sentences.sentence_starts(df).collect()) == [("t", 1, 0), ("t", 1, 17), ("u", 1, 0), ("u", 1, 5)]
+    assert sorted(tuple(r) for r in sentences.sentence_starts(df, "at").collect()) == [("t", 1, 0), ("t", 1, 17), ("u", 1, 0), ("u", 1, 5)]
     docs = spark.createDataFrame([(1, day(1), "a", "b"), (1, day(2), "c", "d"), (2, None, "e", "f")], "id bigint, at timestamp_ntz, first string, second string")
-    assert sorted((r.id, r["first"]) for r in alignment.latest(docs).collect()) == [(1, "c"), (2, "e")]
+    assert sorted((r.id, r["first"]) for r in alignment.latest(docs, "at").collect()) == [(1, "c"), (2, "e")]
 
 
 def test_lattice_path():
