@@ -17,6 +17,7 @@ delivered twice the latest row aligns; a second side of which only a small part
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -398,6 +399,9 @@ def aligned_sentences(spark: SparkSession, documents: DataFrame, vocabulary: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         aligner = Aligner(model.value)
+        # nothing here makes reference cycles, and the model stays: fewer searches for them
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 50)
         for pdf in batches:
             for k in range(0, len(pdf), 256):
                 part = pdf.iloc[k : k + 256]
