@@ -19,10 +19,13 @@ from __future__ import annotations
 
 import gc
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,18 +46,25 @@ FIGURE_REACH = 0.5
 #: A word in a larger share of the documents says nothing about a sentence, nor does one in fewer than RARE.
 COMMON = 0.55
 RARE = 3
-#: Tasks that sum the Gram matrix of the groups; each sends one to the driver.
-GRAM_TASKS = 4
+#: Tasks that sum the Gram matrix of the groups, and the rows of the slabs in which its lower half goes to one task.
+GRAM_TASKS, SLAB = 4, 128
 #: Words whose vectors all tasks hold; those of rarer words are joined to the documents that have them.
 VOCABULARY = 50_000
+#: Words of a text that are added together with those of others.
+LONG = 256
+#: Documents whose words a task holds at a time.
+BATCH = 256
 #: Sums of a word and a group that a task holds before it passes them on.
 HELD = 2_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters of the first 256 characters as they are, all else as blanks: a fast path of _WORD.
 _LETTERS = bytes(b if chr(b).isalpha() else 32 for b in range(256))
-_FIGURE = re.compile(r"\d+(?:[.,\s\u00a0\u202f]\d{3}(?!\d))*(?:[.,]\d+)?")
-_NAME = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]{2,}")
+#: A figure or a name, a capital and letters. One set at the head of both is found much faster than either by itself.
+_MARK = re.compile(r"[\dA-ZÀ-ÖØ-Þ](?:(?<=\d)\d*(?:[.,\s\u00a0\u202f]\d{3}(?!\d))*(?:[.,]\d+)?|(?<!\d)[^\W\d_]{2,})")
+#: Closes the words of a text in a list of the words of many.
+_END = "\0"
+_LETTERS_AND_END = _END.encode() + _LETTERS[1:]
 _CLAUSE = re.compile(r"\s*;\s*(?!\(\d)")
 _TAG = re.compile(r"<[^<>]*>")
 _GROUP = re.compile(r"[\s\u00a0\u202f]")
@@ -75,30 +85,61 @@ def bare_words(low: str) -> list[str]:
         return _WORD.findall(low)
 
 
-def words(text: str) -> tuple[list[str], list[str], list[str]]:
-    """Words in lower case, figures in one spelling, and capitalised words after the first."""
-    low = text.lower()
-    figures = [t if t.isdigit() else figure(t) for t in _FIGURE.findall(low)]
-    names = _NAME.findall(text)
+def closed_words(texts: list[str]) -> list[str]:
+    """Words in lower case of all texts, after those of each text ``_END``."""
+    joined = f" {_END} ".join([*texts, ""])
+    if joined.count(_END) == len(texts):
+        try:
+            return joined.lower().encode("latin-1").translate(_LETTERS_AND_END).decode("latin-1").split()
+        except UnicodeEncodeError:
+            pass
+    return [word for text in texts for word in (*bare_words(text.lower()), _END)]
+
+
+def marks(text: str) -> tuple[list[str], list[str]]:
+    """Figures in one spelling, and capitalised words after the first in lower case."""
+    figures, names = [], []
+    for t in _MARK.findall(text):
+        if t[0].isdigit():
+            figures.append(t if t.isdigit() else figure(t))
+        else:
+            names.append(t)
     if names and text.startswith(names[0]):
         del names[0]
-    return bare_words(low), figures, [t.lower() for t in names]
+    return figures, [t.lower() for t in names]
+
+
+def words(text: str) -> tuple[list[str], list[str], list[str]]:
+    """Words in lower case, figures in one spelling, and capitalised words after the first."""
+    return bare_words(text.lower()), *marks(text)
+
+
+def _numbered() -> defaultdict:
+    """A dictionary that gives every new key the next number; the first is ``_END``."""
+    index: defaultdict = defaultdict(None, {_END: 0})
+    index.default_factory = index.__len__
+    return index
 
 
 class _Sums:
     """Weights and document frequencies of words by group, summed over the batches of a task."""
 
     def __init__(self):
-        self.ids: tuple[dict, dict, dict] = ({}, {}, {"": 0})
+        self.ids: tuple[defaultdict, defaultdict] = (_numbered(), _numbered())
         self.parts: list[list[tuple]] = [[], [], []]
         self.n = 0
 
-    def add(self, side: int, groups: np.ndarray, bags: list[list[str]]) -> None:
-        index = self.ids[side]
-        ids = np.fromiter((index.setdefault(w, len(index)) for bag in bags for w in bag), dtype=np.int64)
-        doc = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
-        once, counts = np.unique(ids * len(bags) + doc, return_counts=True)
-        keys = once // len(bags) * GROUPS + groups[once % len(bags)]
+    def add(self, side: int, groups: np.ndarray, texts: list[str]) -> None:
+        """Documents of which ``texts`` are one side; of side 2, the documents as such, no text is read."""
+        if side == 2:
+            ids, doc = np.zeros(len(groups), dtype=np.int64), np.arange(len(groups))
+        else:
+            found = closed_words(texts)
+            ids = np.fromiter(map(self.ids[side].__getitem__, found), dtype=np.int64, count=len(found))
+            ends = ids == 0
+            ids, doc = ids[~ends], np.cumsum(ends)[~ends]
+        once, counts = np.unique(ids * len(groups) + doc, return_counts=True)
+        keys = once // len(groups) * GROUPS + groups[once % len(groups)]
         self.parts[side].append((keys, 1 + np.log(counts), np.ones(len(keys), dtype=np.int64)))
         self.n += len(keys)
         if self.n > HELD:
@@ -107,16 +148,20 @@ class _Sums:
     def compact(self) -> None:
         for side, parts in enumerate(self.parts):
             if len(parts) > 1:
-                keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                self.parts[side] = [(keys, *(np.bincount(at, np.concatenate([p[k] for p in parts])) for k in (1, 2)))]
+                keys, weights, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                # a stable sort merges the sorted parts
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+                starts = np.flatnonzero(np.diff(keys, prepend=-1))
+                self.parts[side] = [(keys[starts], np.add.reduceat(weights[order], starts), np.add.reduceat(counts[order], starts))]
         self.n = sum(len(p[0]) for parts in self.parts for p in parts)
 
     def rows(self) -> Iterator[pd.DataFrame]:
         self.compact()
         for side, parts in enumerate(self.parts):
-            if not parts:
+            if not parts or not len(parts[0][0]):
                 continue
-            names = list(self.ids[side])
+            names = list(self.ids[side]) if side < 2 else [""]
             keys, weights, counts = parts[0]
             ids, starts = np.unique(keys // GROUPS, return_index=True)
             groups, weights, ends = (keys % GROUPS).astype(np.uint16), weights.astype(np.float32), [*starts[1:].tolist(), len(keys)]
@@ -131,10 +176,12 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if not len(pdf):
             continue
-        groups = pdf.h.to_numpy()
-        for side, texts in enumerate((pdf["first"], pdf["second"])):
-            sums.add(side, groups, [bare_words((_TAG.sub(" ", t) if "<" in t else t).lower()) for t in texts])
-        sums.add(2, groups, [[""]] * len(pdf))
+        for k in range(0, len(pdf), BATCH):
+            part = pdf.iloc[k : k + BATCH]
+            groups = part.h.to_numpy()
+            for side, texts in enumerate((part["first"], part["second"])):
+                sums.add(side, groups, [_TAG.sub(" ", t) if "<" in t else t for t in texts])
+            sums.add(2, groups, [])
         if sums.n > HELD:
             yield from sums.rows()
             sums = _Sums()
@@ -186,7 +233,8 @@ def _block(pdf: pd.DataFrame, n_docs: int, sizes: np.ndarray) -> np.ndarray:
 
 def word_vectors(paired: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame | None:
     """Vectors of all words of both sides but the most common and the rarest. Returns side, word, n, vector (of 32-bit
-    numbers); None without documents. The driver gets the groups' sizes and GRAM_TASKS matrices of GROUPS x GROUPS."""
+    numbers); None without documents. The driver gets the groups' sizes and the singular vectors, GROUPS x ``dimensions``; the
+    GRAM_TASKS matrices of GROUPS x GROUPS go to one task, by halves."""
     profiles = cut(word_profiles(paired))
     documents = profiles.where("side = 2").collect()
     if not documents:
@@ -200,13 +248,21 @@ def word_vectors(paired: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame |
         for pdf in batches:
             block = _block(pdf, n_docs, sizes)
             total += block.T @ block
-        yield pd.DataFrame({"gram": [total.tobytes()]})
+        slabs = range(0, GROUPS, SLAB)
+        yield pd.DataFrame({"task": TaskContext.get().partitionId(), "slab": slabs, "gram": [total[k : k + SLAB, : k + SLAB].tobytes() for k in slabs]})
 
-    # singular vectors of the concept space from its small Gram matrix
-    parts = kept.coalesce(GRAM_TASKS).mapInPandas(gram, "gram binary").collect()
-    summed = sum(np.frombuffer(r["gram"], dtype=np.float32).astype(np.float64) for r in parts)
-    values, vectors = np.linalg.eigh(summed.reshape(GROUPS, GROUPS))
-    top = vectors[:, np.argsort(values)[::-1][:dimensions]].astype(np.float32)
+    def decomposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # singular vectors of the concept space from its small Gram matrix, of which the lower half is read
+        total = np.zeros((GROUPS, GROUPS))
+        for pdf in batches:
+            for k, slab in zip(pdf.slab, pdf.gram, strict=True):
+                total[k : k + SLAB, : k + SLAB] += np.frombuffer(slab, dtype=np.float32).reshape(SLAB, -1)
+        values, vectors = np.linalg.eigh(total, UPLO="L")
+        yield pd.DataFrame({"top": [vectors[:, np.argsort(values)[::-1][:dimensions]].astype(np.float32).tobytes()]})
+
+    # in one order, so that the sums are the same each time
+    slabs = kept.coalesce(GRAM_TASKS).mapInPandas(gram, "task int, slab int, gram binary").repartition(1).sortWithinPartitions("task", "slab")
+    top = np.frombuffer(slabs.mapInPandas(decomposed, "top binary").collect()[0]["top"], dtype=np.float32).reshape(GROUPS, -1)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -222,10 +278,13 @@ def units(text: str) -> list[tuple[int, str]]:
     """Clauses of the sentences of a text, each with the start of its sentence: a sentence merged of two is parted at
     its semicolon."""
     found = []
+    parted = ";" in text
     for start, end in sentence_spans(text):
         sentence = text[start:end]
-        parts = _CLAUSE.split(sentence) if ";" in sentence else [sentence]
-        found.extend((start, part) for part in parts if part)
+        if parted and ";" in sentence:
+            found.extend((start, part) for part in _CLAUSE.split(sentence) if part)
+        else:
+            found.append((start, sentence))
     return found
 
 
@@ -248,15 +307,16 @@ def mutual_best(score: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of unit indexes that are each other's best among those left, round after round."""
     score = score.copy()
     pairs: list[tuple[int, int]] = []
-    for _ in range(min(score.shape)):
+    most = min(score.shape)
+    while len(pairs) < most:
         best_second, best_first = score.argmax(1).tolist(), score.argmax(0).tolist()
         fresh = [(i, j) for i, j in enumerate(best_second) if best_first[j] == i and score[i, j] >= LEAST]
         if not fresh:
             break
         pairs += fresh
-        for i, j in fresh:
-            score[i, :] = -9
-            score[:, j] = -9
+        if len(pairs) < most:
+            score[[i for i, _ in fresh]] = -9
+            score[:, [j for _, j in fresh]] = -9
     return pairs
 
 
@@ -286,57 +346,70 @@ class Aligner:
     """Aligns batches of documents with fixed word vectors."""
 
     def __init__(self, held: list[tuple[int, str, bytes]], dimensions: int = DIMENSIONS):
-        # row 0 is the zero vector, so that unknown words, which give None, can be filtered out as false
-        self.indexes: tuple[dict, dict] = ({}, {})
+        # row 0 is the zero vector of unknown words
+        self.indexes: tuple[dict, dict] = ({_END: -1}, {_END: -1})
         for i, (side, word, _) in enumerate(held):
             self.indexes[side][word] = i + 1
         self.matrix = np.vstack([np.zeros((1, dimensions), dtype=np.float32), *(np.frombuffer(v, dtype=np.float32)[None] for _, _, v in held)])
 
-    def vectors(self, bags: list[list[str]], side: int, others: list[dict]) -> np.ndarray:
-        """Vectors of bags of words; ``others``: for each bag the vectors of words that are not held."""
-        known = self.indexes[side].get
-        ids, starts = [], []
-        for bag in bags:
-            starts.append(len(ids))
-            ids.append(0)
-            ids.extend(filter(None, map(known, bag)))
-        out = np.add.reduceat(self.matrix[np.array(ids, dtype=np.int32)], np.array(starts), axis=0)
-        for row, bag, other in zip(out, bags, others, strict=True):
+    def vectors(self, texts: list[str], side: int, others: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of texts and their numbers of words; ``others``: for each text the vectors of words that are not held."""
+        found = closed_words(texts)
+        ids = np.fromiter(map(self.indexes[side].get, found, repeat(0)), dtype=np.int32, count=len(found))
+        closed = np.flatnonzero(ids < 0)
+        held = ids > 0
+        ends = np.cumsum(held)[closed]
+        ids = ids[held]
+        starts = np.concatenate([[0], ends[:-1]])
+        # longest texts first: the k-th words of all that have so many are added at once, up to LONG, and the rest by text
+        order = np.argsort(starts - ends, kind="stable")
+        starts, lengths = starts[order], (ends - starts)[order]
+        sums = np.zeros((len(texts), self.matrix.shape[1]), dtype=np.float32)
+        *counts, n_long = np.searchsorted(-lengths, -np.arange(min(lengths[0], LONG) + 1)).tolist()
+        for k, n in enumerate(counts):
+            sums[:n] += self.matrix[ids[starts[:n] + k]]
+        for row, start, n in zip(sums[:n_long], starts.tolist(), lengths.tolist(), strict=False):
+            row += self.matrix[ids[start + LONG : start + n]].sum(axis=0)
+        out = np.empty_like(sums)
+        out[order] = sums
+        first = 0
+        for row, end, other in zip(out, closed.tolist(), others, strict=True):
             if other:
-                for vector in filter(lambda v: v is not None, map(other.get, bag)):
+                for vector in filter(lambda v: v is not None, map(other.get, found[first:end])):
                     row += vector
+            first = end + 1
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
-        return out
+        return out, np.diff(closed, prepend=-1) - 1
 
     def documents(self, ids: list, firsts: list[str], seconds: list[str], rest: list | None = None) -> list[tuple]:
         """Aligned sentences of documents; ``rest``: of each the side, word and vector of its words that are not held."""
         docs = []
-        bags: tuple[list, list] = ([], [])
+        texts: tuple[list, list] = ([], [])
         others: tuple[list, list] = ([], [])
         for doc, a, b, more in zip(ids, firsts, seconds, rest or [None] * len(ids), strict=True):
             ua, ub = units(a), units(b)
             if not ua or not ub:
                 continue
-            wa, wb = [words(t) for _, t in ua], [words(t) for _, t in ub]
-            docs.append((doc, ua, ub, wa, wb, len(bags[0]), len(bags[1])))
-            bags[0].extend(w[0] for w in wa)
-            bags[1].extend(w[0] for w in wb)
-            for side, n in enumerate((len(wa), len(wb))):
-                own = {m["word"]: np.frombuffer(m["vector"], dtype=np.float32) for m in ([] if more is None else more) if m["side"] == side}
-                others[side].extend([own] * n)
+            docs.append((doc, ua, ub, len(texts[0]), len(texts[1])))
+            for side, own in enumerate((ua, ub)):
+                texts[side].extend([t for _, t in own])
+                known = {m["word"]: np.frombuffer(m["vector"], dtype=np.float32) for m in more if m["side"] == side} if more is not None else {}
+                others[side].extend([known] * len(own))
         if not docs:
             return []
-        va, vb = self.vectors(bags[0], 0, others[0]), self.vectors(bags[1], 1, others[1])
+        (va, na), (vb, nb) = self.vectors(texts[0], 0, others[0]), self.vectors(texts[1], 1, others[1])
+        brief_a, brief_b = (na <= SHORT).tolist(), (nb <= SHORT).tolist()
         rows = []
-        for doc, ua, ub, wa, wb, ka, kb in docs:
+        for doc, ua, ub, ka, kb in docs:
             x, y = va[ka : ka + len(ua)], vb[kb : kb + len(ub)]
             cosine = x @ y.T
+            ma, mb = [marks(t) for _, t in ua], [marks(t) for _, t in ub]
             same = {t for _, t in ua}
-            sets = [(w[1], set(w[1]), set(w[2])) for w in wa]
-            brief = [i for i, w in enumerate(wa) if len(w[0]) <= SHORT and not w[1]]
-            if brief and (others := [j for j, w in enumerate(wb) if len(w[0]) <= SHORT and not w[1]]):
-                cosine[np.ix_(brief, others)] += SHORT_GAIN
-            for j, ((_, figures, names), column) in enumerate(zip(wb, cosine.T.tolist(), strict=True)):
+            sets = [(figures, set(figures), set(names)) for figures, names in ma]
+            brief = [i for i, (figures, _) in enumerate(ma) if brief_a[ka + i] and not figures]
+            if brief and (short := [j for j, (figures, _) in enumerate(mb) if brief_b[kb + j] and not figures]):
+                cosine[np.ix_(brief, short)] += SHORT_GAIN
+            for j, ((figures, names), column) in enumerate(zip(mb, cosine.T.tolist(), strict=True)):
                 if ub[j][1] in same and len(ub[j][1]) > 12:
                     cosine[:, j] = -9
                 elif figures or names:
@@ -349,7 +422,7 @@ class Aligner:
             if len(pairs) < LEAST_SHARE * len(ub):
                 continue
             if len(pairs) < max(len(ua), len(ub)):
-                fx, fy = [w[1] for w in wa], [w[1] for w in wb]
+                fx, fy = [figures for figures, _ in ma], [figures for figures, _ in mb]
                 seconds_merged = merged_windows(pairs, x, y, fx, fy)
                 firsts_merged = [(i, j) for j, i in merged_windows([(j, i) for i, j in pairs], y, x, fy, fx)]
                 pairs += seconds_merged + firsts_merged
@@ -403,8 +476,8 @@ def aligned_sentences(spark: SparkSession, documents: DataFrame, vocabulary: int
         gc.freeze()
         gc.set_threshold(100_000, 50, 50)
         for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
+            for k in range(0, len(pdf), BATCH):
+                part = pdf.iloc[k : k + BATCH]
                 rows = aligner.documents(list(part.id), list(part["first"]), list(part["second"]), None if whole else list(part.rest))
                 yield pd.DataFrame(rows, columns=["id", "first_start", "second_start"])
 

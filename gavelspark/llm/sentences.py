@@ -58,6 +58,8 @@ _FIRST = re.compile(r'[<\n.?!…。！？｡।॥؟۔։።“"«„「『(（
 #: Also blanks after a word of a script without full stops; only texts that hold one are searched this way.
 _BLANKS = re.compile(rf"{_MARKS}|(?<=[{_THAI}])[0-9.,]*\s+|(?<=[{_THAI}][0-9])[0-9.,]*\s+")
 _STOPLESS = re.compile(f"[{_THAI}]")
+#: Marks that are no full stop of a script of their own and stand by themselves.
+_POINTS = frozenset(".?!")
 _HARD = frozenset("。！？｡।॥؟۔։።။")
 _FINAL = frozenset(".?!…。！？｡।॥؟۔։።။")
 _CLOSERS = "\"”»’')]」』）›》"
@@ -193,6 +195,15 @@ def _ends(text: str, left: int, at: int, stop: int, mark: str) -> bool:
     return True
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are among the first 256: found much faster than any of a set."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def sentence_spans(text: str | None, lexicon: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
     """Code-point offsets (start, end) of the sentences of a text."""
     if not text:
@@ -200,8 +211,9 @@ def sentence_spans(text: str | None, lexicon: frozenset[str] = frozenset()) -> l
     cuts: list[tuple[int, int]] = []  # end of a sentence, start of the search for the next
     skip = left = 0
     n = len(text)
-    stopless = _STOPLESS.search(text) is not None
-    gapped = _KANA_HAN.search(text) is not None
+    latin = _latin(text)
+    stopless = not latin and _STOPLESS.search(text) is not None
+    gapped = not latin and _KANA_HAN.search(text) is not None
     seams = iter(_seams(text, lexicon)) if gapped else iter(())
     seam = next(seams, n)
     for m in (_GAPS_AND_BLANKS if stopless and gapped else _BLANKS if stopless else _GAPS if gapped else _FIRST).finditer(text):
@@ -218,17 +230,33 @@ def sentence_spans(text: str | None, lexicon: frozenset[str] = frozenset()) -> l
                 cuts.append((i, m.end()))
                 left = skip = m.end()
             continue
-        if not stopless and not gapped and (m := _TOKEN.match(text, i)) is None:
-            continue
-        j = m.end()
         c = text[i]
-        if c == "." and j == i + 1 and text[j : j + 1] == " " and text[j + 1 : j + 2].isupper():
-            # the plain case: a word in lower case that is no abbreviation, or a figure inside a sentence, and a capital after
-            word = text[text.rfind(" ", left, i) + 1 or left : i]
-            if (word.isalpha() and word.islower() and len(word) > 2 and word not in _ABBREVIATIONS) or (word.isdigit() and i - len(word) > left):
-                cuts.append((j, j))
-                left = skip = j
+        if stopless or gapped:
+            mark = m[0]
+        elif c in _POINTS and text[i + 1 : i + 2].isspace():
+            mark = c
+        elif (c == "\n" and not text[i + 1 : i + 2].isspace()) or (m := _TOKEN.match(text, i)) is None:
+            # a single line break is no mark
+            continue
+        else:
+            mark = m[0]
+        j = i + len(mark)
+        if mark in _POINTS and text[j : j + 1].isspace():
+            # the plain cases: a letter in lower case after the mark, or a capital after a question, an exclamation, a word
+            # that is no abbreviation or a figure inside a sentence
+            after = j + 1
+            while after < n and text[after].isspace():
+                after += 1
+            following = text[after : after + 1]
+            if following.islower():
                 continue
+            if following.isupper():
+                word = text[text.rfind(" ", left, i) + 1 or left : i]
+                word = word[word.rfind("\n") + 1 :]
+                if mark != "." or (len(word) > 2 and word.isalpha() and word.lower() not in _ABBREVIATIONS) or (word.isdigit() and i - len(word) > left):
+                    cuts.append((j, j))
+                    left = skip = j
+                    continue
         if c == "<" or c == "\n":
             cuts.append((i, j))
             left = skip = j
@@ -263,7 +291,7 @@ def sentence_spans(text: str | None, lexicon: frozenset[str] = frozenset()) -> l
                     left = skip
             continue
         if c.isspace() or c.isdigit() or (c in ".," and j > i and text[j - 1].isspace()):
-            end = i + len(m[0].rstrip())
+            end = i + len(mark.rstrip())
             cuts.append((end, j))
             left = j
             continue
@@ -272,8 +300,9 @@ def sentence_spans(text: str | None, lexicon: frozenset[str] = frozenset()) -> l
             if text[stop] in "'’" and stop + 1 < n and text[stop + 1].isalnum():
                 break
             stop += 1
-        mark = m[0]
-        if _ends(text, left, i, stop, "." if mark == "." else mark if mark[-1] in _HARD else "!"):
+        hard = mark[-1] in _HARD
+        # before a tag only a full stop of its own script ends a sentence, and the tag itself does
+        if stop >= n or hard or (text[stop] != "<" and _ends(text, left, i, stop, "." if mark == "." else "!")):
             cuts.append((stop, stop))
             left = stop
             skip = stop

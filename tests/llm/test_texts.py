@@ -31,6 +31,17 @@ def test_sentences(text, expected):
     assert [text[s:e] for s, e in sentences.sentence_spans(text)] == expected
 
 
+def test_plain_ends_need_no_classes(monkeypatch):
+    # most ends are plain and are told without the rules for abbreviations
+    def never(*_):
+        raise AssertionError("classed")
+
+    monkeypatch.setattr(sentences, "_ends", never)
+    text = "They met in Corvane\nHarbour. The end!\nWe left in\n2019. So?  Yes.\n\nIt rose.</p><p>It fell... At 5 p.m. they left."
+    assert sentences.sentence_spans(text[: text.index("It fell")])[-1] == (text.index("It rose"), text.index("</p>"))
+    assert [s for s, _ in sentences.sentence_spans("<p>One came.</p><p>Two left. Three stayed at noon approx. ten.</p>")] == [3, 19, 29]
+
+
 def test_sentences_cover_long_texts():
     text = "A plain sentence stands here. " * 20000
     assert len(sentences.sentence_spans(text)) == 20000
@@ -148,6 +159,55 @@ def test_alignment_is_the_same_whatever_part_of_the_vocabulary_is_held(spark):
     assert whole and whole == {tuple(r) for r in alignment.aligned_sentences(spark, df, vocabulary=5).collect()}
 
 
+def test_the_driver_gets_no_matrix(spark, monkeypatch):
+    docs = [(k, first, " ".join(parts)) for k, (first, parts) in enumerate(bilingual(random.Random(4), 120))]
+    df = spark.createDataFrame(docs, "id bigint, first string, second string")
+    sent, collect = [], type(df).collect
+
+    def counted(self):
+        rows = collect(self)
+        sent.append(sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    assert alignment.aligned_sentences(spark, df).count()
+    assert sent and max(sent) <= alignment.GROUPS * alignment.DIMENSIONS * 4
+
+
+@pytest.mark.parametrize("texts", [["L'eau, l'été 2019.", "", "The x2 A-B"], ["Le cœur — oui", "ΟΔΟΣ ΑΣ", "", "İz"], ["a\0b", "\0", "c"], [""]])
+def test_closed_words(texts):
+    assert alignment.closed_words(texts) == [w for t in texts for w in (*alignment.bare_words(t.lower()), "\0")]
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("Roy paid 1,488 of 6\u00a0915 to McDonald and IBM at 27,0 %.", (["1488", "6915", "27.0"], ["mcdonald", "ibm"])),
+        ("the 2019Budget of Élan", (["2019"], ["budget", "élan"])), ("Il A5 Été٣٤", (["5", "٣٤"], ["été"])), ("", ([], [])),
+    ],
+)
+def test_figures_and_names(text, expected):
+    assert alignment.marks(text) == expected
+
+
+def test_vectors_are_the_sums_of_their_words():
+    rng = np.random.default_rng(2)
+    held = [(side, w, rng.standard_normal(8).astype(np.float32).tobytes()) for side in (0, 1) for w in ("one", "two", "œuvre")]
+    own = {"other": np.ones(8, dtype=np.float32)}
+    for texts in (["One two one, unknown", "", "Two", "one Other"], ["one " * 900 + "two", "", "two " * 257], [""], ["œuvre one", "Other two œuvre", "none"]):
+        got, n = alignment.Aligner(held, 8).vectors(texts, 1, [own] * len(texts))
+        known = {w: np.frombuffer(v, dtype=np.float32) for side, w, v in held if side == 1} | own
+        for row, k, text in zip(got, n, texts, strict=True):
+            bag = alignment.bare_words(text.lower())
+            total = sum((known[w] for w in bag if w in known), np.zeros(8))
+            assert k == len(bag) and np.allclose(row, total / max(np.linalg.norm(total), 1e-6), atol=1e-5)
+
+
+def test_alignment_of_texts_without_letters(spark):
+    docs = [(k, f"{k} 12. {k} 7!", f"{k} 12 ; {k} 7 %") for k in range(600)]
+    assert alignment.aligned_sentences(spark, spark.createDataFrame(docs, "id bigint, first string, second string")).count() >= 0
+
+
 def test_alignment_of_nothing(spark):
     assert alignment.aligned_sentences(spark, spark.createDataFrame([], "id bigint, first string, second string")).count() == 0
 
